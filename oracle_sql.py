@@ -155,7 +155,190 @@ FROM c, t"""
     return q
 
 
+def _hash_order(key: str, salt: str, seed: int = 42) -> str:
+    return f"CAST(('0x' || substr(md5(concat(CAST({key} AS VARCHAR), '|{salt}|{seed}')), 1, 15)) AS BIGINT)"
+
+
+def _split_ctes(src: str, name: str, salt: str = "split", frac: float = 0.2, folds: int = 5) -> str:
+    """CTEs ending in ``name``: src rows + is_test + fold (exact quotas, md5 rank)."""
+    return f"""{name}_cnt AS (SELECT result, count(*) AS n_c FROM {src} GROUP BY result),
+{name}_q0 AS (SELECT result, n_c, sum(n_c) OVER () AS nn,
+              sum(n_c) OVER () - ceil({frac} * sum(n_c) OVER ()) AS n_train FROM {name}_cnt),
+{name}_q1 AS (SELECT *, n_c / nn * n_train AS cont, floor(n_c / nn * n_train) AS fl FROM {name}_q0),
+{name}_q2 AS (SELECT *, n_train - sum(fl) OVER () AS lft, cont - fl AS rem FROM {name}_q1),
+{name}_q3 AS (SELECT *, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, result) <= lft THEN 1 ELSE 0 END
+                     AS train_c FROM {name}_q2),
+{name}_cls AS (SELECT result, n_c - train_c AS test_c,
+               coalesce(sum(train_c) OVER (ORDER BY result ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               AS offset_c FROM {name}_q3),
+{name}_rk AS (SELECT s.*, row_number() OVER (PARTITION BY result ORDER BY {_hash_order('order_key', salt)}, order_key)
+              AS rk FROM {src} s),
+{name} AS (SELECT r.* EXCLUDE (rk), rk <= test_c AS is_test,
+           CASE WHEN rk > test_c THEN CAST(((offset_c + rk - test_c - 1) % {folds}) + 1 AS INTEGER) END AS fold
+           FROM {name}_rk r JOIN {name}_cls USING (result))"""
+
+
+SPLIT = f"{OBS},\n{_split_ctes('obs', 'split')}"
+NUM = ["total_price", "account_balance", "order_month"]
+CAT_LEVELS = {
+    "order_status": ["F", "O", "P"],
+    "order_priority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "market_segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+}
+
+
+def _slice2() -> dict[str, str]:
+    q = {}
+    q["holdout_split"] = f"WITH {SPLIT} SELECT order_key, result, is_test FROM split"
+    q["kfold_assign"] = f"WITH {SPLIT} SELECT order_key, result, fold FROM split WHERE NOT is_test"
+    q["fold_sizes"] = f"WITH {SPLIT} SELECT is_test, fold, result, count(*) AS rows FROM split GROUP BY ALL"
+    q["inner_split"] = f"""WITH {SPLIT},
+train AS (SELECT * EXCLUDE (is_test, fold) FROM split WHERE NOT is_test),
+{_split_ctes('train', 'inn', salt='tune', folds=2)}
+SELECT order_key, result, is_test AS is_validation FROM inn"""
+    q["head_sample"] = f"WITH {OBS} SELECT * FROM obs ORDER BY order_key LIMIT 1000"
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS med_{c}" for c in NUM)
+    mom = ", ".join(f"avg(coalesce({c}, med_{c})) AS mean_{c}, stddev_pop(coalesce({c}, med_{c})) AS sd_{c}"
+                    for c in NUM)
+    modes = ",\n".join(
+        f"mode_{c} AS (SELECT arg_min({c}, (-n, {c})) AS v FROM "
+        f"(SELECT {c}, count(*) AS n FROM train WHERE {c} IS NOT NULL GROUP BY {c}))" for c in CAT_LEVELS)
+    scaled = ", ".join(
+        f"round((coalesce({c}, med_{c}) - mean_{c}) / CASE WHEN sd_{c} < 10 * 2.220446049250313e-16 THEN 1.0 "
+        f"ELSE sd_{c} END, {R}) AS {c}" for c in NUM)
+    onehot = ", ".join(
+        f"CAST(coalesce({c}, mode_{c}.v) = '{lv}' AS DOUBLE) AS \"{c}={lv}\""
+        for c, lvs in CAT_LEVELS.items() for lv in lvs)
+    q["preprocess_apply"] = f"""WITH {SPLIT},
+train AS (SELECT * FROM split WHERE NOT is_test),
+med AS (SELECT {med} FROM train),
+mom AS (SELECT {mom} FROM train, med),
+{modes}
+SELECT order_key, {scaled}, {onehot}
+FROM split, med, mom, {", ".join(f"mode_{c}" for c in CAT_LEVELS)}
+WHERE is_test"""
+    long_num = " UNION ALL ".join(f"SELECT f.f AS fold, '{c}' AS \"column\", {c} AS value FROM train t, "
+                                  f"range(1, 6) f(f) WHERE t.fold <> f.f" for c in NUM)
+    q["fold_numeric_stats"] = f"""WITH {SPLIT},
+train AS (SELECT * FROM split WHERE NOT is_test),
+long AS ({long_num}),
+med AS (SELECT fold, "column", quantile_cont(value, 0.5) AS median FROM long GROUP BY ALL),
+st AS (SELECT l.fold, l."column", m.median, avg(coalesce(value, m.median)) AS mean,
+              stddev_pop(coalesce(value, m.median)) AS s
+       FROM long l JOIN med m ON l.fold = m.fold AND l."column" = m."column" GROUP BY ALL)
+SELECT CAST(fold AS INTEGER) AS fold, "column", round(median, {R}) AS median, round(mean, {R}) AS mean,
+       round(CASE WHEN s IS NULL OR s < 10 * 2.220446049250313e-16 THEN 1.0 ELSE s END, {R}) AS scale FROM st"""
+    long_cat = " UNION ALL ".join(f"SELECT f.f AS fold, '{c}' AS \"column\", {c} AS value FROM train t, "
+                                  f"range(1, 6) f(f) WHERE t.fold <> f.f AND {c} IS NOT NULL" for c in CAT_LEVELS)
+    q["fold_category_stats"] = f"""WITH {SPLIT},
+train AS (SELECT * FROM split WHERE NOT is_test),
+long AS ({long_cat}),
+cnt AS (SELECT fold, "column", value, count(*) AS n FROM long GROUP BY ALL)
+SELECT CAST(fold AS INTEGER) AS fold, "column", arg_min(value, (-n, value)) AS mode, count(*) AS levels
+FROM cnt GROUP BY ALL"""
+    return q
+
+
+PRED = f"""{SPLIT},
+pred AS (SELECT s.order_key, s.result AS y, m.model, s.is_test, s.fold,
+  CAST(CASE m.model {" ".join(f"WHEN '{mm}' THEN {MODEL_SIGNAL[mm]}" for mm in MODELS)} END AS DOUBLE) * s.result
+  + CAST(CASE m.model {" ".join(f"WHEN '{mm}' THEN {1 - MODEL_SIGNAL[mm]}" for mm in MODELS)} END AS DOUBLE)
+  * (CAST(('0x' || substr(md5(concat(CAST(s.order_key AS VARCHAR), m.model, '42')), 1, 8)) AS BIGINT) / 4294967296.0)
+  AS score
+  FROM split s, (VALUES {", ".join(f"('{mm}')" for mm in MODELS)}) m(model))"""
+
+
+def _metrics_sql(where: str, by: str) -> str:
+    eps = "2.220446049250313e-16"
+    return f"""WITH {PRED},
+p AS (SELECT * FROM pred WHERE {where}),
+c AS (SELECT {by}, count_if(y = 0 AND score < 0.5) AS tn, count_if(y = 0 AND score >= 0.5) AS fp,
+             count_if(y = 1 AND score < 0.5) AS fn, count_if(y = 1 AND score >= 0.5) AS tp, count(*) AS n,
+             sum(CASE WHEN y = 1 THEN -ln(greatest(least(score, 1 - {eps}), {eps}))
+                      ELSE -ln(greatest(least(1 - score, 1 - {eps}), {eps})) END) AS ll,
+             sum((score - y) * (score - y)) AS se
+      FROM p GROUP BY ALL),
+lv AS (SELECT {by}, score, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY ALL),
+a AS (SELECT {by}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (nb + neg * 0.5)) / (sum(pos) * sum(neg))
+                  ELSE 0.0 END AS roc_auc
+      FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY score
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM lv) GROUP BY ALL),
+ap AS (SELECT {by}, CASE WHEN sum(pos) > 0 THEN sum(CASE WHEN pos > 0 THEN pos * tps / (tps + fps) ELSE 0 END) / sum(pos)
+                   ELSE 0.0 END AS pr_auc
+       FROM (SELECT *, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps FROM lv
+             WINDOW w AS (PARTITION BY {by} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+       GROUP BY ALL),
+m AS (SELECT c.*, CAST(tn AS DOUBLE) AS tnd, CAST(fp AS DOUBLE) AS fpd, CAST(fn AS DOUBLE) AS fnd,
+             CAST(tp AS DOUBLE) AS tpd FROM c)
+SELECT {", ".join("m." + b.strip() for b in by.split(","))},
+  round(CASE WHEN n > 0 THEN (tpd + tnd) / n ELSE 0 END, 10) AS accuracy,
+  round(CASE WHEN tpd + fpd > 0 THEN tpd / (tpd + fpd) ELSE 0 END, 10) AS precision,
+  round(CASE WHEN tpd + fnd > 0 THEN tpd / (tpd + fnd) ELSE 0 END, 10) AS recall,
+  round(CASE WHEN tnd + fpd > 0 THEN tnd / (tnd + fpd) ELSE 0 END, 10) AS specificity,
+  round(CASE WHEN 2 * tpd + fpd + fnd > 0 THEN 2 * tpd / (2 * tpd + fpd + fnd) ELSE 0 END, 10) AS f1,
+  round(roc_auc, 10) AS roc_auc, round(pr_auc, 10) AS pr_auc,
+  round(CASE WHEN n > 0 THEN ll / n ELSE 0 END, 10) AS log_loss,
+  round(CASE WHEN tpd + fnd > 0 AND tnd + fpd > 0 THEN (tpd / (tpd + fnd) + tnd / (tnd + fpd)) / 2
+             WHEN tpd + fnd > 0 THEN tpd / (tpd + fnd) ELSE CASE WHEN tnd + fpd > 0 THEN tnd / (tnd + fpd) ELSE 0 END END,
+        10) AS balanced_accuracy,
+  round(CASE WHEN (tpd + fpd) * (tpd + fnd) * (tnd + fpd) * (tnd + fnd) > 0
+             THEN (tpd * tnd - fpd * fnd) / sqrt((tpd + fpd) * (tpd + fnd) * (tnd + fpd) * (tnd + fnd)) ELSE 0 END, 10)
+        AS mcc,
+  round(CASE WHEN n > 0 THEN se / n ELSE 0 END, 10) AS brier_score, 0.5::DOUBLE AS threshold, n, tn, fp, fn, tp
+FROM m JOIN a USING ({by}) JOIN ap USING ({by})"""
+
+
+def _bootstrap_sql(metric: str) -> str:
+    u = ("(CAST(('0x' || substr(md5(concat(CAST(order_key AS VARCHAR), '|', CAST(b AS VARCHAR), '|42')), 1, 8))"
+         " AS BIGINT) / 4294967296.0)")
+    w = (f"list_reduce(range(1, 21), lambda acc, j: {{'p': acc.p / j, 'c': acc.c + acc.p / j, "
+         f"'k': acc.k + CASE WHEN {u} > acc.c THEN 1 ELSE 0 END}}, "
+         f"{{'p': 0.36787944117144233::DOUBLE, 'c': 0.36787944117144233::DOUBLE, 'k': 0}}).k")
+    reps = f"""reps AS (SELECT model, b, y, score, CAST({w} AS DOUBLE) AS w
+      FROM (SELECT * FROM pred WHERE is_test) p, range(1, 201) r(b)),
+wr AS (SELECT * FROM reps WHERE w > 0)"""
+    if metric == "f1":
+        vals = """vals AS (SELECT model, b, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS v
+      FROM (SELECT model, b, sum(CASE WHEN y = 1 AND score >= 0.5 THEN w ELSE 0 END) AS tp,
+                   sum(CASE WHEN y = 0 AND score >= 0.5 THEN w ELSE 0 END) AS fp,
+                   sum(CASE WHEN y = 1 AND score < 0.5 THEN w ELSE 0 END) AS fn FROM wr GROUP BY ALL))"""
+    else:
+        vals = """lv AS (SELECT model, b, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos,
+                    sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM wr GROUP BY ALL),
+vals AS (SELECT model, b, sum(pos * (nb + neg * 0.5)) / (sum(pos) * sum(neg)) AS v
+      FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model, b ORDER BY score
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM lv)
+      GROUP BY ALL HAVING sum(pos) > 0 AND sum(neg) > 0)"""
+    return f"""WITH {PRED}, {reps}, {vals}
+SELECT model, round(quantile_cont(v, 0.025), 10) AS lower, round(quantile_cont(v, 0.975), 10) AS upper,
+       count(*) AS replicates FROM vals GROUP BY model"""
+
+
+def _slice3() -> dict[str, str]:
+    q = {}
+    q["cv_metrics"] = _metrics_sql("NOT is_test", "model, fold")
+    q["test_metrics"] = _metrics_sql("is_test", "model")
+    q["metric_heatmap"] = (f"SELECT model, accuracy, precision, recall, f1, roc_auc, balanced_accuracy FROM ("
+                           f"{_metrics_sql('is_test', 'model')})")
+    q["roc_curve"] = f"""WITH {PRED},
+p AS (SELECT * FROM pred WHERE is_test),
+lv AS (SELECT model, score, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY ALL),
+r AS (SELECT *, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps, row_number() OVER w AS idx,
+             sum(pos) OVER (PARTITION BY model) AS pp, sum(neg) OVER (PARTITION BY model) AS nn,
+             count(*) OVER (PARTITION BY model) AS m,
+             lead(pos) OVER w AS npos, lead(neg) OVER w AS nneg
+      FROM lv WINDOW w AS (PARTITION BY model ORDER BY score DESC))
+SELECT model, score AS threshold, round(fps / nn, 12) AS fpr, round(tps / pp, 12) AS tpr FROM r
+WHERE idx = 1 OR idx = m OR m <= 2 OR npos <> pos OR nneg <> neg
+UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr FROM p"""
+    q["bootstrap_f1"] = _bootstrap_sql("f1")
+    q["bootstrap_auc"] = _bootstrap_sql("roc_auc")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(_slice1())
+    q.update(_slice2())
+    q.update(_slice3())
     return q

@@ -86,21 +86,21 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
     base = df.withColumns({f"__v_{name}": v for name, v in vals.items()}).withColumn("__o", first.cast("double"))
     bounds = bucket_bounds(base, keys, F.col("__o"), rows_per_bucket, max_buckets)
     if not bounds:
-        staged = base.withColumn("__b", F.lit(0))
+        staged = base.withColumn("__bucket", F.lit(0))
     elif not keys:
         arr = F.array(*[F.lit(float(x)) for x in bounds[0]["__bounds"]])
         staged = base.withColumn("__bounds", arr).withColumn(
-            "__b", F.expr(_lower_bound("__bounds", "__o", max_buckets))).drop("__bounds")
+            "__bucket", F.expr(_lower_bound("__bounds", "__o", max_buckets))).drop("__bounds")
     else:
         schema = base.select(*keys).schema.add("__bounds", ArrayType(DoubleType()))
         bdf = spark.createDataFrame([tuple(r) for r in bounds], schema)
         bdf = bdf.select(*[F.col(k).alias(f"__bk_{k}") for k in keys], "__bounds")
         cond = reduce(lambda a, b: a & b, [base[k].eqNullSafe(bdf[f"__bk_{k}"]) for k in keys])
         staged = (base.join(F.broadcast(bdf), cond, "left")
-                      .withColumn("__b", F.expr(_lower_bound("__bounds", "__o", max_buckets)))
+                      .withColumn("__bucket", F.expr(_lower_bound("__bounds", "__o", max_buckets)))
                       .drop("__bounds", *[f"__bk_{k}" for k in keys]))
 
-    part = [*keys, "__b"]
+    part = [*keys, "__bucket"]
     frame_end = Window.currentRow if inclusive else -1
     local_w = (Window.partitionBy(*part).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, frame_end))
@@ -108,7 +108,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
         f"__loc_{name}": F.coalesce(F.sum(f"__v_{name}").over(local_w), F.lit(0)) for name in vals})
 
     slices = staged.groupBy(*part).agg(*[F.sum(f"__v_{name}").alias(f"__pt_{name}") for name in vals])
-    over_buckets = Window.partitionBy(*keys).orderBy("__b")
+    over_buckets = Window.partitionBy(*keys).orderBy("__bucket")
     offsets = slices.select(
         *part,
         *[F.coalesce(F.sum(f"__pt_{name}").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import profile, schema, validate
+from tessera.operators import features, metrics, profile, schema, split, validate
 from tessera.sources import testdata as td
 
 R = 9  # decimals kept for order-dependent doubles
@@ -149,6 +149,126 @@ def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("class", "rows", _r("weight").alias("weight"))
 
 
+# --------------------------------------------------------------------------
+# Slice 2: splits and features
+# --------------------------------------------------------------------------
+
+SEED = 42
+FOLDS = 5
+NUMERIC = list(td.ORDER_SPEC.numeric)
+CATEGORICAL = list(td.ORDER_SPEC.categorical)
+
+
+def study_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean rows with the exact stratified hold-out flag and train folds."""
+    return split.study_split(td.observations(spark, sf), "result", "order_key", 0.2, FOLDS, SEED)
+
+
+def q_holdout_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact stratified 80/20 hold-out (md5-ranked within class)."""
+    return study_rows(spark, sf).select("order_key", "result", "is_test")
+
+
+def q_kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: stratified 5-fold assignment of the training rows."""
+    return study_rows(spark, sf).where(~F.col("is_test")).select("order_key", "result", "fold")
+
+
+def q_fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """R1/R2 invariants: rows per (split, fold, class)."""
+    return study_rows(spark, sf).groupBy("is_test", "fold", "result").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_inner_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Inner stratified 80/20 split of the training rows (for tuning)."""
+    train = study_rows(spark, sf).where(~F.col("is_test")).drop("is_test", "fold")
+    inner = split.stratified_holdout(train, "result", "order_key", 0.2, SEED, salt="tune")
+    return inner.select("order_key", "result", F.col("is_test").alias("is_validation"))
+
+
+def q_head_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """First 1000 clean rows by key (report sample)."""
+    return split.head_sample(td.observations(spark, sf), "order_key", 1000)
+
+
+def q_preprocess_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit median/scale/mode/one-hot on train rows, apply to the test rows."""
+    rows = study_rows(spark, sf)
+    pre = features.fit_preprocessor(rows.where(~F.col("is_test")), NUMERIC, CATEGORICAL)
+    out = pre.transform(rows.where(F.col("is_test")), keep=["order_key"])
+    return out.select("order_key", *[_r(c).alias(c) for c in NUMERIC],
+                      *[F.col(f"`{c}`") for c in out.columns if "=" in c])
+
+
+def q_fold_numeric_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """per-fold training medians, means and scales, all folds in one pass."""
+    rows = study_rows(spark, sf).where(~F.col("is_test"))
+    num, _ = features.fold_statistics(rows, NUMERIC, CATEGORICAL, FOLDS)
+    return num.select("fold", "column", _r("median").alias("median"), _r("mean").alias("mean"),
+                      _r("scale").alias("scale"))
+
+
+def q_fold_category_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """per-fold training modes and level counts."""
+    rows = study_rows(spark, sf).where(~F.col("is_test"))
+    _, cat = features.fold_statistics(rows, NUMERIC, CATEGORICAL, FOLDS)
+    return cat
+
+
+# --------------------------------------------------------------------------
+# Slice 3: metrics over model scores
+# --------------------------------------------------------------------------
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Long predictions (order_key, y, model, score, is_test, fold) for the five models."""
+    rows = study_rows(spark, sf)
+    scored = td.scored(rows, "order_key", "result", SEED)
+    return scored.join(rows.select("order_key", "is_test", "fold"), "order_key").withColumnRenamed("result", "y")
+
+
+def _round_metrics(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.select(*by, *[_r(c, 10).alias(c) if c not in ("n", "threshold") else F.col(c)
+                            for c in metrics.METRIC_COLUMNS], "tn", "fp", "fn", "tp")
+
+
+def q_cv_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """E1-E11 per (model, fold) on the validation folds (the fold-score table)."""
+    p = predictions(spark, sf).where(~F.col("is_test"))
+    return _round_metrics(metrics.classification_metrics(p, ["model", "fold"]), ["model", "fold"])
+
+
+def q_test_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """E1-E11 per model on the hold-out rows."""
+    p = predictions(spark, sf).where(F.col("is_test"))
+    return _round_metrics(metrics.classification_metrics(p, ["model"]), ["model"])
+
+
+def q_roc_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """ROC points per model on the hold-out rows (collinear interior points dropped)."""
+    p = predictions(spark, sf).where(F.col("is_test"))
+    c = metrics.roc_curve(p, ["model"])
+    return c.select("model", "threshold", _r("fpr", 12).alias("fpr"), _r("tpr", 12).alias("tpr"))
+
+
+def q_metric_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    """Models x six metrics, sorted by F1."""
+    return metrics.metric_heatmap(q_test_metrics(spark, sf))
+
+
+def q_bootstrap_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """200-replicate percentile interval of test F1 per model."""
+    p = predictions(spark, sf).where(F.col("is_test"))
+    b = metrics.bootstrap_ci(p, ["model"], "order_key", metric="f1", replicates=200, seed=SEED)
+    return b.select("model", _r("lower", 10).alias("lower"), _r("upper", 10).alias("upper"), "replicates")
+
+
+def q_bootstrap_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """200-replicate percentile interval of test ROC-AUC per model."""
+    p = predictions(spark, sf).where(F.col("is_test"))
+    b = metrics.bootstrap_ci(p, ["model"], "order_key", metric="roc_auc", replicates=200, seed=SEED)
+    return b.select("model", _r("lower", 10).alias("lower"), _r("upper", 10).alias("upper"), "replicates")
+
+
 REGISTRY = {
     "normalize_upload": q_normalize_upload,
     "coerce": q_coerce,
@@ -168,4 +288,18 @@ REGISTRY = {
     "correlation": q_correlation,
     "category_class": q_category_class,
     "class_weights": q_class_weights,
+    "holdout_split": q_holdout_split,
+    "kfold_assign": q_kfold_assign,
+    "fold_sizes": q_fold_sizes,
+    "inner_split": q_inner_split,
+    "head_sample": q_head_sample,
+    "preprocess_apply": q_preprocess_apply,
+    "fold_numeric_stats": q_fold_numeric_stats,
+    "fold_category_stats": q_fold_category_stats,
+    "cv_metrics": q_cv_metrics,
+    "test_metrics": q_test_metrics,
+    "roc_curve": q_roc_curve,
+    "metric_heatmap": q_metric_heatmap,
+    "bootstrap_f1": q_bootstrap_f1,
+    "bootstrap_auc": q_bootstrap_auc,
 }
