@@ -336,9 +336,347 @@ UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr,
     return q
 
 
+# ---------------------------------------------------------------------------
+# distribution functions in DuckDB lambda syntax (same recipes, independent text)
+# ---------------------------------------------------------------------------
+_n = [0]
+
+
+def _v() -> str:
+    _n[0] += 1
+    return f"v{_n[0]}"
+
+
+def d_erfc(z: str) -> str:
+    a, k, b, j = _v(), _v(), _v(), _v()
+    zz = f"CAST(({z}) AS DOUBLE)"
+    series = (f"(1.0 - 2.0 / sqrt(pi()) * list_reduce(range(0, 81), lambda {a}, {k}: "
+              f"{{'t': -{a}.t * {zz} * {zz} / ({k} + 1), 's': {a}.s + {a}.t / (2 * {k} + 1)}}, "
+              f"{{'t': {zz}, 's': 0.0::DOUBLE}}).s)")
+    frac = (f"(exp(-{zz} * {zz}) / sqrt(pi()) / list_reduce(range(200, 0, -1), lambda {b}, {j}: "
+            f"{zz} + ({j} / 2.0) / {b}, {zz}))")
+    return f"(CASE WHEN {zz} IS NULL THEN NULL WHEN {zz} < 2.5 THEN {series} ELSE {frac} END)"
+
+
+def _d_t_tail(theta: str, n: str) -> str:
+    e, i, o, m = _v(), _v(), _v(), _v()
+    c2 = f"pow(cos({theta}), 2)"
+    even = (f"list_reduce(range(1, ({n}) // 2), lambda {e}, {i}: {{'t': {e}.t * (2 * {i} - 1) / (2 * {i}) * {c2}, "
+            f"'s': {e}.s + {e}.t * (2 * {i} - 1) / (2 * {i}) * {c2}}}, {{'t': 1.0::DOUBLE, 's': 1.0::DOUBLE}}).s")
+    odd = (f"list_reduce(range(1, (({n}) - 1) // 2), lambda {o}, {m}: {{'t': {o}.t * (2 * {m}) / (2 * {m} + 1) * {c2}, "
+           f"'s': {o}.s + {o}.t * (2 * {m}) / (2 * {m} + 1) * {c2}}}, {{'t': 1.0::DOUBLE, 's': 1.0::DOUBLE}}).s")
+    return (f"(1.0 - CASE WHEN ({n}) % 2 = 0 THEN sin({theta}) * {even} "
+            f"ELSE 2.0 / pi() * ({theta} + CASE WHEN ({n}) > 1 THEN sin({theta}) * cos({theta}) * {odd} ELSE 0.0 END) END)")
+
+
+def d_t_sf2(t: str, n: str) -> str:
+    theta = f"atan(abs(CAST(({t}) AS DOUBLE)) / sqrt(CAST(({n}) AS DOUBLE)))"
+    return f"(CASE WHEN ({t}) IS NULL OR ({n}) IS NULL OR ({n}) < 1 THEN NULL ELSE greatest(0.0, {_d_t_tail(theta, n)}) END)"
+
+
+def d_t_quantile2(alpha: str, n: str, steps: int = 64) -> str:
+    q, r = _v(), _v()
+    mid = f"(({q}.lo + {q}.hi) / 2.0)"
+    return (f"(sqrt(CAST(({n}) AS DOUBLE)) * tan(list_reduce(range(1, {steps + 1}), lambda {q}, {r}: "
+            f"CASE WHEN {_d_t_tail(mid, n)} > ({alpha}) THEN {{'lo': {mid}, 'hi': {q}.hi}} "
+            f"ELSE {{'lo': {q}.lo, 'hi': {mid}}} END, {{'lo': 0.0::DOUBLE, 'hi': pi() / 2.0}}) "
+            f".lo / 2.0 + list_reduce(range(1, {steps + 1}), lambda {q}, {r}: "
+            f"CASE WHEN {_d_t_tail(mid, n)} > ({alpha}) THEN {{'lo': {mid}, 'hi': {q}.hi}} "
+            f"ELSE {{'lo': {q}.lo, 'hi': {mid}}} END, {{'lo': 0.0::DOUBLE, 'hi': pi() / 2.0}}).hi / 2.0))")
+
+
+def d_chi2_sf(x: str, df: str) -> str:
+    c, j, d, k = _v(), _v(), _v(), _v()
+    xx = f"CAST(({x}) AS DOUBLE)"
+    even = (f"exp(-{xx} / 2.0) * list_reduce(range(1, ({df}) // 2), lambda {c}, {j}: "
+            f"{{'t': {c}.t * ({xx} / 2.0) / {j}, 's': {c}.s + {c}.t * ({xx} / 2.0) / {j}}}, "
+            f"{{'t': 1.0::DOUBLE, 's': 1.0::DOUBLE}}).s")
+    odd_tail = (f"exp(-{xx} / 2.0) * list_reduce(range(1, (({df}) - 1) // 2 + 1), lambda {d}, {k}: "
+                f"{{'t': {d}.t * ({xx} / 2.0) / ({k} + 0.5), 's': {d}.s + {d}.t}}, "
+                f"{{'t': sqrt({xx} / 2.0) / (sqrt(pi()) / 2.0), 's': 0.0::DOUBLE}}).s")
+    return (f"(CASE WHEN {xx} IS NULL OR ({df}) IS NULL THEN NULL WHEN {xx} <= 0 THEN 1.0 "
+            f"WHEN ({df}) % 2 = 0 THEN {even} ELSE ({d_erfc(f'sqrt({xx} / 2.0)')} + {odd_tail}) END)")
+
+
+def d_signed_rank_exact(w: str, n: str) -> str:
+    a, r, i, x = _v(), _v(), _v(), _v()
+    counts = (f"list_reduce(range(1, ({n}) + 1), lambda {a}, {r}: list_transform(range(0, len({a})), lambda {i}: "
+              f"{a}[{i} + 1] + CASE WHEN {i} >= {r} THEN {a}[{i} - {r} + 1] ELSE 0 END), "
+              f"list_concat([1::BIGINT], list_transform(range(0, ({n}) * (({n}) + 1) // 2), lambda {x}: 0::BIGINT)))")
+    return f"least(1.0, 2.0 * list_sum(({counts})[1:CAST(floor({w}) AS BIGINT) + 1]) / pow(2.0, ({n})))"
+
+
+def d_signed_rank_normal(w: str, n: str, tie: str) -> str:
+    nn = f"CAST(({n}) AS DOUBLE)"
+    z = f"((({w}) - {nn} * ({nn} + 1.0) / 4.0) / sqrt(({nn} * ({nn} + 1.0) * (2.0 * {nn} + 1.0) - 0.5 * ({tie})) / 24.0))"
+    return d_erfc(f"abs({z}) / sqrt(2.0)")
+
+
+def _fold_scores(by_status: bool = False) -> str:
+    fam = "o_orderstatus AS family, " if by_status else ""
+    return (f"SELECT {fam}strftime(o_orderdate, '%Y-%m') AS block, o_orderpriority AS treatment, "
+            f"avg(o_totalprice) AS value FROM orders GROUP BY ALL")
+
+
+def _complete(src: str, fam: list[str], block: str, treat: str, value: str) -> str:
+    f = ", ".join(fam) + ", " if fam else ""
+    on = " AND ".join([f"c.{x} IS NOT DISTINCT FROM kk.{x}" for x in fam]) or "TRUE"
+    return f"""(SELECT c.* FROM (SELECT {f}{block}, {treat}, avg({value}) AS {value} FROM ({src}) GROUP BY ALL
+        HAVING avg({value}) IS NOT NULL) c
+      JOIN (SELECT {f}count(DISTINCT {treat}) AS k FROM (SELECT {f}{treat}, avg({value}) AS v FROM ({src})
+            GROUP BY ALL HAVING avg({value}) IS NOT NULL) GROUP BY ALL) kk ON {on}
+      JOIN (SELECT {f}{block}, count(*) AS m FROM (SELECT {f}{block}, {treat} FROM ({src}) GROUP BY ALL
+            HAVING avg({value}) IS NOT NULL) GROUP BY ALL) mm
+        ON {" AND ".join([f"c.{x} IS NOT DISTINCT FROM mm.{x}" for x in fam] + [f"c.{block} = mm.{block}"])}
+      WHERE mm.m = kk.k)"""
+
+
+def _friedman_sql(comp: str, fam: list[str], block: str, treat: str, value: str) -> str:
+    f = ", ".join(fam) + ", " if fam else ""
+    pf = f"PARTITION BY {', '.join(fam + [block])}"
+    g = ", ".join(fam)
+    gb = f"GROUP BY {g}" if fam else ""
+    stat = "CASE WHEN k >= 3 AND n >= 3 AND corr > 0 THEN qraw / corr END"
+    return f"""WITH comp AS {comp},
+rk AS (SELECT *, rank() OVER ({pf} ORDER BY {value}) + (count(*) OVER ({pf}, {value}) - 1) / 2.0 AS r FROM comp),
+pt AS (SELECT {f}{treat}, sum(r) AS rr FROM rk GROUP BY ALL),
+ss AS (SELECT {f}sum(rr * rr) AS ss, count(*) AS k FROM pt {gb}),
+nb AS (SELECT {f}count(DISTINCT {block}) AS n FROM comp {gb}),
+ti AS (SELECT {f}sum(pow(t, 3) - t) AS tie FROM (SELECT {f}{block}, {value}, count(*) AS t FROM comp GROUP BY ALL)
+       {gb}),
+al AS (SELECT * FROM ss {"NATURAL JOIN nb NATURAL JOIN ti" if fam else ", nb, ti"}),
+st AS (SELECT *, 1.0 - tie / (CAST(n AS DOUBLE) * k * (CAST(k AS DOUBLE) * k - 1.0)) AS corr,
+              (12.0 / (CAST(n AS DOUBLE) * k * (k + 1.0))) * ss - 3.0 * n * (k + 1.0) AS qraw FROM al),
+fin AS (SELECT {f}k, n, {stat} AS statistic, CAST(k - 1 AS INTEGER) AS df, (k >= 3 AND n >= 3) AS available FROM st)
+SELECT {f}k, n, round(statistic, 6) AS statistic, df, available,
+  round(CASE WHEN available THEN {d_chi2_sf('statistic', 'df')} END, 10) AS p_value,
+  round(CASE WHEN available THEN statistic / (n * (k - 1)) END, 9) AS kendall_w,
+  coalesce(CASE WHEN available THEN {d_chi2_sf('statistic', 'df')} END < 0.05, false) AS significant,
+  CASE WHEN NOT available THEN 'Friedman needs at least 3 treatments and 3 complete blocks.' END AS reason
+FROM fin"""
+
+
+def _pairs(comp: str, fam: list[str], block: str, treat: str, value: str) -> str:
+    on = " AND ".join([f"a.{x} IS NOT DISTINCT FROM b.{x}" for x in fam] + [f"a.{block} = b.{block}",
+                                                                           f"a.{treat} < b.{treat}"])
+    f = "".join(f"a.{x}, " for x in fam)
+    return (f"(SELECT {f}a.{block}, a.{treat} AS model_a, b.{treat} AS model_b, a.{value} - b.{value} AS d "
+            f"FROM {comp} a JOIN {comp} b ON {on})")
+
+
+def _holm_sql(src: str, fam: list[str], p: str, out: str) -> str:
+    part = ", ".join(fam + ["valid"])
+    return f"""(SELECT *, CASE WHEN valid THEN least(1.0, max(h) OVER (PARTITION BY {part} ORDER BY {p}, model_a, model_b
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS {out}
+  FROM (SELECT *, (count(*) OVER (PARTITION BY {part}) - row_number() OVER (PARTITION BY {part} ORDER BY {p}, model_a, model_b)
+                   + 1) * {p} AS h
+        FROM (SELECT *, {p} IS NOT NULL AND NOT isnan({p}) AND NOT isinf({p}) AS valid FROM {src})))"""
+
+
+def _paired_t_sql(diffs: str, fam: list[str]) -> str:
+    f = ", ".join(fam) + ", " if fam else ""
+    base = f"""(SELECT {f}model_a, model_b, count(*) AS n, avg(d) AS mean_difference,
+       CASE WHEN count(*) > 1 THEN stddev_samp(d) END AS sd_difference,
+       CASE WHEN count(*) >= 2 THEN CAST(count(*) - 1 AS INTEGER) END AS degrees_of_freedom
+  FROM {diffs} GROUP BY ALL)"""
+    t = f"""(SELECT *, CASE WHEN n < 2 THEN NULL WHEN coalesce(sd_difference > 0, false)
+             THEN mean_difference / (sd_difference / sqrt(n)) WHEN mean_difference > 0 THEN 'inf'::DOUBLE
+             WHEN mean_difference < 0 THEN '-inf'::DOUBLE ELSE 0.0 END AS t_statistic,
+          coalesce(sd_difference > 0, false) AS has_sd FROM {base})"""
+    p = f"""(SELECT *, CASE WHEN n < 2 THEN NULL WHEN has_sd THEN {d_t_sf2('t_statistic', 'degrees_of_freedom')}
+             WHEN mean_difference <> 0 THEN 0.0 ELSE 1.0 END AS p_value,
+          CASE WHEN has_sd THEN {d_t_quantile2('0.05', 'degrees_of_freedom')} * sd_difference / sqrt(n) END AS half
+        FROM {t})"""
+    h = _holm_sql(p, fam, "p_value", "p_value_holm")
+    return f"""SELECT {f}model_a, model_b, n, round(mean_difference, 6) AS mean_difference,
+  round(sd_difference, 6) AS sd_difference, degrees_of_freedom,
+  round(CASE WHEN n < 2 THEN NULL WHEN has_sd THEN mean_difference - half ELSE mean_difference END, 6) AS ci95_low,
+  round(CASE WHEN n < 2 THEN NULL WHEN has_sd THEN mean_difference + half ELSE mean_difference END, 6) AS ci95_high,
+  round(CASE WHEN has_sd THEN mean_difference / sd_difference ELSE 0.0 END, 9) AS cohen_d_paired,
+  CASE WHEN coalesce(mean_difference, 0) > 0 THEN 'may be higher' WHEN coalesce(mean_difference, 0) < 0
+       THEN 'may be lower' ELSE 'is equal' END AS direction,
+  round(t_statistic, 9) AS t_statistic, round(p_value, 10) AS p_value, round(p_value_holm, 10) AS p_value_holm,
+  coalesce(p_value_holm < 0.05, false) AS significant
+FROM {h}"""
+
+
+def _wilcoxon_sql(diffs: str, fam: list[str]) -> str:
+    f = ", ".join(fam) + ", " if fam else ""
+    pk = ", ".join(fam + ["model_a", "model_b"])
+    on = " AND ".join([f"b.{x} IS NOT DISTINCT FROM s.{x}" for x in fam] + ["b.model_a = s.model_a",
+                                                                           "b.model_b = s.model_b"])
+    base = f"(SELECT {f}model_a, model_b, count(*) AS n, count_if(d = 0) AS n_zero, avg(d) AS md FROM {diffs} GROUP BY ALL)"
+    lv = f"""(SELECT *, coalesce(sum(c) OVER (PARTITION BY {pk} ORDER BY absd ROWS BETWEEN UNBOUNDED PRECEDING
+                                   AND 1 PRECEDING), 0) AS below
+        FROM (SELECT {f}model_a, model_b, abs(d) AS absd, count_if(d > 0) AS pos, count_if(d < 0) AS neg,
+                     count(*) AS c FROM {diffs} WHERE d <> 0 GROUP BY ALL))"""
+    sums = f"""(SELECT {f}model_a, model_b, sum((below + (c + 1) / 2.0) * pos) AS wp, sum((below + (c + 1) / 2.0) * neg) AS wm,
+              CAST(sum(c) AS BIGINT) AS nnz, sum(pow(c, 3) - c) AS tie, max(c) AS maxc FROM {lv} GROUP BY ALL)"""
+    j = f"""(SELECT b.*, coalesce(s.wp, 0.0) AS wp, coalesce(s.wm, 0.0) AS wm, coalesce(s.nnz, 0) AS n_nonzero,
+               coalesce(s.tie, 0.0) AS tie, coalesce(s.maxc, 0) AS maxc, least(coalesce(s.wp, 0.0), coalesce(s.wm, 0.0)) AS w
+        FROM {base} b LEFT JOIN {sums} s ON {on})"""
+    exact = "(n_zero = 0 AND maxc <= 1 AND n_nonzero <= 50)"
+    p = f"""(SELECT *, CASE WHEN n < 2 THEN NULL WHEN n_nonzero = 0 THEN 1.0
+             WHEN {exact} THEN {d_signed_rank_exact('w', 'n_nonzero')}
+             ELSE {d_signed_rank_normal('w', 'n_nonzero', 'tie')} END AS p_value FROM {j})"""
+    h = _holm_sql(p, fam, "p_value", "p_value_holm")
+    return f"""SELECT {f}model_a, model_b, n, n_zero, n_nonzero,
+  round(CASE WHEN n < 2 THEN NULL WHEN n_nonzero = 0 THEN 0.0 ELSE w END, 6) AS statistic,
+  round(wp, 6) AS positive_rank_sum, round(wm, 6) AS negative_rank_sum,
+  round(CASE WHEN wp + wm > 0 THEN (wp - wm) / (wp + wm) ELSE 0.0 END, 9) AS effect,
+  CASE WHEN coalesce(md, 0) > 0 THEN 'may be higher' WHEN coalesce(md, 0) < 0 THEN 'may be lower' ELSE 'is equal' END
+    AS direction,
+  CASE WHEN n < 2 THEN NULL WHEN n_nonzero = 0 THEN 'all-zero' WHEN {exact} THEN 'exact' ELSE 'normal' END AS method,
+  round(p_value, 10) AS p_value, round(p_value_holm, 10) AS p_value_holm, coalesce(p_value_holm < 0.05, false) AS significant
+FROM {h}"""
+
+
+def _slice4() -> dict[str, str]:
+    q = {}
+    comp = _complete(_fold_scores(), [], "block", "treatment", "value")
+    comp_s = _complete(_fold_scores(True), ["family"], "block", "treatment", "value")
+    q["complete_blocks"] = f"SELECT block, treatment, round(value, 6) AS value FROM {comp}"
+    q["applicability"] = f"""WITH raw AS ({_fold_scores(True)}),
+k AS (SELECT family, count(DISTINCT treatment) AS treatments FROM raw WHERE value IS NOT NULL GROUP BY family),
+n AS (SELECT family, count(DISTINCT block) AS complete_blocks FROM {comp_s} GROUP BY family)
+SELECT k.family, treatments, coalesce(complete_blocks, 0) AS complete_blocks,
+  treatments >= 3 AND coalesce(complete_blocks, 0) >= 3 AS friedman_available,
+  CASE WHEN NOT (treatments >= 3 AND coalesce(complete_blocks, 0) >= 3)
+       THEN 'Friedman needs at least 3 treatments and 3 complete blocks.' END AS reason
+FROM k LEFT JOIN n ON k.family IS NOT DISTINCT FROM n.family"""
+    q["friedman"] = _friedman_sql(comp, [], "block", "treatment", "value")
+    q["friedman_by_status"] = _friedman_sql(comp_s, ["family"], "block", "treatment", "value")
+    q["paired_t"] = _paired_t_sql(_pairs(comp, [], "block", "treatment", "value"), [])
+    q["paired_t_by_status"] = _paired_t_sql(_pairs(comp_s, ["family"], "block", "treatment", "value"), ["family"])
+    q["wilcoxon"] = _wilcoxon_sql(_pairs(comp, [], "block", "treatment", "value"), [])
+    return q
+
+
+def _rnd_all(sql: str) -> str:
+    """Rewrite every round(expr, d) as the IEEE half-up form used by the Spark queries."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 6, None
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        if comma is None:
+            out.append(sql[i:k + 1])
+            i = k + 1
+            continue
+        expr = _rnd_all(sql[j + 6:comma])
+        d = int(sql[comma + 1:k].strip())
+        scale = float(10 ** d)
+        out.append(sql[i:j])
+        out.append(f"(CASE WHEN abs({expr}) < {1e15 / scale!r} THEN floor(({expr}) * {scale!r} + 0.5) / {scale!r} "
+                   f"ELSE ({expr}) END)")
+        i = k + 1
+
+
+CVS = f"""{PRED},
+cvp AS (SELECT * FROM pred WHERE NOT is_test),
+cvc AS (SELECT model, fold, CAST(count_if(y = 1 AND score >= 0.5) AS DOUBLE) AS tp,
+               CAST(count_if(y = 0 AND score >= 0.5) AS DOUBLE) AS fp,
+               CAST(count_if(y = 1 AND score < 0.5) AS DOUBLE) AS fn FROM cvp GROUP BY ALL),
+cvlv AS (SELECT model, fold, score, sum(y) AS pos, sum(1 - y) AS neg FROM cvp GROUP BY ALL),
+cva AS (SELECT model, fold, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (nb + neg * 0.5)) / (sum(pos) * sum(neg))
+                   ELSE 0.0 END AS roc_auc
+        FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model, fold ORDER BY score
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM cvlv) GROUP BY ALL),
+cvs AS (SELECT model, fold, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+               roc_auc, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall
+        FROM cvc JOIN cva USING (model, fold)),
+summ AS (SELECT model, avg(f1) AS cv_f1_mean, coalesce(stddev_samp(f1), 0.0) AS cv_f1_std,
+                avg(roc_auc) AS cv_roc_auc_mean, avg(recall) AS cv_recall_mean FROM cvs GROUP BY model)"""
+RANK_ORDER = "cv_f1_mean DESC, cv_roc_auc_mean DESC, cv_recall_mean DESC, cv_f1_std ASC, model ASC"
+
+
+def _slice5() -> dict[str, str]:
+    q = {}
+    comp = "(SELECT fold, model, f1 FROM cvs)"
+    diffs = _pairs(comp, [], "fold", "model", "f1")
+    t = _paired_t_sql(diffs, []).replace("round(mean_difference, 6)", "round(mean_difference, 10)")
+    w = _wilcoxon_sql(diffs, [])
+    q["cv_tests"] = f"""WITH {CVS}, tt AS ({t}), ww AS ({w})
+SELECT model_a, model_b, tt.n, tt.mean_difference, round(tt.t_statistic, 6) AS t_statistic, tt.p_value AS t_p_value,
+  tt.p_value_holm AS t_p_holm, tt.significant AS t_significant,
+  CASE WHEN tt.p_value_holm IS NULL THEN 'Not enough blocks to interpret.'
+       WHEN tt.significant THEN printf('adjusted p=%.5f < 0.05: significant mean difference; %s %s than %s.',
+                                       tt.p_value_holm, model_a, tt.direction, model_b)
+       ELSE printf('adjusted p=%.5f >= 0.05: no significant mean difference between %s and %s.',
+                   tt.p_value_holm, model_a, model_b) END AS t_interpretation,
+  ww.statistic AS w_statistic, ww.p_value AS w_p_value, ww.p_value_holm AS w_p_holm, ww.method AS w_method
+FROM tt JOIN ww USING (model_a, model_b)"""
+    fr = _friedman_sql("(SELECT * FROM cvs)", [], "fold", "model", "f1")
+    q["cv_friedman"] = fr.replace("WITH comp AS (SELECT * FROM cvs)", f"WITH {CVS}, comp AS (SELECT * FROM cvs)").replace(
+        "FROM fin", "FROM fin").replace(
+        "CASE WHEN NOT available THEN 'Friedman needs at least 3 treatments and 3 complete blocks.' END AS reason",
+        "CASE WHEN NOT available THEN 'Friedman needs at least 3 treatments and 3 complete blocks.' END AS reason, "
+        "CASE WHEN NOT available THEN 'Friedman cannot be concluded: run with at least 3 complete blocks.' "
+        f"WHEN {d_chi2_sf('statistic', 'df')} < 0.05 THEN printf('p=%.5f < 0.05: H0 rejected, the %d treatments differ "
+        "overall; Friedman alone does not say which pairs differ, see the paired tests.', "
+        f"{d_chi2_sf('statistic', 'df')}, k) ELSE printf('p=%.5f >= 0.05: H0 not rejected; no evidence of an overall "
+        f"difference.', {d_chi2_sf('statistic', 'df')}) END AS interpretation")
+    test = f"""tm AS (SELECT model, CAST(count_if(y = 1 AND score >= 0.5) AS DOUBLE) AS tp,
+        CAST(count_if(y = 0 AND score >= 0.5) AS DOUBLE) AS fp, CAST(count_if(y = 1 AND score < 0.5) AS DOUBLE) AS fn
+        FROM pred WHERE is_test GROUP BY model),
+tlv AS (SELECT model, score, sum(y) AS pos, sum(1 - y) AS neg FROM pred WHERE is_test GROUP BY ALL),
+ta AS (SELECT model, sum(pos * (nb + neg * 0.5)) / (sum(pos) * sum(neg)) AS roc_auc
+       FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY score
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM tlv) GROUP BY ALL)"""
+    q["model_comparison"] = f"""WITH {CVS}, {test}
+SELECT model, CAST(row_number() OVER (ORDER BY {RANK_ORDER}) AS INTEGER) AS rank,
+  round(2 * tp / (2 * tp + fp + fn), 10) AS f1, round(roc_auc, 10) AS roc_auc, round(tp / (tp + fn), 10) AS recall,
+  round(cv_f1_mean, 10) AS cv_f1_mean, round(cv_f1_std, 10) AS cv_f1_std,
+  round(cv_roc_auc_mean, 10) AS cv_roc_auc_mean, round(cv_recall_mean, 10) AS cv_recall_mean
+FROM tm JOIN ta USING (model) JOIN summ USING (model)"""
+    q["model_means"] = f"WITH {CVS} SELECT model, round(avg(f1), 10) AS mean_f1 FROM cvs GROUP BY model"
+    q["cv_page_summary"] = f"""WITH {CVS} SELECT round(avg(f1), 10) AS mean_f1, round(stddev_samp(f1), 10) AS std_f1,
+  count(DISTINCT fold) AS folds FROM cvs"""
+    q["mcnemar"] = f"""WITH {CVS},
+best AS (SELECT model AS best FROM summ ORDER BY {RANK_ORDER} LIMIT 1),
+ok AS (SELECT order_key, model, CAST(score >= 0.5 AS INTEGER) = y AS ok FROM pred WHERE is_test),
+b AS (SELECT order_key, ok AS best_ok FROM ok, best WHERE model = best.best),
+t AS (SELECT best.best, o.model AS competitor,
+             count_if(best_ok AND ok) AS both_correct, count_if(best_ok AND NOT ok) AS best_only_correct,
+             count_if(NOT best_ok AND ok) AS competitor_only_correct, count_if(NOT best_ok AND NOT ok) AS both_wrong
+      FROM ok o JOIN b USING (order_key), best WHERE o.model <> best.best GROUP BY ALL),
+s AS (SELECT *, CASE WHEN best_only_correct + competitor_only_correct > 0
+                     THEN pow(abs(best_only_correct - competitor_only_correct) - 1.0, 2)
+                          / CAST(best_only_correct + competitor_only_correct AS DOUBLE) END AS statistic FROM t)
+SELECT best, competitor, both_correct, best_only_correct, competitor_only_correct, both_wrong,
+  round(statistic, 9) AS statistic,
+  round(CASE WHEN statistic IS NULL THEN 1.0 ELSE {d_chi2_sf('statistic', '1')} END, 12) AS p_value FROM s"""
+    comp_s = _complete(_fold_scores(True), ["family"], "block", "treatment", "value")
+    pt = _paired_t_sql(_pairs(comp_s, ["family"], "block", "treatment", "value"), ["family"])
+    q["significance_counts"] = f"""SELECT family, count_if(significant) AS significant, count(*) AS comparisons
+FROM ({pt}) GROUP BY family"""
+    q["positive_predictions"] = f"""WITH {PRED} SELECT model, count_if(score >= 0.5) AS positive_predictions,
+  count(*) AS rows FROM pred WHERE is_test GROUP BY model"""
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(_slice1())
     q.update(_slice2())
     q.update(_slice3())
-    return q
+    q.update(_slice4())
+    q.update(_slice5())
+    return {k: _rnd_all(v) for k, v in q.items()}

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tessera.session import materialize
+
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -84,6 +86,9 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
     vals = {name: _as_col(v) for name, v in values.items()}
 
     base = df.withColumns({f"__v_{name}": v for name, v in vals.items()}).withColumn("__o", first.cast("double"))
+    # The sketch pass and the main pass both read this input: write it once to
+    # the shared checkpoint folder instead of recomputing its lineage twice.
+    base = materialize(base)
     bounds = bucket_bounds(base, keys, F.col("__o"), rows_per_bucket, max_buckets)
     if not bounds:
         staged = base.withColumn("__bucket", F.lit(0))

@@ -8,17 +8,21 @@ the oracle) so the comparison is about logic, not float association.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import features, metrics, profile, schema, split, validate
+from tessera.operators import features, metrics, profile, schema, split, stats, validate
 from tessera.sources import testdata as td
 
 R = 9  # decimals kept for order-dependent doubles
 
 
 def _r(c, d: int = R):
-    return F.round(c if not isinstance(c, str) else F.col(c), d)
+    """Round half up by plain IEEE steps, floor(x * 10^d + 0.5) / 10^d, so any engine that
+    holds the same double produces the same digits; huge or non-finite values pass unchanged."""
+    x = F.col(c) if isinstance(c, str) else c
+    scale = float(10 ** d)
+    return F.when(F.abs(x) < F.lit(1e15 / scale), F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(x)
 
 
 # --------------------------------------------------------------------------
@@ -269,6 +273,170 @@ def q_bootstrap_auc(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("model", _r("lower", 10).alias("lower"), _r("upper", 10).alias("upper"), "replicates")
 
 
+# --------------------------------------------------------------------------
+# Slice 4: paired statistical tests
+# --------------------------------------------------------------------------
+
+T_ROUND = {"mean_difference": 6, "sd_difference": 6, "ci95_low": 6, "ci95_high": 6, "cohen_d_paired": 9,
+           "t_statistic": 9, "p_value": 10, "p_value_holm": 10, "statistic": 6, "positive_rank_sum": 6,
+           "negative_rank_sum": 6, "effect": 9, "kendall_w": 9}
+
+
+def _round_cols(df: DataFrame, table: dict = T_ROUND) -> DataFrame:
+    return df.select(*[_r(c, table[c]).alias(c) if c in table else F.col(c) for c in df.columns])
+
+
+def _orders_tables(spark, sf, by_status=False):
+    fam = ["family"] if by_status else []
+    raw = td.fold_scores(spark, sf, by_status)
+    comp = stats.complete_blocks(raw, fam, "block", "treatment", "value")
+    return fam, raw, comp
+
+
+def q_complete_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Complete-case (block x treatment) table of the order fold scores."""
+    _, _, comp = _orders_tables(spark, sf)
+    return comp.select("block", "treatment", _r("value", 6).alias("value"))
+
+
+def q_applicability(spark: SparkSession, sf: str) -> DataFrame:
+    """Treatments, complete blocks and Friedman availability per family."""
+    fam, raw, comp = _orders_tables(spark, sf, by_status=True)
+    return stats.applicability(raw, fam, "block", "treatment", "value", comp)
+
+
+def q_friedman(spark: SparkSession, sf: str) -> DataFrame:
+    """Friedman test + Kendall W over order months (blocks) x priorities (treatments)."""
+    fam, _, comp = _orders_tables(spark, sf)
+    return _round_cols(stats.friedman(comp, fam, "block", "treatment", "value").drop("interpretation"))
+
+
+def q_friedman_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    """T9/T10 for several independent families at once (family = order status)."""
+    fam, _, comp = _orders_tables(spark, sf, by_status=True)
+    return _round_cols(stats.friedman(comp, fam, "block", "treatment", "value").drop("interpretation"))
+
+
+def q_paired_t(spark: SparkSession, sf: str) -> DataFrame:
+    """Paired t per priority pair with CI, Cohen d, direction and Holm."""
+    fam, _, comp = _orders_tables(spark, sf)
+    d = stats.paired_differences(comp, fam, "block", "treatment", "value")
+    return _round_cols(stats.paired_t(d, fam).drop("interpretation"))
+
+
+def q_paired_t_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    """T1-T5, T11, T12 with one Holm family per order status."""
+    fam, _, comp = _orders_tables(spark, sf, by_status=True)
+    d = stats.paired_differences(comp, fam, "block", "treatment", "value")
+    return _round_cols(stats.paired_t(d, fam).drop("interpretation"))
+
+
+def q_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
+    """Signed-rank test per priority pair (normal approximation at this size)."""
+    fam, _, comp = _orders_tables(spark, sf)
+    d = stats.paired_differences(comp, fam, "block", "treatment", "value")
+    return _round_cols(stats.wilcoxon(d, fam).drop("interpretation"))
+
+
+def cv_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Fold-score table (model, fold, f1, roc_auc, recall) from the cross-validation metrics."""
+    p = predictions(spark, sf).where(~F.col("is_test"))
+    return metrics.classification_metrics(p, ["model", "fold"]).select("model", "fold", "f1", "roc_auc", "recall")
+
+
+def q_cv_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """T1-T8, T11, T12, T14 on the model x fold F1 table: paired t and signed-rank (exact) side by side."""
+    cv = cv_scores(spark, sf)
+    comp = stats.complete_blocks(cv, [], "fold", "model", "f1")
+    d = stats.paired_differences(comp, [], "fold", "model", "f1")
+    t = stats.paired_t(d, []).select("model_a", "model_b", "n", "mean_difference", "t_statistic",
+                                     F.col("p_value").alias("t_p_value"), F.col("p_value_holm").alias("t_p_holm"),
+                                     F.col("significant").alias("t_significant"),
+                                     F.col("interpretation").alias("t_interpretation"))
+    w = stats.wilcoxon(d, []).select("model_a", "model_b", F.col("statistic").alias("w_statistic"),
+                                     F.col("p_value").alias("w_p_value"), F.col("p_value_holm").alias("w_p_holm"),
+                                     F.col("method").alias("w_method"))
+    out = t.join(w, ["model_a", "model_b"])
+    return out.select("model_a", "model_b", "n", _r("mean_difference", 10).alias("mean_difference"),
+                      _r("t_statistic", 6).alias("t_statistic"), _r("t_p_value", 10).alias("t_p_value"),
+                      _r("t_p_holm", 10).alias("t_p_holm"), "t_significant", "t_interpretation",
+                      _r("w_statistic", 6).alias("w_statistic"), _r("w_p_value", 10).alias("w_p_value"),
+                      _r("w_p_holm", 10).alias("w_p_holm"), "w_method")
+
+
+def q_cv_friedman(spark: SparkSession, sf: str) -> DataFrame:
+    """T9/T10/T14 on the model x fold F1 table."""
+    cv = cv_scores(spark, sf)
+    comp = stats.complete_blocks(cv, [], "fold", "model", "f1")
+    return _round_cols(stats.friedman(comp, [], "fold", "model", "f1"))
+
+
+def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """A13 + J4: test metrics per model with the CV summary attached."""
+    cv = cv_scores(spark, sf)
+    summary = cv.groupBy("model").agg(
+        F.avg("f1").alias("cv_f1_mean"), F.coalesce(F.stddev_samp("f1"), F.lit(0.0)).alias("cv_f1_std"),
+        F.avg("roc_auc").alias("cv_roc_auc_mean"), F.avg("recall").alias("cv_recall_mean"))
+    test = metrics.classification_metrics(predictions(spark, sf).where(F.col("is_test")), ["model"])
+    return test.join(summary, "model")
+
+
+def ranking():
+    """Selection order: cv F1, AUC, recall descending, F1 std ascending, then name."""
+    return [F.col("cv_f1_mean").desc(), F.col("cv_roc_auc_mean").desc(), F.col("cv_recall_mean").desc(),
+            F.col("cv_f1_std").asc(), F.col("model").asc()]
+
+
+def q_model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """M8 + A13 + J4: comparison table with the selection rank (cv F1, AUC, recall desc; F1 std asc)."""
+    comp = model_comparison(spark, sf)
+    ranked = comp.withColumn("rank", F.row_number().over(Window.orderBy(*ranking())))
+    return ranked.select("model", "rank", *[_r(c, 10).alias(c) for c in
+                                            ["f1", "roc_auc", "recall", "cv_f1_mean", "cv_f1_std",
+                                             "cv_roc_auc_mean", "cv_recall_mean"]])
+
+
+def q_model_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean F1 per model over complete folds, best first."""
+    comp = stats.complete_blocks(cv_scores(spark, sf), [], "fold", "model", "f1")
+    return comp.groupBy("model").agg(_r(F.avg("f1"), 10).alias("mean_f1")).orderBy(F.col("mean_f1").desc())
+
+
+def q_cv_page_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Overall mean and sample std of fold F1, number of distinct folds."""
+    cv = cv_scores(spark, sf)
+    return cv.agg(_r(F.avg("f1"), 10).alias("mean_f1"), _r(F.stddev_samp("f1"), 10).alias("std_f1"),
+                  F.count_distinct("fold").alias("folds"))
+
+
+def best_model(spark: SparkSession, sf: str) -> str:
+    """Name of the first model of the ranking (one row to the driver)."""
+    return model_comparison(spark, sf).orderBy(*ranking()).select("model").first()["model"]
+
+
+def q_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
+    """T13 + J2 + J5: best model vs each competitor on the hold-out rows."""
+    best = best_model(spark, sf)
+    p = predictions(spark, sf).where(F.col("is_test"))
+    m = stats.mcnemar(p, best, "order_key")
+    return m.select("best", "competitor", "both_correct", "best_only_correct", "competitor_only_correct",
+                    "both_wrong", _r("statistic", 9).alias("statistic"), _r("p_value", 12).alias("p_value"))
+
+
+def q_significance_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Significant comparisons per family (paired t over order statuses) and positive predictions."""
+    fam, _, comp = _orders_tables(spark, sf, by_status=True)
+    t = stats.paired_t(stats.paired_differences(comp, fam, "block", "treatment", "value"), fam)
+    return stats.significance_counts(t, fam)
+
+
+def q_positive_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Positive predictions per model on the hold-out rows."""
+    p = predictions(spark, sf).where(F.col("is_test"))
+    return p.groupBy("model").agg(F.count_if(F.col("score") >= 0.5).alias("positive_predictions"),
+                                  F.count(F.lit(1)).alias("rows"))
+
+
 REGISTRY = {
     "normalize_upload": q_normalize_upload,
     "coerce": q_coerce,
@@ -302,4 +470,19 @@ REGISTRY = {
     "metric_heatmap": q_metric_heatmap,
     "bootstrap_f1": q_bootstrap_f1,
     "bootstrap_auc": q_bootstrap_auc,
+    "complete_blocks": q_complete_blocks,
+    "applicability": q_applicability,
+    "friedman": q_friedman,
+    "friedman_by_status": q_friedman_by_status,
+    "paired_t": q_paired_t,
+    "paired_t_by_status": q_paired_t_by_status,
+    "wilcoxon": q_wilcoxon,
+    "cv_tests": q_cv_tests,
+    "cv_friedman": q_cv_friedman,
+    "model_comparison": q_model_comparison,
+    "model_means": q_model_means,
+    "cv_page_summary": q_cv_page_summary,
+    "mcnemar": q_mcnemar,
+    "significance_counts": q_significance_counts,
+    "positive_predictions": q_positive_predictions,
 }

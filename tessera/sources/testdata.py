@@ -112,9 +112,14 @@ def scored(df: DataFrame, key: str, y: str, seed: int = 42) -> DataFrame:
               .select(key, y, "p.model", "p.score"))
 
 
-def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block, treatment, value): order month x order priority -> mean total price."""
+def fold_scores(spark: SparkSession, sf_dir: str, by_status: bool = False) -> DataFrame:
+    """(block, treatment, value): order month x order priority -> mean total price.
+
+    With ``by_status`` the order status becomes a family column, giving
+    independent test families that run in the same jobs.
+    """
     orders = table(spark, sf_dir, "orders")
-    return (orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("block"),
+    family = [F.col("o_orderstatus").alias("family")] if by_status else []
+    return (orders.groupBy(*family, F.date_format("o_orderdate", "yyyy-MM").alias("block"),
                            F.col("o_orderpriority").alias("treatment"))
                   .agg(F.avg("o_totalprice").alias("value")))

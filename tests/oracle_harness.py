@@ -111,3 +111,26 @@ if __name__ == "__main__":
     if args and args[0].startswith("/"):
         sf, args = args[0], args[1:]
     main(args or None, sf)
+
+
+def show_diffs(name, sf_dir="/root/testdata/sf0.01", limit=5):
+    """Print the first differing rows of one query (debug helper)."""
+    sys.path.insert(0, "/root/repo")
+    import __spark_entry__ as entry
+    from tessera.session import get_spark
+    spark = get_spark("local[8]", 8)
+    con = duck(sf_dir)
+    df = entry.queries()[name](spark, sf_dir)
+    cols = df.columns
+    s_rows = sorted((tuple(_norm(v) for v in r) for r in df.collect()), key=_key)
+    rel = con.sql(entry.oracle_sql()[name])
+    idx = [rel.columns.index(c) for c in cols]
+    d_rows = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=_key)
+    shown = 0
+    for a, b in zip(s_rows, d_rows):
+        if a != b:
+            print("spark", a)
+            print("duck ", b)
+            shown += 1
+            if shown >= limit:
+                break
