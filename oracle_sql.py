@@ -672,6 +672,18 @@ FROM ({pt}) GROUP BY family"""
     return q
 
 
+def _slice6() -> dict[str, str]:
+    q = {}
+    q["rbf_kernel_features"] = """WITH u AS (SELECT vec_id, label, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS i
+              FROM embeddings),
+c AS (SELECT label AS center, i, avg(CAST(e AS DOUBLE)) AS c FROM u GROUP BY ALL)
+SELECT vec_id, center, round(exp(-0.05 * sum((CAST(e AS DOUBLE) - c) * (CAST(e AS DOUBLE) - c))), 10) AS value
+FROM u JOIN c USING (i) GROUP BY vec_id, center"""
+    q["csv_roundtrip"] = f"WITH {OBS} SELECT * FROM obs"
+    q["report_roundtrip"] = _slice5()["model_comparison"]
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(_slice1())
@@ -679,4 +691,5 @@ def oracle_sql() -> dict[str, str]:
     q.update(_slice3())
     q.update(_slice4())
     q.update(_slice5())
+    q.update(_slice6())
     return {k: _rnd_all(v) for k, v in q.items()}

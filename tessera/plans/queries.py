@@ -437,6 +437,119 @@ def q_positive_predictions(spark: SparkSession, sf: str) -> DataFrame:
                                   F.count(F.lit(1)).alias("rows"))
 
 
+# --------------------------------------------------------------------------
+# Slice 5: models (spark.ml) -- not SQL-expressible, checked by rows and tests
+# --------------------------------------------------------------------------
+
+def _study_rows_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """Study rows written once to the shared checkpoint folder: every fit re-reads them."""
+    from tessera.session import materialize
+    return materialize(study_rows(spark, sf))
+
+
+def _fit_score(spark: SparkSession, sf: str, name: str, max_iter: int = 40) -> DataFrame:
+    from tessera.operators import models
+    rows = _study_rows_cut(spark, sf)
+    m = models.fit(rows.where(~F.col("is_test")), models.ModelConfig(name, max_iter=max_iter),
+                   NUMERIC, CATEGORICAL, "result", "order_key")
+    s = m.score(rows.where(F.col("is_test")), keep=["order_key", "result"])
+    return s.select("order_key", F.col("result").alias("y"), "score",
+                    validate.to_class(F.col("score")).alias("predicted_class"),
+                    validate.recommendation(F.col("score")).alias("recommendation"))
+
+
+def q_mlp_fit_score(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 + M10 + P15: MLP 64-32 fitted on the training rows, hold-out rows scored in bulk."""
+    return _fit_score(spark, sf, "MLP")
+
+
+def q_dnn_fit_score(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 + M10: deep MLP 128-64-32-16."""
+    return _fit_score(spark, sf, "DNN")
+
+
+def q_rbf_fit_score(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 + M4 + M10: k-means centres -> Gaussian kernel features -> MLP 32."""
+    return _fit_score(spark, sf, "RBF")
+
+
+def q_cross_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: 5-fold cross-validation of MLP and RBF; fold-score table with the 13 metrics."""
+    from tessera.operators import models
+    rows = _study_rows_cut(spark, sf).where(~F.col("is_test"))
+    preds = models.cross_validate(rows, [models.ModelConfig("MLP", max_iter=30), models.ModelConfig("RBF", max_iter=30)],
+                                  FOLDS, NUMERIC, CATEGORICAL)
+    return models.cv_table(preds)
+
+
+def q_tune(spark: SparkSession, sf: str) -> DataFrame:
+    """M6: three seeded trials of the RBF network scored on an inner validation split (never test)."""
+    from tessera.operators import models
+    rows = _study_rows_cut(spark, sf).where(~F.col("is_test")).drop("is_test", "fold")
+    inner = split.stratified_holdout(rows, "result", "order_key", 0.2, SEED, salt="tune").withColumnRenamed(
+        "is_test", "is_validation")
+    return models.tune(inner, models.ModelConfig("RBF", max_iter=30), 3, NUMERIC, CATEGORICAL)
+
+
+def q_persist_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + S10 + M10: save the fitted network and preprocessing, load them back, score the hold-out."""
+    import uuid
+    from tessera.operators import models
+    from tessera.session import ensure_checkpoint_dir
+    rows = _study_rows_cut(spark, sf)
+    m = models.fit(rows.where(~F.col("is_test")), models.ModelConfig("MLP", max_iter=30),
+                   NUMERIC, CATEGORICAL, "result", "order_key")
+    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    models.save(m, path, 0.5, {"model_name": "MLP"})
+    loaded, threshold, meta = models.load(path)
+    s = loaded.score(rows.where(F.col("is_test")), keep=["order_key"])
+    return s.select("order_key", "score", validate.to_class(F.col("score"), threshold).alias("predicted_class"),
+                    F.lit(meta.get("model_name")).alias("model"))
+
+
+RBF_GAMMA = 0.05
+
+
+def q_rbf_kernel_features(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: Gaussian kernel features of every embedding against the per-label mean embeddings."""
+    emb = td.table(spark, sf, "embeddings")
+    dim = emb.select(F.max(F.size("embedding"))).first()[0]
+    cents = emb.groupBy("label").agg(*[F.avg(F.col("embedding")[i]).alias(f"c{i}") for i in range(dim)]).orderBy(
+        "label").collect()
+    labels = [r["label"] for r in cents]
+    centers = [[r[f"c{i}"] for i in range(dim)] for r in cents]
+    out = features.rbf_features(emb.select("vec_id", "embedding"), "embedding", centers, RBF_GAMMA)
+    pairs = F.arrays_zip(F.array(*[F.lit(x) for x in labels]).alias("center"), F.col("rbf").alias("value"))
+    return out.select("vec_id", F.explode(pairs).alias("p")).select(
+        "vec_id", F.col("p.center").alias("center"), _r(F.col("p.value"), 10).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Slice 6: sources and sinks
+# --------------------------------------------------------------------------
+
+def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + S4: the upload written as CSV, read back (header, inferred types, encoding probe), validated."""
+    import uuid
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources import files
+    path = f"{ensure_checkpoint_dir(spark)}/uploads/{uuid.uuid4().hex}.csv"
+    files.write_table(td.upload_frame(spark, sf), path, "csv")
+    back = files.read_table(spark, path)
+    v = validate.validate(back, td.ORDER_SPEC)
+    return v.frame.withColumn("order_key", F.col("order_key").cast("bigint"))
+
+
+def q_report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Comparison table written to a report folder and read back."""
+    import uuid
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources import files
+    folder = f"{ensure_checkpoint_dir(spark)}/reports/{uuid.uuid4().hex}"
+    files.write_report({"model_comparison": q_model_comparison(spark, sf)}, folder)
+    return files.read_result(spark, folder, "model_comparison")
+
+
 REGISTRY = {
     "normalize_upload": q_normalize_upload,
     "coerce": q_coerce,
@@ -485,4 +598,13 @@ REGISTRY = {
     "mcnemar": q_mcnemar,
     "significance_counts": q_significance_counts,
     "positive_predictions": q_positive_predictions,
+    "mlp_fit_score": q_mlp_fit_score,
+    "dnn_fit_score": q_dnn_fit_score,
+    "rbf_fit_score": q_rbf_fit_score,
+    "cross_validate": q_cross_validate,
+    "tune": q_tune,
+    "persist_roundtrip": q_persist_roundtrip,
+    "rbf_kernel_features": q_rbf_kernel_features,
+    "csv_roundtrip": q_csv_roundtrip,
+    "report_roundtrip": q_report_roundtrip,
 }
