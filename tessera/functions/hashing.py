@@ -38,8 +38,24 @@ def uniform(key: str, *salts) -> Column:
     return F.expr(uniform_sql(salted(key, *salts)))
 
 
+def poisson1_cdf(support: int = 20) -> list[float]:
+    """F(0..support-1) of Poisson(1) by the recurrence p_j = p_{j-1} / j, F_j = F_{j-1} + p_j,
+    starting from e^-1 (the same double steps an SQL engine takes)."""
+    p = c = float(EXP_MINUS_ONE.rstrip("D"))
+    out = [c]
+    for j in range(1, support):
+        p = p / j
+        c = c + p
+        out.append(c)
+    return out
+
+
 def poisson1_sql(u_sql: str, support: int = 20) -> str:
-    """Poisson(1) draw by inverse CDF of a uniform: #{k < support : F(k) < u}."""
-    return (f"aggregate(sequence(1, {support}), named_struct('p', {EXP_MINUS_ONE}, 'c', {EXP_MINUS_ONE}, 'k', 0), "
-            f"(pa, pj) -> named_struct('p', pa.p / pj, 'c', pa.c + pa.p / pj, 'k', pa.k + IF({u_sql} > pa.c, 1, 0)), "
-            f"pa -> pa.k)")
+    """Poisson(1) draw by inverse CDF of a uniform: min{k : u <= F(k)}.
+
+    A CASE chain over the precomputed CDF (whole-stage codegen), not a
+    higher-order function, because it runs once per row and replicate.
+    """
+    cdf = poisson1_cdf(support)
+    whens = " ".join(f"WHEN {u_sql} <= {c!r}D THEN {k}" for k, c in enumerate(cdf))
+    return f"(CASE {whens} ELSE {support} END)"

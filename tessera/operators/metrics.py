@@ -153,9 +153,13 @@ def bootstrap_ci(pred: DataFrame, by: list[str], key: str, y: str = "y", score:
     replicate values of each group.
     """
     u = uniform_sql(f"concat(CAST({key} AS STRING), '|', CAST(__b AS STRING), '|{seed}')")
+    # No row filter on the weight: Catalyst would inline the md5 uniform into
+    # every branch of the CASE. Zero weights add nothing to the sums, and empty
+    # score levels are dropped after aggregation instead.
     reps = (pred.select(*by, key, y, score, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__b"))
-                .withColumn("__w", F.expr(poisson1_sql(u)).cast("double"))
-                .where(F.col("__w") > 0))
+                .withColumn("__u", F.expr(u))
+                .withColumn("__w", F.expr(poisson1_sql("__u")).cast("double"))
+                .drop("__u"))
     keys = [*by, "__b"]
     if metric == "f1":
         yy = F.col(y).cast("int")
@@ -166,7 +170,7 @@ def bootstrap_ci(pred: DataFrame, by: list[str], key: str, y: str = "y", score:
             F.sum(F.when((yy == 1) & ~hit, F.col("__w")).otherwise(0.0)).alias("fn"))
         values = per.select(*keys, _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("v"))
     elif metric == "roc_auc":
-        levels = score_levels(reps, keys, y, score, weight="__w")
+        levels = score_levels(reps, keys, y, score, weight="__w").where((F.col("pos") + F.col("neg")) > 0)
         run = running_totals(levels, keys, ["score"], {"neg_below": "neg"}, inclusive=False, with_totals=True)
         agg = run.groupBy(*keys).agg(
             F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("__u"),
