@@ -100,12 +100,31 @@ def average_precision_from_levels(levels: DataFrame, by: list[str]) -> DataFrame
                       .cast("double").alias("pr_auc"))
 
 
+def rank_metrics_from_levels(levels: DataFrame, by: list[str]) -> DataFrame:
+    """E8 + E9 from one descending running-totals pass over the score levels.
+
+    With tps/fps = positives/negatives scoring >= s, the negatives strictly
+    below s are N - fps, so AUC = sum pos * (N - fps + neg / 2) / (P N) and
+    AP = sum pos * tps / (tps + fps) / P share the same scan.
+    """
+    run = running_totals(levels, by, [-F.col("score"), "score"], {"tps": "pos", "fps": "neg"}, with_totals=True)
+    agg = run.groupBy(*by).agg(
+        F.sum(F.col("pos") * (F.col("fps_total") - F.col("fps") + F.col("neg") * 0.5)).alias("__u"),
+        F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps")))
+              .otherwise(F.lit(0.0))).alias("__s"),
+        F.max("tps_total").alias("__p"), F.max("fps_total").alias("__n"))
+    return agg.select(*by,
+                      F.when((F.col("__p") > 0) & (F.col("__n") > 0), F.col("__u") / (F.col("__p") * F.col("__n")))
+                       .otherwise(F.lit(0.0)).cast("double").alias("roc_auc"),
+                      F.when(F.col("__p") > 0, F.col("__s") / F.col("__p")).otherwise(F.lit(0.0))
+                       .cast("double").alias("pr_auc"))
+
+
 def classification_metrics(pred: DataFrame, by: list[str], y: str = "y", score: str = "score",
                            threshold: float = 0.5, eps: float = DOUBLE_EPS) -> DataFrame:
     """All 13 study metrics (+ tn, fp, fn, tp) per group."""
     counts = threshold_metrics(confusion_counts(pred, by, y, score, threshold, eps), threshold)
-    levels = score_levels(pred, by, y, score)
-    out = _join(_join(counts, roc_auc_from_levels(levels, by), by), average_precision_from_levels(levels, by), by)
+    out = _join(counts, rank_metrics_from_levels(score_levels(pred, by, y, score), by), by)
     return out.select(*by, *METRIC_COLUMNS, "tn", "fp", "fn", "tp")
 
 
