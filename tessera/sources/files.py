@@ -8,6 +8,7 @@ land as one directory per table.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.option("encoding", "UTF-8").csv(path)
-    raw = spark.read.text(path)
-    if raw.where(F.col("value").contains("�")).limit(1).count() > 0:
+    text_cols = [c for c, t in df.dtypes if t == "string"]
+    bad_header = any("\ufffd" in c for c in df.columns)
+    if bad_header or (text_cols and df.where(
+            reduce(lambda a, b: a | b, [F.col(f"`{c}`").contains("\ufffd") for c in text_cols])).limit(1).count()):
         df = reader.option("encoding", "ISO-8859-1").csv(path)
     return df
 
