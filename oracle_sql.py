@@ -681,6 +681,44 @@ SELECT vec_id, center, round(exp(-0.05 * sum((CAST(e AS DOUBLE) - c) * (CAST(e A
 FROM u JOIN c USING (i) GROUP BY vec_id, center"""
     q["csv_roundtrip"] = f"WITH {OBS} SELECT * FROM obs"
     q["report_roundtrip"] = _slice5()["model_comparison"]
+    q["batch_export"] = _slice1()["threshold_class"]
+    cols = ["order_key", "total_price", "account_balance", "order_month", "order_status", "order_priority",
+            "market_segment", "result"]
+    types = ["bigint", "double", "double", "double", "string", "string", "string", "int"]
+    miss = " UNION ALL ".join(
+        f"SELECT 'missing', '{c}', CAST(count_if({c} IS NULL"
+        + (f" OR isnan({c})" if t == "double" else "") + f") AS DOUBLE), NULL FROM obs" for c, t in zip(cols, types))
+    dtypes = " UNION ALL ".join(f"SELECT 'dtype', '{c}', NULL, '{t}'" for c, t in zip(cols, types))
+    q["quality_report"] = f"""WITH {OBS}, co AS ({_coerced()})
+SELECT 'rows' AS section, CAST(NULL AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text
+FROM obs
+UNION ALL SELECT 'columns', NULL, 8.0, NULL
+UNION ALL SELECT 'duplicates', NULL, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM obs)) AS DOUBLE), NULL
+FROM obs
+UNION ALL {miss}
+UNION ALL SELECT 'class', CAST(result AS VARCHAR), CAST(count(*) AS DOUBLE), NULL FROM obs GROUP BY result
+UNION ALL SELECT 'rows_excluded', NULL, CAST(count_if(result_value IS NOT DISTINCT FROM 2.0) AS DOUBLE), NULL FROM co
+UNION ALL {dtypes}
+UNION ALL SELECT 'warning', '0', NULL, printf('%d non-numeric values in order_month are treated as missing.',
+  count_if(raw_month IS NOT NULL AND order_month IS NULL)) FROM co
+UNION ALL SELECT 'warning', '1', NULL, printf('Excluded %d rows with result=2; the study is binary (0/1).',
+  count_if(result_value IS NOT DISTINCT FROM 2.0)) FROM co"""
+    fr = _friedman_sql(_complete(_fold_scores(True), ["family"], "block", "treatment", "value"), ["family"],
+                       "block", "treatment", "value")
+    pt = _paired_t_sql(_pairs(_complete(_fold_scores(True), ["family"], "block", "treatment", "value"), ["family"],
+                              "block", "treatment", "value"), ["family"])
+    wx = _wilcoxon_sql(_pairs(_complete(_fold_scores(True), ["family"], "block", "treatment", "value"), ["family"],
+                              "block", "treatment", "value"), ["family"])
+    q["overall_interpretation"] = f"""WITH f AS ({fr}), t AS ({pt}), w AS ({wx}),
+ts AS (SELECT family, count_if(significant) AS t_sig, count(*) AS t_all FROM t GROUP BY family),
+ws AS (SELECT family, count_if(significant) AS w_sig, count(*) AS w_all FROM w GROUP BY family)
+SELECT f.family, concat_ws(' ',
+  CASE WHEN NOT available THEN 'Friedman needs at least three complete blocks.'
+       WHEN p_value < 0.05 THEN 'Friedman finds overall differences between the treatments; it does not say which pairs differ.'
+       ELSE 'Friedman finds no significant overall difference at alpha=0.05.' END,
+  printf('Paired t: %d/%d comparisons significant. Signed-rank: %d/%d significant after Holm.',
+         coalesce(t_sig, 0), coalesce(t_all, 0), coalesce(w_sig, 0), coalesce(w_all, 0))) AS interpretation
+FROM f LEFT JOIN ts ON f.family = ts.family LEFT JOIN ws ON f.family = ws.family"""
     return q
 
 

@@ -175,3 +175,35 @@ def class_weights(df: DataFrame, target: str, min_ratio: float = 1.5) -> DataFra
     return by_class.select("class", "rows",
                            F.when((ratio >= min_ratio) & (k >= 2), total / (F.lit(2.0) * F.col("rows")))
                             .otherwise(F.lit(1.0)).alias("weight"))
+
+
+def quality_report(frame: DataFrame, target: str, rows_excluded: int, warnings: list[str]) -> DataFrame:
+    """Data-quality document as a long table (section, name, value, text): rows, rows excluded,
+    columns, duplicates, missing per column, types, class distribution, warnings.
+
+    ``rows_excluded`` and ``warnings`` come from the validation counters (the
+    count survives: it is not recomputed on the already filtered frame).
+    """
+    spark = frame.sparkSession
+    schema = "section string, name string, value double, text string"
+    c = counts(frame).select(F.explode(F.array(
+        F.struct(F.lit("rows").alias("section"), F.lit(None).cast("string").alias("name"),
+                 F.col("rows").cast("double").alias("value"), F.lit(None).cast("string").alias("text")),
+        F.struct(F.lit("columns").alias("section"), F.lit(None).cast("string").alias("name"),
+                 F.col("columns").cast("double").alias("value"), F.lit(None).cast("string").alias("text")))
+    ).alias("r")).select("r.*")
+    d = duplicate_rows(frame).select(F.lit("duplicates").alias("section"), F.lit(None).cast("string").alias("name"),
+                                     F.col("duplicates").cast("double").alias("value"),
+                                     F.lit(None).cast("string").alias("text"))
+    m = missing_by_column(frame).select(F.lit("missing").alias("section"), F.col("column").alias("name"),
+                                        F.col("missing").cast("double").alias("value"),
+                                        F.lit(None).cast("string").alias("text"))
+    k = class_distribution(frame, target).select(F.lit("class").alias("section"),
+                                                 F.col("class").cast("string").alias("name"),
+                                                 F.col("rows").cast("double").alias("value"),
+                                                 F.lit(None).cast("string").alias("text"))
+    meta = spark.createDataFrame(
+        [("rows_excluded", None, float(rows_excluded), None)]
+        + [("dtype", col, None, t) for col, t in frame.dtypes]
+        + [("warning", str(i), None, w) for i, w in enumerate(warnings)], schema)
+    return c.unionByName(d).unionByName(m).unionByName(k).unionByName(meta)

@@ -550,6 +550,32 @@ def q_report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_result(spark, folder, "model_comparison")
 
 
+def q_quality_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A1-A5 + P5/P8 warnings: the data-quality document of the validated upload, long form."""
+    v = validate.validate(td.upload_frame(spark, sf), td.ORDER_SPEC)
+    return profile.quality_report(v.frame, "result", v.excluded_rows, v.warnings)
+
+
+def q_batch_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored rows exported as CSV with a header and read back with an explicit schema."""
+    import uuid
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources import files
+    scored = q_threshold_class(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark)}/exports/{uuid.uuid4().hex}"
+    files.write_table(scored, path, "csv")
+    return spark.read.schema(scored.schema).option("header", True).csv(path)
+
+
+def q_overall_interpretation(spark: SparkSession, sf: str) -> DataFrame:
+    """One summary sentence per family from Friedman and the counts of significant pairs."""
+    from tessera.plans.report import overall_interpretation
+    fam, _, comp = _orders_tables(spark, sf, by_status=True)
+    d = stats.paired_differences(comp, fam, "block", "treatment", "value")
+    return overall_interpretation(stats.friedman(comp, fam, "block", "treatment", "value"),
+                                  stats.paired_t(d, fam), stats.wilcoxon(d, fam), fam)
+
+
 REGISTRY = {
     "normalize_upload": q_normalize_upload,
     "coerce": q_coerce,
@@ -607,4 +633,7 @@ REGISTRY = {
     "rbf_kernel_features": q_rbf_kernel_features,
     "csv_roundtrip": q_csv_roundtrip,
     "report_roundtrip": q_report_roundtrip,
+    "quality_report": q_quality_report,
+    "batch_export": q_batch_export,
+    "overall_interpretation": q_overall_interpretation,
 }
