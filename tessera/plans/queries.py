@@ -338,9 +338,9 @@ def q_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
     return _round_cols(stats.wilcoxon(d, fam).drop("interpretation"))
 
 
-def cv_scores(spark: SparkSession, sf: str) -> DataFrame:
+def cv_scores(spark: SparkSession, sf: str, preds: DataFrame | None = None) -> DataFrame:
     """Fold-score table (model, fold, f1, roc_auc, recall) from the cross-validation metrics."""
-    p = predictions(spark, sf).where(~F.col("is_test"))
+    p = (preds if preds is not None else predictions(spark, sf)).where(~F.col("is_test"))
     return metrics.classification_metrics(p, ["model", "fold"]).select("model", "fold", "f1", "roc_auc", "recall")
 
 
@@ -371,13 +371,20 @@ def q_cv_friedman(spark: SparkSession, sf: str) -> DataFrame:
     return _round_cols(stats.friedman(comp, [], "fold", "model", "f1"))
 
 
-def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+def shared_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions written once to the shared checkpoint folder, for queries that read them several times."""
+    from tessera.session import materialize
+    return materialize(predictions(spark, sf))
+
+
+def model_comparison(spark: SparkSession, sf: str, preds: DataFrame | None = None) -> DataFrame:
     """A13 + J4: test metrics per model with the CV summary attached."""
-    cv = cv_scores(spark, sf)
+    preds = preds if preds is not None else shared_predictions(spark, sf)
+    cv = cv_scores(spark, sf, preds)
     summary = cv.groupBy("model").agg(
         F.avg("f1").alias("cv_f1_mean"), F.coalesce(F.stddev_samp("f1"), F.lit(0.0)).alias("cv_f1_std"),
         F.avg("roc_auc").alias("cv_roc_auc_mean"), F.avg("recall").alias("cv_recall_mean"))
-    test = metrics.classification_metrics(predictions(spark, sf).where(F.col("is_test")), ["model"])
+    test = metrics.classification_metrics(preds.where(F.col("is_test")), ["model"])
     return test.join(summary, "model")
 
 
@@ -409,15 +416,16 @@ def q_cv_page_summary(spark: SparkSession, sf: str) -> DataFrame:
                   F.count_distinct("fold").alias("folds"))
 
 
-def best_model(spark: SparkSession, sf: str) -> str:
+def best_model(spark: SparkSession, sf: str, preds: DataFrame | None = None) -> str:
     """Name of the first model of the ranking (one row to the driver)."""
-    return model_comparison(spark, sf).orderBy(*ranking()).select("model").first()["model"]
+    return model_comparison(spark, sf, preds).orderBy(*ranking()).select("model").first()["model"]
 
 
 def q_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
     """T13 + J2 + J5: best model vs each competitor on the hold-out rows."""
-    best = best_model(spark, sf)
-    p = predictions(spark, sf).where(F.col("is_test"))
+    preds = shared_predictions(spark, sf)
+    best = best_model(spark, sf, preds)
+    p = preds.where(F.col("is_test"))
     m = stats.mcnemar(p, best, "order_key")
     return m.select("best", "competitor", "both_correct", "best_only_correct", "competitor_only_correct",
                     "both_wrong", _r("statistic", 9).alias("statistic"), _r("p_value", 12).alias("p_value"))
