@@ -226,8 +226,8 @@ med AS (SELECT fold, "column", quantile_cont(value, 0.5) AS median FROM long GRO
 st AS (SELECT l.fold, l."column", m.median, avg(coalesce(value, m.median)) AS mean,
               stddev_pop(coalesce(value, m.median)) AS s
        FROM long l JOIN med m ON l.fold = m.fold AND l."column" = m."column" GROUP BY ALL)
-SELECT CAST(fold AS INTEGER) AS fold, "column", round(median, {R}) AS median, round(mean, {R}) AS mean,
-       round(CASE WHEN s IS NULL OR s < 10 * 2.220446049250313e-16 THEN 1.0 ELSE s END, {R}) AS scale FROM st"""
+SELECT CAST(fold AS INTEGER) AS fold, "column", round(median, 6) AS median, round(mean, 6) AS mean,
+       round(CASE WHEN s IS NULL OR s < 10 * 2.220446049250313e-16 THEN 1.0 ELSE s END, 6) AS scale FROM st"""
     long_cat = " UNION ALL ".join(f"SELECT f.f AS fold, '{c}' AS \"column\", {c} AS value FROM train t, "
                                   f"range(1, 6) f(f) WHERE t.fold <> f.f AND {c} IS NOT NULL" for c in CAT_LEVELS)
     q["fold_category_stats"] = f"""WITH {SPLIT},

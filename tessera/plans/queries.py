@@ -208,8 +208,8 @@ def q_fold_numeric_stats(spark: SparkSession, sf: str) -> DataFrame:
     """per-fold training medians, means and scales, all folds in one pass."""
     rows = study_rows(spark, sf).where(~F.col("is_test"))
     num, _ = features.fold_statistics(rows, NUMERIC, CATEGORICAL, FOLDS)
-    return num.select("fold", "column", _r("median").alias("median"), _r("mean").alias("mean"),
-                      _r("scale").alias("scale"))
+    return num.select("fold", "column", _r("median", 6).alias("median"), _r("mean", 6).alias("mean"),
+                      _r("scale", 6).alias("scale"))
 
 
 def q_fold_category_stats(spark: SparkSession, sf: str) -> DataFrame:
