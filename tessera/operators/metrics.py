@@ -189,8 +189,17 @@ def bootstrap_ci(pred: DataFrame, by: list[str], key: str, y: str = "y", score:
             F.sum(F.when((yy == 1) & ~hit, F.col("__w")).otherwise(0.0)).alias("fn"))
         values = per.select(*keys, _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("v"))
     elif metric == "roc_auc":
+        # A replicate group never has more score levels than its model has rows:
+        # one small count bounds every (group, replicate) window.
+        bound = pred.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        spark = pred.sparkSession
+        if bound <= int(spark.conf.get("tessera.prefix.rowsPerBucket", "100000")):
+            # bounded groups: one exchange on (group, replicate) serves both the level
+            # aggregation and the window, instead of two shuffles
+            reps = reps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
         levels = score_levels(reps, keys, y, score, weight="__w").where((F.col("pos") + F.col("neg")) > 0)
-        run = running_totals(levels, keys, ["score"], {"neg_below": "neg"}, inclusive=False, with_totals=True)
+        run = running_totals(levels, keys, ["score"], {"neg_below": "neg"}, inclusive=False, with_totals=True,
+                             group_rows_bound=bound)
         agg = run.groupBy(*keys).agg(
             F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("__u"),
             F.sum("pos").alias("__p"), F.max("neg_below_total").alias("__n"))

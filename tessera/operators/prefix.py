@@ -62,7 +62,8 @@ def bucket_bounds(df: DataFrame, keys: list[str], order_value: Column, rows_per_
 
 def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
                    partitions: int | None = None, with_totals: bool = False,
-                   inclusive: bool = True, rows_per_bucket: int | None = None) -> DataFrame:
+                   inclusive: bool = True, rows_per_bucket: int | None = None,
+                   group_rows_bound: int | None = None) -> DataFrame:
     """Add running sums of ``values`` within each ``keys`` group in ``order``.
 
     ``order`` must be a total order inside a group; its first column must be
@@ -70,6 +71,10 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
     column per value name (inclusive running sum unless ``inclusive=False``)
     and, when asked, ``<name>_total`` per group.
 
+    When the caller knows every group has at most ``group_rows_bound`` rows
+    and that bound fits in one bucket, a plain window per group is used (no
+    checkpoint, no sketch pass): each window partition is bounded.
+
     Groups larger than ``rows_per_bucket`` are split into equi-depth buckets
     on the first order column; each bucket is one window partition, and
     bucket totals (a table of at most #groups + #buckets rows) are cumulated
@@ -85,6 +90,15 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
     first = order_cols[0]
     vals = {name: _as_col(v) for name, v in values.items()}
 
+    if group_rows_bound is not None and group_rows_bound <= rows_per_bucket:
+        frame_end = Window.currentRow if inclusive else -1
+        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
+        return df.select(
+            *df.columns,
+            *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(name) for name, v in vals.items()],
+            *([F.sum(v).over(Window.partitionBy(*keys)).alias(f"{name}_total") for name, v in vals.items()]
+              if with_totals else []))
+
     base = df.withColumns({f"__v_{name}": v for name, v in vals.items()}).withColumn("__o", first.cast("double"))
     # The sketch pass and the main pass both read this input: write it once to
     # the shared checkpoint folder instead of recomputing its lineage twice.

@@ -338,6 +338,12 @@ def q_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
     return _round_cols(stats.wilcoxon(d, fam).drop("interpretation"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Write a small intermediate result once (shared checkpoint folder); its consumers re-read it."""
+    from tessera.session import materialize
+    return materialize(df)
+
+
 def cv_scores(spark: SparkSession, sf: str, preds: DataFrame | None = None) -> DataFrame:
     """Fold-score table (model, fold, f1, roc_auc, recall) from the cross-validation metrics."""
     p = (preds if preds is not None else predictions(spark, sf)).where(~F.col("is_test"))
@@ -346,7 +352,7 @@ def cv_scores(spark: SparkSession, sf: str, preds: DataFrame | None = None) -> D
 
 def q_cv_tests(spark: SparkSession, sf: str) -> DataFrame:
     """T1-T8, T11, T12, T14 on the model x fold F1 table: paired t and signed-rank (exact) side by side."""
-    cv = cv_scores(spark, sf)
+    cv = _cut(cv_scores(spark, sf))
     comp = stats.complete_blocks(cv, [], "fold", "model", "f1")
     d = stats.paired_differences(comp, [], "fold", "model", "f1")
     t = stats.paired_t(d, []).select("model_a", "model_b", "n", "mean_difference", "t_statistic",
@@ -366,7 +372,7 @@ def q_cv_tests(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_cv_friedman(spark: SparkSession, sf: str) -> DataFrame:
     """T9/T10/T14 on the model x fold F1 table."""
-    cv = cv_scores(spark, sf)
+    cv = _cut(cv_scores(spark, sf))
     comp = stats.complete_blocks(cv, [], "fold", "model", "f1")
     return _round_cols(stats.friedman(comp, [], "fold", "model", "f1"))
 
@@ -405,7 +411,7 @@ def q_model_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_model_means(spark: SparkSession, sf: str) -> DataFrame:
     """Mean F1 per model over complete folds, best first."""
-    comp = stats.complete_blocks(cv_scores(spark, sf), [], "fold", "model", "f1")
+    comp = stats.complete_blocks(_cut(cv_scores(spark, sf)), [], "fold", "model", "f1")
     return comp.groupBy("model").agg(_r(F.avg("f1"), 10).alias("mean_f1")).orderBy(F.col("mean_f1").desc())
 
 
