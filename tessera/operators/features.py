@@ -80,7 +80,9 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     """
     pre = Preprocessor(list(numeric), list(categorical))
     if numeric:
-        med = exact_quantiles(_long(train, numeric, "double"), ["column"], "value", [0.5])
+        # a column never has more distinct values than the training set has rows
+        rows = train.count()
+        med = exact_quantiles(_long(train, numeric, "double"), ["column"], "value", [0.5], group_rows_bound=rows)
         pre.medians = {r["column"]: r["quantile"] for r in med.collect()}
         imputed = [F.coalesce(F.col(c).cast("double"), F.lit(pre.medians.get(c)).cast("double")) for c in numeric]
         row = train.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(imputed)],

@@ -146,7 +146,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, group_rows_bound: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group (numpy default, percentile_cont).
 
     NULL and NaN values are ignored. Distributed selection: distinct values
@@ -158,7 +158,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     v = F.col(value)
     levels = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
                 .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
-    run = running_totals(levels, keys, [value], {"__cum": "__c"}, partitions=partitions, with_totals=True)
+    run = running_totals(levels, keys, [value], {"__cum": "__c"}, partitions=partitions, with_totals=True,
+                         group_rows_bound=group_rows_bound)
     n = F.col("__cum_total")
     targets = F.array(*[
         F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"),

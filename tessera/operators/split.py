@@ -29,10 +29,15 @@ def hash_key(key: str, salt: str, seed: int) -> str:
     return hash_order_sql(f"concat(CAST({key} AS STRING), '|{salt}|{seed}')")
 
 
-def rank_in_class(df: DataFrame, target: str, key: str, salt: str = "split", seed: int = 42) -> DataFrame:
-    """Add ``rank_in_class`` (1-based) in md5(key, salt, seed) order, ties by key."""
+def rank_in_class(df: DataFrame, target: str, key: str, salt: str = "split", seed: int = 42,
+                  largest_class: int | None = None) -> DataFrame:
+    """Add ``rank_in_class`` (1-based) in md5(key, salt, seed) order, ties by key.
+
+    ``largest_class`` (rows of the biggest class, when already known) lets the
+    running totals skip bucketing when every class fits in one window partition.
+    """
     h = df.withColumn("__h", F.expr(hash_key(key, salt, seed)))
-    ranked = running_totals(h, [target], ["__h", key], {"rank_in_class": F.lit(1)})
+    ranked = running_totals(h, [target], ["__h", key], {"rank_in_class": F.lit(1)}, group_rows_bound=largest_class)
     return ranked.drop("__h")
 
 
@@ -66,7 +71,11 @@ def study_split(df: DataFrame, target: str, key: str, test_fraction: float = 0.2
         target, "n_c", "train_c", (F.col("n_c") - F.col("train_c")).alias("test_c"),
         F.coalesce(F.sum("train_c").over(Window.partitionBy().orderBy(target)
                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_c"))
-    ranked = rank_in_class(df, target, key, salt, seed)
+    # one row per class: metadata-sized. Collected once, it both bounds the
+    # ranking windows and joins back as a tiny local table.
+    cls = df.sparkSession.createDataFrame(cls.collect(), cls.schema)
+    sizes = [r["n_c"] for r in cls.select("n_c").collect()]
+    ranked = rank_in_class(df, target, key, salt, seed, largest_class=max(sizes) if sizes else 0)
     joined = ranked.join(cls, ranked[target].eqNullSafe(cls[target]), "inner").drop(cls[target])
     is_test = F.col("rank_in_class") <= F.col("test_c")
     fold = F.when(~is_test, F.pmod(F.col("offset_c") + F.col("rank_in_class") - F.col("test_c") - 1, F.lit(folds)) + 1)
