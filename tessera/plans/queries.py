@@ -197,7 +197,7 @@ def q_head_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_preprocess_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Fit median/scale/mode/one-hot on train rows, apply to the test rows."""
-    rows = study_rows(spark, sf)
+    rows = _cut(study_rows(spark, sf))
     pre = features.fit_preprocessor(rows.where(~F.col("is_test")), NUMERIC, CATEGORICAL)
     out = pre.transform(rows.where(F.col("is_test")), keep=["order_key"])
     return out.select("order_key", *[_r(c).alias(c) for c in NUMERIC],
