@@ -709,6 +709,12 @@ UNION ALL SELECT 'warning', '1', NULL, printf('Excluded %d rows with result=2; t
                               "block", "treatment", "value"), ["family"])
     wx = _wilcoxon_sql(_pairs(_complete(_fold_scores(True), ["family"], "block", "treatment", "value"), ["family"],
                               "block", "treatment", "value"), ["family"])
+    q["labelled_join_profile"] = """WITH j AS (SELECT d.doc_id, lang, source, n_chars, quality
+                 FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT 'lang' AS "column", lang AS category, quality AS class, count(*) AS rows, round(avg(n_chars), 6) AS mean_chars
+FROM j GROUP BY ALL
+UNION ALL
+SELECT 'source', source, quality, count(*), round(avg(n_chars), 6) FROM j GROUP BY ALL"""
     q["overall_interpretation"] = f"""WITH f AS ({fr}), t AS ({pt}), w AS ({wx}),
 ts AS (SELECT family, count_if(significant) AS t_sig, count(*) AS t_all FROM t GROUP BY family),
 ws AS (SELECT family, count_if(significant) AS w_sig, count(*) AS w_all FROM w GROUP BY family)

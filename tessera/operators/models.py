@@ -35,7 +35,7 @@ class ModelConfig:
     name: str
     max_iter: int = 60
     step_size: float = 0.03
-    block_size: int = 128
+    block_size: int = 1024  # rows stacked per matrix product (L-BFGS gradients are full-batch)
     rbf_centers: int = 16
     rbf_gamma: float = 1.0
     seed: int = 42

@@ -590,6 +590,20 @@ def q_overall_interpretation(spark: SparkSession, sf: str) -> DataFrame:
                                   stats.paired_t(d, fam), stats.wilcoxon(d, fam), fam)
 
 
+def q_labelled_join_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled join (documents x labels on doc_id) profiled as a study table: category x class
+    counts of lang and source against the quality label, with the mean document length per cell."""
+    docs = td.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    labels = td.table(spark, sf, "labels").select("doc_id", "quality")
+    joined = docs.join(labels, "doc_id")
+    long = joined.select("quality", "n_chars", F.explode(F.array(
+        F.struct(F.lit("lang").alias("column"), F.col("lang").alias("category")),
+        F.struct(F.lit("source").alias("column"), F.col("source").alias("category")))).alias("u"))
+    return long.groupBy(F.col("u.column").alias("column"), F.col("u.category").alias("category"),
+                        F.col("quality").alias("class")).agg(
+        F.count(F.lit(1)).alias("rows"), _r(F.avg("n_chars"), 6).alias("mean_chars"))
+
+
 REGISTRY = {
     "normalize_upload": q_normalize_upload,
     "coerce": q_coerce,
@@ -650,4 +664,5 @@ REGISTRY = {
     "quality_report": q_quality_report,
     "batch_export": q_batch_export,
     "overall_interpretation": q_overall_interpretation,
+    "labelled_join_profile": q_labelled_join_profile,
 }
