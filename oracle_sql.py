@@ -709,6 +709,18 @@ UNION ALL SELECT 'warning', '1', NULL, printf('Excluded %d rows with result=2; t
                               "block", "treatment", "value"), ["family"])
     wx = _wilcoxon_sql(_pairs(_complete(_fold_scores(True), ["family"], "block", "treatment", "value"), ["family"],
                               "block", "treatment", "value"), ["family"])
+    u = "(CAST(('0x' || substr(md5(concat(CAST(order_key AS VARCHAR), '|stream')), 1, 8)) AS BIGINT) / 4294967296.0)"
+    q["stream_scoring"] = f"""WITH c AS ({_coerced()})
+SELECT order_key,
+  concat_ws(',', CASE WHEN total_price <= 0 THEN 'price_not_positive' END,
+                 CASE WHEN account_balance < 0 THEN 'balance_negative' END,
+                 CASE WHEN order_month < 1 OR order_month > 12 THEN 'month_out_of_range' END,
+                 CASE WHEN total_price IS NULL THEN 'total_price_missing' END,
+                 CASE WHEN account_balance IS NULL THEN 'account_balance_missing' END,
+                 CASE WHEN order_month IS NULL THEN 'order_month_missing' END) AS violations,
+  round({u}, 10) AS score, CAST({u} >= 0.5 AS INTEGER) AS predicted_class,
+  CASE WHEN {u} >= 0.5 THEN 'Irrigation required' ELSE 'No irrigation required' END AS recommendation
+FROM c"""
     q["labelled_join_profile"] = """WITH j AS (SELECT d.doc_id, lang, source, n_chars, quality
                  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
 SELECT 'lang' AS "column", lang AS category, quality AS class, count(*) AS rows, round(avg(n_chars), 6) AS mean_chars

@@ -604,6 +604,31 @@ def q_labelled_join_profile(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), _r(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
+class _HashScore:
+    """Stand-in scorer for the streaming check: P(class 1) = md5 uniform of the order key."""
+
+    def score(self, df: DataFrame, keep: list[str], output: str = "score") -> DataFrame:
+        from tessera.functions.hashing import uniform_sql
+        return df.select(*keep, F.expr(uniform_sql("concat(CAST(order_key AS STRING), '|stream')")).alias(output))
+
+
+def q_stream_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """P5-P7, P13, P15 on a stream: upload files scored as they arrive (availableNow trigger), read back."""
+    import uuid
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.streaming import scoring
+    base = f"{ensure_checkpoint_dir(spark)}/stream-check/{uuid.uuid4().hex}"
+    upload = td.upload_frame(spark, sf)
+    upload.write.mode("overwrite").parquet(f"{base}/in")
+    stream = scoring.read_uploads(spark, f"{base}/in", upload.schema, fmt="parquet")
+    scored = scoring.score_rows(stream, td.ORDER_SPEC, _HashScore(), 0.5, keep=["order_key"], rules=ORDER_RULES)
+    q = scoring.start(scored.select("order_key", F.array_join("violations", ",").alias("violations"),
+                                    _r("score", 10).alias("score"), "predicted_class", "recommendation"),
+                      f"{base}/out", trigger_once=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 REGISTRY = {
     "normalize_upload": q_normalize_upload,
     "coerce": q_coerce,
@@ -665,4 +690,5 @@ REGISTRY = {
     "batch_export": q_batch_export,
     "overall_interpretation": q_overall_interpretation,
     "labelled_join_profile": q_labelled_join_profile,
+    "stream_scoring": q_stream_scoring,
 }
