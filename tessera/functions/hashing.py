@@ -7,9 +7,6 @@ executor loss and re-planning, and can be checked by another SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 TWO_32 = 4294967296.0
 # e^-1 written out so every engine starts the Poisson(1) recursion from the same double.
 EXP_MINUS_ONE = "0.36787944117144233D"
@@ -25,19 +22,6 @@ def hash_order_sql(text_sql: str) -> str:
     return f"CAST(conv(substr(md5({text_sql}), 1, 15), 16, 10) AS BIGINT)"
 
 
-def salted(key: str, *salts) -> str:
-    """SQL text ``concat(CAST(key AS STRING), '|', salt, ...)``."""
-    parts = [f"CAST({key} AS STRING)"]
-    for salt in salts:
-        parts.append("'|'")
-        parts.append(salt if isinstance(salt, str) and salt.startswith("CAST(") else f"'{salt}'")
-    return f"concat({', '.join(parts)})"
-
-
-def uniform(key: str, *salts) -> Column:
-    return F.expr(uniform_sql(salted(key, *salts)))
-
-
 def poisson1_cdf(support: int = 20) -> list[float]:
     """F(0..support-1) of Poisson(1) by the recurrence p_j = p_{j-1} / j, F_j = F_{j-1} + p_j,
     starting from e^-1 (the same double steps an SQL engine takes)."""
