@@ -115,7 +115,7 @@ FROM (SELECT event_type, floor(value) AS value_floor, count(*) AS n FROM events
     q["describe_categorical"] = f"""WITH {OBS},
 long AS ({" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM obs WHERE {c} IS NOT NULL" for c in ccols)}),
 pv AS (SELECT "column", value, count(*) AS n FROM long GROUP BY ALL)
-SELECT "column", sum(n) AS count, count(*) AS unique, arg_min(value, (-n, value)) AS top, max(n) AS freq
+SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS unique, arg_min(value, (-n, value)) AS top, max(n) AS freq
 FROM pv GROUP BY 1"""
     ncols = ["total_price", "account_balance", "order_month"]
     long_num = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM obs WHERE {c} IS NOT NULL" for c in ncols)
@@ -740,6 +740,30 @@ FROM f LEFT JOIN ts ON f.family = ts.family LEFT JOIN ws ON f.family = ws.family
     return q
 
 
+def _bigint_counts(sql: str) -> str:
+    """count_if yields HUGEINT in DuckDB; Spark's count_if is BIGINT. Cast every call."""
+    out, i = [], 0
+    while True:
+        j = sql.find("count_if(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len("count_if(")
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            k += 1
+        inner = _bigint_counts(sql[j + len("count_if("):k])
+        out.append(sql[i:j])
+        out.append(f"CAST(count_if({inner}) AS BIGINT)")
+        i = k + 1
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(_slice1())
@@ -748,4 +772,4 @@ def oracle_sql() -> dict[str, str]:
     q.update(_slice4())
     q.update(_slice5())
     q.update(_slice6())
-    return {k: _rnd_all(v) for k, v in q.items()}
+    return {k: _bigint_counts(_rnd_all(v)) for k, v in q.items()}

@@ -53,6 +53,21 @@ def _close(a, b, rel=1e-9):
     return a == b
 
 
+def _family(t: str) -> str:
+    t = t.lower()
+    if t in ("tinyint", "smallint", "int", "integer", "bigint", "hugeint", "long"):
+        return "int"
+    if t in ("float", "double", "real"):
+        return "float"
+    if t in ("string", "varchar"):
+        return "str"
+    if t in ("boolean", "bool"):
+        return "bool"
+    if t in ('"null"', "null"):
+        return "null"
+    return t
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s_cols = spark_df.columns
     s_rows = [tuple(_norm(v) for v in r) for r in spark_df.collect()]
@@ -60,6 +75,11 @@ def compare(spark_df, con, sql: str) -> dict:
     d_cols = rel.columns
     d_rows = [tuple(_norm(v) for v in r) for r in rel.fetchall()]
     out = {"spark_cols": s_cols, "duck_cols": d_cols, "spark_rows": len(s_rows), "duck_rows": len(d_rows)}
+    fam_s = {c: _family(t) for c, t in spark_df.dtypes}
+    fam_d = {c: _family(str(t)) for c, t in zip(d_cols, rel.types)}
+    type_diffs = {c: (fam_s[c], fam_d.get(c)) for c in fam_s if fam_d.get(c) not in (fam_s[c], "null")}
+    if type_diffs:
+        out["type_diffs"] = type_diffs
     if sorted(s_cols) != sorted(d_cols):
         out["status"] = "column-mismatch"
         return out
