@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, licenses, oracles, simhash, toxicity, url_rules
+from tessera.llm import decontamination, licenses, oracles, packing, passages, simhash, topk, toxicity, url_rules
 from tessera.llm.shared import table
 
 
@@ -13,6 +13,17 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the contract; the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("__found.item_ids", lambda i: i.cast("string"))), ",")
@@ -21,6 +32,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("__found.n_hit") > 0).alias("contaminated"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 #: Fixed by the contract: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -45,7 +64,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_licenses": op1_licenses, "op3_decontamination": op3_decontamination, "op7_url_rules": op7_url_rules, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity}
+    return {"op1_licenses": op1_licenses, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_passages": op4_passages, "op5_topk": op5_topk, "op7_url_rules": op7_url_rules, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
