@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, licenses, oracles, packing, passages, simhash, topk, toxicity, url_rules
+from tessera.llm import decontamination, language, licenses, oracles, packing, passages, quality, simhash, topk, toxicity, url_rules
 from tessera.llm.shared import table
 
 
@@ -40,6 +40,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 #: Fixed by the contract: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -63,8 +67,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_licenses": op1_licenses, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_passages": op4_passages, "op5_topk": op5_topk, "op7_url_rules": op7_url_rules, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity}
+    return {"op1_licenses": op1_licenses, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_passages": op4_passages, "op5_topk": op5_topk, "op6_language": op6_language, "op7_url_rules": op7_url_rules, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity,
+            "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
