@@ -10,7 +10,8 @@ For each page and language l, the log posterior adds up
  * the host's prior, smoothed by a hierarchy: host, its parent domains and all
    pages, each level drawn towards the one above it.
 The three tables are counts of what the texts alone say, made by grouped
-aggregation over all pages, so markup that lies counts for what it is worth.
+aggregation over all pages that have a text, so markup that lies counts for
+what it is worth.
 """
 
 from __future__ import annotations
@@ -48,11 +49,12 @@ def visible(html: str | None) -> bytes:
 
 
 def trigram_buckets(data: np.ndarray) -> np.ndarray:
-    """Bucket of each byte trigram, A-Z lower-cased; white space and ASCII punctuation are one sign."""
+    """Bucket of each byte trigram, A-Z lower-cased; white space and ASCII punctuation are one sign, and three of it say nothing."""
     x = CLASS[data]
     if len(x) < 3:
         return np.zeros(0, dtype=np.int64)
     code = x[:-2].astype(np.uint32) << np.uint32(16) | x[1:-1].astype(np.uint32) << np.uint32(8) | x[2:].astype(np.uint32)
+    code = code[code != 0x202020]
     return ((code * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
 
 
@@ -135,7 +137,7 @@ def _levels(host) -> F.Column:
 
 
 def _best(scores) -> F.Column:
-    """Number of the highest score; the first of equal ones."""
+    """Number of the highest score; of equal ones the first."""
     return F.array_position(scores, F.array_max(scores)) - 1
 
 
@@ -147,7 +149,7 @@ def host_priors(marked: DataFrame, n_langs: int) -> DataFrame:
     """
     by_host = marked.groupBy("host", "guess").count()
     counts = by_host.withColumn("name", F.explode(_levels(F.col("host")))).groupBy("name", "guess").agg(F.sum("count").alias("n"))
-    vectors = counts.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("by"), F.sum("n").alias("total"))
+    vectors = counts.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("by"), F.sum(F.when(F.col("guess") >= 0, F.col("n")).otherwise(0)).alias("total"))
     vectors = vectors.select("name", "total", F.transform(F.sequence(F.lit(0), F.lit(n_langs - 1)), lambda i: F.coalesce(F.element_at("by", i.cast("bigint")), F.lit(0))).alias("counts"))
     vectors = cut(vectors, "host-counts")
     levels = by_host.select("host").distinct().select("host", F.posexplode(_levels(F.col("host"))).alias("up", "name"))
@@ -171,7 +173,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         none = F.lit(None).cast("string")
         return pages.select("page_id", none.alias("lang"), F.lit(0.0).alias("probability"), none.alias("text_lang"), declared(F.col("html")).alias("declared"), none.alias("suffix"))
     n = len(langs)
-    marked = cut(_evidence(pages, langs, table).withColumn("guess", _best(F.col("text"))), "page-evidence")
+    marked = cut(_evidence(pages, langs, table).withColumn("guess", F.when(F.array_min("text") < F.array_max("text"), _best(F.col("text"))).otherwise(-1)), "page-evidence")
     totals = marked.groupBy("guess").agg(F.count("*").alias("all"))
 
     def conditional(column: str) -> DataFrame:
@@ -188,4 +190,4 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     fused = fused.withColumn("total", total).withColumn("top", F.array_max("total"))
     mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     return fused.select("page_id", F.element_at(names, (_best(F.col("total")) + 1).cast("int")).alias("lang"), (1 / mass).alias("probability"),
-                        F.element_at(names, (F.col("guess") + 1).cast("int")).alias("text_lang"), "declared", "suffix")
+                        F.when(F.col("guess") >= 0, F.element_at(names, (F.col("guess") + 1).cast("int"))).alias("text_lang"), "declared", "suffix")

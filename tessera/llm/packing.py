@@ -63,7 +63,7 @@ class Encoder:
         # the split of byte-level BPE vocabularies
         split = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.fast = tiktoken.Encoding("file", pat_str=split, mergeable_ranks=ranks, special_tokens={})
-        self.vocabulary = max(spec["model"]["vocab"].values()) + 1
+        self.vocabulary = 1 + max(*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]))
 
     def __call__(self, text: str) -> list[int]:
         if PLAIN.fullmatch(text) and not any(s in text for s in self.special):

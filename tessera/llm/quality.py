@@ -116,8 +116,10 @@ def estimate(pattern: np.ndarray, count: np.ndarray) -> LabelModel:
     weight of ``BELIEF`` of all documents, so that a class can't shrink to a
     few odd texts.
     """
-    vote = votes_of(pattern)
     overall, bad, good = START
+    if not len(pattern):
+        return LabelModel(overall, np.full((len(LABELLERS), 2, 3), 1 / 3))
+    vote = votes_of(pattern)
     table = np.zeros((len(LABELLERS), 2, 3))
     for v, share in ((-1, overall), (0, bad), (1, good)):
         seen = ((vote == v) * count[:, None]).sum(axis=0) + 0.5

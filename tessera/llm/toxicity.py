@@ -59,13 +59,19 @@ class Model:
         return x, begin
 
     def pools(self, x: np.ndarray, begin: np.ndarray):
-        """For each width: the responses at every place and their maximum within each text."""
+        """For each width: the responses at every place and their maximum within each text (at least 0).
+
+        Places from which a window would reach into the next text don't count.
+        """
+        rows = len(x) - PAD
+        stop = np.append(begin[1:], rows)
         for width in WIDTHS:
-            rows = len(x) - PAD
             y = x[:rows] @ self.filters[width][0]
             for o in range(1, width):
                 y += x[o:rows + o] @ self.filters[width][o]
             y += self.biases[width]
+            for o in range(1, width):
+                y[stop - o] = -np.inf
             yield y, np.maximum(np.maximum.reduceat(y, begin, axis=0), 0)
 
 
