@@ -159,7 +159,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     met = document_fingerprints(docs, lengths).join(marks.withColumnRenamed("at", "in_context"), ["hash", "n"]) \
         .groupBy("key", "n", F.col("at").alias("place"), F.col("in_context").alias("at"), "context").agg(F.first("items").alias("items"))
     candidates = met.groupBy("key").agg(F.collect_list(F.struct("n", "place", "at", "context", "items")).alias("candidates"))
-    candidates = candidates.select(F.col("key").alias("__key"), F.col("candidates").alias("__candidates"))
+    # a table, so that Spark can split the documents of a text with many copies in the join
+    candidates = cut(candidates.select(F.col("key").alias("__key"), F.col("candidates").alias("__candidates")), "candidates")
 
     @F.arrow_udf(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
     def extend(texts: pa.Array, found: pa.Array) -> pa.Array:

@@ -75,7 +75,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(place, hash) of the k-grams that winnowing keeps."""
+    """(place, hash) of the k-grams that winnowing keeps; of one that follows itself (a word repeated), the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +85,9 @@ def seeds(docs: DataFrame) -> DataFrame:
                     raise ValueError(f"a text has {found.counts.max()} words; {1 << PLACE_BITS} are supported")
                 at, h = T.winnow(found, found.hashes(), K, WINDOW)
                 of = found.text_of_word()[at]
+                if len(at):
+                    first = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))
+                    at, h, of = at[first], h[first], of[first]
                 places = (docs_[row:stop][of] << PLACE_BITS) | (at - found.first[of])
                 yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(h.view(np.int64))], names=["place", "hash"])
 
@@ -114,8 +117,9 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def matches(found: DataFrame) -> DataFrame:
     """(doc, at, other, other_at): each seed with its first occurrence, if that is in another document."""
-    first = found.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")) \
-        .filter(F.shiftright("first", PLACE_BITS) < F.shiftright("last", PLACE_BITS)).select("hash", "first")
+    # a table, so that Spark can split the occurrences of a frequent seed in the join
+    first = cut(found.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+                .filter(F.shiftright("first", PLACE_BITS) < F.shiftright("last", PLACE_BITS)).select("hash", "first"), "first-seeds")
     mask = F.lit((1 << PLACE_BITS) - 1)
     return found.join(first, "hash").select(
         F.shiftright("place", PLACE_BITS).alias("doc"), F.col("place").bitwiseAND(mask).cast("int").alias("at"),
