@@ -69,8 +69,8 @@ FROM ({_upload()})"""
     q["coerce"] = f"""SELECT order_key, total_price, account_balance, order_month, order_status, order_priority,
   market_segment, result_value FROM ({_coerced()})"""
     q["validation_counters"] = f"""SELECT count(*) AS rows_in,
-  CAST(0 AS BIGINT) AS non_numeric_total_price,
-  CAST(0 AS BIGINT) AS non_numeric_account_balance,
+  count_if(CAST(total_price AS VARCHAR) IS NOT NULL AND TRY_CAST(CAST(total_price AS VARCHAR) AS DOUBLE) IS NULL) AS non_numeric_total_price,
+  count_if(CAST(account_balance AS VARCHAR) IS NOT NULL AND TRY_CAST(CAST(account_balance AS VARCHAR) AS DOUBLE) IS NULL) AS non_numeric_account_balance,
   count_if(raw_month IS NOT NULL AND order_month IS NULL) AS non_numeric_order_month,
   count_if(result_value IS NOT DISTINCT FROM 2.0) AS rows_excluded,
   count_if(result_value IS DISTINCT FROM 2.0 AND (result_value IS NULL OR result_value NOT IN (0, 1))) AS rows_invalid,
@@ -90,7 +90,7 @@ SELECT order_key,
        OR coalesce(order_month < 1 OR order_month > 12, false)
        OR account_balance IS NULL OR market_segment IS NULL) AS passes
 FROM obs"""
-    s = score_sql("order_key", "result", "MLP")
+    s = score_sql("order_key", "result", "scorer_a")
     q["threshold_class"] = f"""WITH {OBS}
 SELECT order_key, round({s}, {R}) AS score, CAST({s} >= 0.5 AS INTEGER) AS predicted_class,
   CASE WHEN {s} >= 0.5 THEN 'Irrigation required' ELSE 'No irrigation required' END AS recommendation
@@ -288,14 +288,14 @@ SELECT {", ".join("m." + b.strip() for b in by.split(","))},
 FROM m JOIN a USING ({by}) JOIN ap USING ({by})"""
 
 
-def _bootstrap_sql(metric: str) -> str:
+def _bootstrap_sql(metric: str, replicates: int = 200) -> str:
     u = ("(CAST(('0x' || substr(md5(concat(CAST(order_key AS VARCHAR), '|', CAST(b AS VARCHAR), '|42')), 1, 8))"
          " AS BIGINT) / 4294967296.0)")
     w = (f"list_reduce(range(1, 21), lambda acc, j: {{'p': acc.p / j, 'c': acc.c + acc.p / j, "
          f"'k': acc.k + CASE WHEN {u} > acc.c THEN 1 ELSE 0 END}}, "
          f"{{'p': 0.36787944117144233::DOUBLE, 'c': 0.36787944117144233::DOUBLE, 'k': 0}}).k")
     reps = f"""reps AS (SELECT model, b, y, score, CAST({w} AS DOUBLE) AS w
-      FROM (SELECT * FROM pred WHERE is_test) p, range(1, 201) r(b)),
+      FROM (SELECT * FROM pred WHERE is_test) p, range(1, {replicates + 1}) r(b)),
 wr AS (SELECT * FROM reps WHERE w > 0)"""
     if metric == "f1":
         vals = """vals AS (SELECT model, b, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS v
@@ -333,6 +333,7 @@ WHERE idx = 1 OR idx = m OR m <= 2 OR npos <> pos OR nneg <> neg
 UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr FROM p"""
     q["bootstrap_f1"] = _bootstrap_sql("f1")
     q["bootstrap_auc"] = _bootstrap_sql("roc_auc")
+    q["bootstrap_auc_1000"] = _bootstrap_sql("roc_auc", 1000)
     return q
 
 
@@ -616,11 +617,9 @@ def _slice5() -> dict[str, str]:
     q["cv_tests"] = f"""WITH {CVS}, tt AS ({t}), ww AS ({w})
 SELECT model_a, model_b, tt.n, tt.mean_difference, round(tt.t_statistic, 6) AS t_statistic, tt.p_value AS t_p_value,
   tt.p_value_holm AS t_p_holm, tt.significant AS t_significant,
-  CASE WHEN tt.p_value_holm IS NULL THEN 'Not enough blocks to interpret.'
-       WHEN tt.significant THEN printf('adjusted p=%.5f < 0.05: significant mean difference; %s %s than %s.',
-                                       tt.p_value_holm, model_a, tt.direction, model_b)
-       ELSE printf('adjusted p=%.5f >= 0.05: no significant mean difference between %s and %s.',
-                   tt.p_value_holm, model_a, model_b) END AS t_interpretation,
+  CASE WHEN tt.p_value_holm IS NULL THEN 'Too few blocks to compare.'
+       ELSE printf('%s and %s %s by their means at level 0.05 (Holm p=%.5f)', model_a, model_b,
+                   CASE WHEN tt.significant THEN 'differ' ELSE 'do not differ' END, tt.p_value_holm) END AS t_interpretation,
   ww.statistic AS w_statistic, ww.p_value AS w_p_value, ww.p_value_holm AS w_p_holm, ww.method AS w_method
 FROM tt JOIN ww USING (model_a, model_b)"""
     fr = _friedman_sql("(SELECT * FROM cvs)", [], "fold", "model", "f1")
@@ -628,11 +627,10 @@ FROM tt JOIN ww USING (model_a, model_b)"""
         "FROM fin", "FROM fin").replace(
         "CASE WHEN NOT available THEN 'Friedman needs at least 3 treatments and 3 complete blocks.' END AS reason",
         "CASE WHEN NOT available THEN 'Friedman needs at least 3 treatments and 3 complete blocks.' END AS reason, "
-        "CASE WHEN NOT available THEN 'Friedman cannot be concluded: run with at least 3 complete blocks.' "
-        f"WHEN {d_chi2_sf('statistic', 'df')} < 0.05 THEN printf('p=%.5f < 0.05: H0 rejected, the %d treatments differ "
-        "overall; Friedman alone does not say which pairs differ, see the paired tests.', "
-        f"{d_chi2_sf('statistic', 'df')}, k) ELSE printf('p=%.5f >= 0.05: H0 not rejected; no evidence of an overall "
-        f"difference.', {d_chi2_sf('statistic', 'df')}) END AS interpretation")
+        "CASE WHEN NOT available THEN 'No overall test: fewer than 3 complete blocks or treatments.' "
+        f"ELSE printf('%s (p=%.5f, %d treatments, level 0.05)', CASE WHEN {d_chi2_sf('statistic', 'df')} < 0.05 "
+        "THEN 'At least one treatment ranks apart; the paired tests name the pairs' ELSE 'Ranks of the treatments look alike' END, "
+        f"{d_chi2_sf('statistic', 'df')}, k) END AS interpretation")
     test = f"""tm AS (SELECT model, CAST(count_if(y = 1 AND score >= 0.5) AS DOUBLE) AS tp,
         CAST(count_if(y = 0 AND score >= 0.5) AS DOUBLE) AS fp, CAST(count_if(y = 1 AND score < 0.5) AS DOUBLE) AS fn
         FROM pred WHERE is_test GROUP BY model),
@@ -699,9 +697,9 @@ UNION ALL {miss}
 UNION ALL SELECT 'class', CAST(result AS VARCHAR), CAST(count(*) AS DOUBLE), NULL FROM obs GROUP BY result
 UNION ALL SELECT 'rows_excluded', NULL, CAST(count_if(result_value IS NOT DISTINCT FROM 2.0) AS DOUBLE), NULL FROM co
 UNION ALL {dtypes}
-UNION ALL SELECT 'warning', '0', NULL, printf('%d non-numeric values in order_month are treated as missing.',
+UNION ALL SELECT 'warning', '0', NULL, printf('order_month: %d values are no numbers and count as missing',
   count_if(raw_month IS NOT NULL AND order_month IS NULL)) FROM co
-UNION ALL SELECT 'warning', '1', NULL, printf('Excluded %d rows with result=2; the study is binary (0/1).',
+UNION ALL SELECT 'warning', '1', NULL, printf('result: left out %d rows of class 2',
   count_if(result_value IS NOT DISTINCT FROM 2.0)) FROM co"""
     fr = _friedman_sql(_complete(_fold_scores(True), ["family"], "block", "treatment", "value"), ["family"],
                        "block", "treatment", "value")
@@ -731,15 +729,54 @@ SELECT 'source', source, quality, count(*), round(avg(n_chars), 6) FROM j GROUP
 ts AS (SELECT family, count_if(significant) AS t_sig, count(*) AS t_all FROM t GROUP BY family),
 ws AS (SELECT family, count_if(significant) AS w_sig, count(*) AS w_all FROM w GROUP BY family)
 SELECT f.family, concat_ws(' ',
-  CASE WHEN NOT available THEN 'Friedman needs at least three complete blocks.'
-       WHEN p_value < 0.05 THEN 'Friedman finds overall differences between the treatments; it does not say which pairs differ.'
-       ELSE 'Friedman finds no significant overall difference at alpha=0.05.' END,
-  printf('Paired t: %d/%d comparisons significant. Signed-rank: %d/%d significant after Holm.',
+  CASE WHEN NOT available THEN 'Too few complete blocks for an overall test.'
+       WHEN p_value < 0.05 THEN 'Overall, the treatments are not all alike (Friedman).'
+       ELSE 'Overall, the treatments can''t be told apart (Friedman).' END,
+  printf('Pairs that differ after Holm: %d of %d by the t test, %d of %d by signed ranks.',
          coalesce(t_sig, 0), coalesce(t_all, 0), coalesce(w_sig, 0), coalesce(w_all, 0))) AS interpretation
 FROM f LEFT JOIN ts ON f.family = ts.family LEFT JOIN ws ON f.family = ws.family"""
     return q
 
 
+def _model_checks() -> dict[str, str]:
+    """What any right fit returns: exact quotas of rows, and every check true.
+
+    Quotas by largest remainder as in the hold-out split; fold sizes by
+    position in the line of training rows, class after class.
+    """
+    quota = """n AS (SELECT CAST(embedding[1] + embedding[2] > embedding[3] AS INTEGER) AS y, count(*) AS n FROM embeddings GROUP BY 1),
+t AS (SELECT y, n, sum(n) OVER () - CAST(ceil(0.2 * sum(n) OVER ()) AS BIGINT) AS draws, n / CAST(sum(n) OVER () AS DOUBLE) AS share FROM n),
+f AS (SELECT *, CAST(floor(share * draws) AS BIGINT) AS whole, share * draws - floor(share * draws) AS part FROM t),
+q AS (SELECT y, n, whole + CASE WHEN row_number() OVER (ORDER BY part DESC, y) <= draws - sum(whole) OVER () THEN 1 ELSE 0 END AS train FROM f)"""
+    ok = "true AS scores_valid, true AS counts_add_up, true AS auc_above_floor, true AS f1_above_floor"
+    out = {f"{name.lower()}_fit_score": f"""WITH {quota}
+SELECT '{name}' AS model, CAST(sum(n - train) AS BIGINT) AS rows, CAST(sum(CASE WHEN y = 1 THEN n - train ELSE 0 END) AS BIGINT) AS positives, {ok} FROM q"""
+           for name in ("MLP", "DNN", "RBF")}
+    out["cross_validate"] = f"""WITH {quota},
+l AS (SELECT y, train, coalesce(sum(train) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+r AS (SELECT y, (before + unnest(range(0, CAST(train AS BIGINT)))) % 5 + 1 AS fold FROM l)
+SELECT model, CAST(fold AS INTEGER) AS fold, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, {ok}
+FROM r, (VALUES ('MLP'), ('DNN'), ('RBF')) m(model) GROUP BY model, fold"""
+    out["tune"] = """SELECT CAST(4 AS BIGINT) AS trials, CAST(4 AS BIGINT) AS settings, CAST(1 AS BIGINT) AS best, true AS best_is_highest,
+true AS f1_above_floor, true AS settings_matter"""
+    h = """CAST(('0x' || substr(md5(concat(CAST(vec_id AS VARCHAR), '|split|42')), 1, 15)) AS BIGINT)"""
+    out["persist_roundtrip"] = f"""WITH {quota},
+k AS (SELECT vec_id, y, row_number() OVER (PARTITION BY y ORDER BY {h}, vec_id) AS rank
+      FROM (SELECT vec_id, CAST(embedding[1] + embedding[2] > embedding[3] AS INTEGER) AS y FROM embeddings))
+SELECT vec_id, true AS same_score, CAST(0.5 AS DOUBLE) AS threshold, 'MLP' AS model FROM k JOIN q USING (y) WHERE rank <= n - train"""
+    return out
+
+
+def _sources() -> dict[str, str]:
+    return {
+        "csv_missing_words": """SELECT segment, count(*) AS rows, count(units) AS known, CAST(sum(units) AS BIGINT) AS total
+FROM (SELECT CASE WHEN c_custkey % 5 > 2 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 100 END AS units FROM customer)
+GROUP BY segment""",
+        "csv_multiline": """SELECT c_custkey AS k, concat('line one of ', c_mktsegment, chr(10), 'said "two", and 3') AS note FROM customer""",
+        "newest_file": "SELECT n_nationkey, n_name, CAST(2 AS INTEGER) AS upload FROM nation",
+    }
+
+
 def _bigint_counts(sql: str) -> str:
     """count_if yields HUGEINT in DuckDB; Spark's count_if is BIGINT. Cast every call."""
     out, i = [], 0
@@ -772,4 +809,6 @@ def oracle_sql() -> dict[str, str]:
     q.update(_slice4())
     q.update(_slice5())
     q.update(_slice6())
+    q.update(_model_checks())
+    q.update(_sources())
     return {k: _bigint_counts(_rnd_all(v)) for k, v in q.items()}

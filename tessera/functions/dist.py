@@ -13,9 +13,6 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 _ids = itertools.count()
 
 
@@ -50,40 +47,59 @@ def normal_sf2(z: str) -> str:
     return erfc(f"abs({z}) / sqrt(2D)")
 
 
-def _t_tail_theta(theta: str, n: str) -> str:
-    """1 - A(t|n) for integer df n given theta = atan(|t| / sqrt(n)).
+def _ln_gamma(z: str) -> str:
+    """log Gamma(z) for z > 0: Stirling's series at z + 12, brought back by the product of the steps between."""
+    y = f"(({z}) + 12D)"
+    steps = " * ".join(f"(({z}) + {i}D)" for i in range(12))
+    # Bernoulli numbers over 2k (2k - 1)
+    series = " + ".join(f"({c}) / pow({y}, {p})" for c, p in (("1D / 12D", 1), ("-1D / 360D", 3), ("1D / 1260D", 5), ("-1D / 1680D", 7), ("1D / 1188D", 9)))
+    return f"(({y} - 0.5D) * ln({y}) - {y} + 0.5D * ln(2D * pi()) + {series} - ln({steps}))"
+
+
+def _beta_inc(x: str, a: str, b: str) -> str:
+    """Regularised incomplete beta I_x(a, b) by its continued fraction, evaluated from the far end.
 
-    Finite trigonometric sums for the Student-t CDF (integer df); exact up to
-    rounding for any df, no series truncation.
+    Meant for x below (a + 1) / (a + b + 2), where about sqrt(max(a, b)) terms
+    reach double precision.
     """
     s = _sfx()
-    c2 = f"pow(cos({theta}), 2)"
-    even_sum = (f"aggregate({_int_range('1', f'({n}) div 2 - 1')}, named_struct('t', 1D, 's', 1D), "
-                f"(e{s}, i{s}) -> named_struct('t', e{s}.t * (2 * i{s} - 1) / (2 * i{s}) * {c2}, "
-                f"'s', e{s}.s + e{s}.t * (2 * i{s} - 1) / (2 * i{s}) * {c2}), e{s} -> e{s}.s)")
-    odd_sum = (f"aggregate({_int_range('1', f'(({n}) - 1) div 2 - 1')}, named_struct('t', 1D, 's', 1D), "
-               f"(o{s}, m{s}) -> named_struct('t', o{s}.t * (2 * m{s}) / (2 * m{s} + 1) * {c2}, "
-               f"'s', o{s}.s + o{s}.t * (2 * m{s}) / (2 * m{s} + 1) * {c2}), o{s} -> o{s}.s)")
-    even_a = f"sin({theta}) * {even_sum}"
-    odd_a = (f"2D / pi() * ({theta} + IF(({n}) > 1, sin({theta}) * cos({theta}) * {odd_sum}, 0D))")
-    return f"(1D - IF(({n}) % 2 = 0, {even_a}, {odd_a}))"
+    terms = f"CAST(60 + 4 * ceil(sqrt(greatest({a}, {b}))) AS INT)"
+    m = f"(k{s} div 2)"
+    even = f"({m} * (({b}) - {m}) * ({x}) / ((({a}) + 2 * {m} - 1) * (({a}) + 2 * {m})))"
+    odd = f"(-(({a}) + {m}) * (({a}) + ({b}) + {m}) * ({x}) / ((({a}) + 2 * {m}) * (({a}) + 2 * {m} + 1)))"
+    fraction = f"aggregate(sequence({terms}, 1, -1), 1D, (f{s}, k{s}) -> 1D + IF(k{s} % 2 = 0, {even}, {odd}) / f{s})"
+    front = f"exp(({a}) * ln({x}) + ({b}) * ln(1D - ({x})) + {_ln_gamma(f'({a}) + ({b})')} - {_ln_gamma(a)} - {_ln_gamma(b)})"
+    return f"({front} / ({a}) / {fraction})"
+
+
+def _t_tail(t2: str, n: str) -> str:
+    """Two-sided tail of Student's t with n degrees of freedom, given t squared.
+
+    I_x(n/2, 1/2) at x = n / (n + t^2): the tail itself, so small p-values keep
+    their digits; for x near 1 the complement, which is then no small number.
+    """
+    a, b = f"(CAST(({n}) AS DOUBLE) / 2D)", "0.5D"
+    x, rest = f"(({n}) / (({n}) + {t2}))", f"({t2} / (({n}) + {t2}))"
+    return (f"(CASE WHEN {t2} = 0D THEN 1D WHEN {x} <= 0D THEN 0D WHEN {x} < ({a} + 1D) / ({a} + 2.5D) "
+            f"THEN {_beta_inc(x, a, b)} ELSE 1D - {_beta_inc(rest, b, a)} END)")
 
 
 def t_sf2(t: str, n: str) -> str:
-    """Two-sided p-value of a Student-t statistic with integer df n >= 1."""
-    theta = f"atan(abs(CAST(({t}) AS DOUBLE)) / sqrt(CAST(({n}) AS DOUBLE)))"
-    return f"(CASE WHEN ({t}) IS NULL OR ({n}) IS NULL OR ({n}) < 1 THEN NULL ELSE greatest(0D, {_t_tail_theta(theta, n)}) END)"
+    """Two-sided p-value of a Student-t statistic with n >= 1 degrees of freedom."""
+    t2 = f"pow(CAST(({t}) AS DOUBLE), 2)"
+    return f"(CASE WHEN ({t}) IS NULL OR ({n}) IS NULL OR ({n}) < 1 THEN NULL ELSE {_t_tail(t2, n)} END)"
 
 
 def t_quantile2(alpha: str, n: str, steps: int = 64) -> str:
-    """Critical value t* with two-sided tail alpha, i.e. ppf(1 - alpha/2), integer df.
+    """Critical value t* with two-sided tail alpha, i.e. ppf(1 - alpha/2).
 
-    Bisection in theta = atan(t / sqrt n) on [0, pi/2]; 64 halvings reach the
-    double resolution. Evaluated once per distinct df by the callers.
+    Bisection in the angle atan(t / sqrt n); 64 halvings reach the double
+    resolution. Costs ``steps`` tails: callers evaluate it once for each
+    distinct number of degrees of freedom.
     """
     s = _sfx()
     mid = f"((q{s}.lo + q{s}.hi) / 2D)"
-    tail = _t_tail_theta(mid, n)
+    tail = _t_tail(f"(CAST(({n}) AS DOUBLE) * pow(tan({mid}), 2))", n)
     return (f"aggregate(sequence(1, {steps}), named_struct('lo', 0D, 'hi', pi() / 2D), "
             f"(q{s}, r{s}) -> IF({tail} > ({alpha}), named_struct('lo', {mid}, 'hi', q{s}.hi), "
             f"named_struct('lo', q{s}.lo, 'hi', {mid})), "
@@ -134,7 +150,3 @@ def signed_rank_normal_p(w: str, n: str, tie_term: str) -> str:
     mean = f"({nn} * ({nn} + 1D) / 4D)"
     se = f"sqrt(({nn} * ({nn} + 1D) * (2D * {nn} + 1D) - 0.5D * ({tie_term})) / 24D)"
     return f"(CASE WHEN ({n}) IS NULL OR ({n}) < 1 THEN NULL ELSE {normal_sf2(f'(({w}) - {mean}) / {se}')} END)"
-
-
-def col(sql: str) -> Column:
-    return F.expr(sql)

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators.prefix import exact_quantiles
 
-MAX_LEVELS = 10_000  # one-hot width guard: above this, one-hot is the wrong encoder
-
-
 def _long(df: DataFrame, cols: list[str], cast: str) -> DataFrame:
     return df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value")) for c in cols])).alias("__u")
@@ -57,12 +54,6 @@ class Preprocessor:
         """Keep columns + one column per feature (numeric block, then one-hot block)."""
         return df.select(*[F.col(k) for k in keep], *self.feature_columns())
 
-    def vector(self, df: DataFrame, keep: list[str] = (), output: str = "features") -> DataFrame:
-        """Keep columns + an ML vector of the features (for spark.ml estimators)."""
-        from pyspark.ml.functions import array_to_vector
-        arr = F.array(*self.feature_columns())
-        return df.select(*[F.col(k) for k in keep], array_to_vector(arr).alias(output))
-
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
@@ -80,9 +71,7 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     """
     pre = Preprocessor(list(numeric), list(categorical))
     if numeric:
-        # a column never has more distinct values than the training set has rows
-        rows = train.count()
-        med = exact_quantiles(_long(train, numeric, "double"), ["column"], "value", [0.5], group_rows_bound=rows)
+        med = exact_quantiles(_long(train, numeric, "double"), ["column"], "value", [0.5])
         pre.medians = {r["column"]: r["quantile"] for r in med.collect()}
         imputed = [F.coalesce(F.col(c).cast("double"), F.lit(pre.medians.get(c)).cast("double")) for c in numeric]
         row = train.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(imputed)],
@@ -97,9 +86,6 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
         per_col = counts.groupBy("column").agg(F.count(F.lit(1)).alias("k"),
                                                F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
         stats = {r["column"]: (r["k"], r["mode"]) for r in per_col.collect()}
-        too_wide = {c: k for c, (k, _) in stats.items() if k > MAX_LEVELS}
-        if too_wide:
-            raise ValueError(f"one-hot would create too many columns: {too_wide}")
         levels = counts.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("levels")).collect()
         pre.levels = {r["column"]: list(r["levels"]) for r in levels}
         pre.modes = {c: stats[c][1] for c in stats}
@@ -123,7 +109,8 @@ def fold_statistics(df: DataFrame, numeric: list[str], categorical: list[str], f
     ).select("train_fold", "__u.column", "__u.value")
     med = exact_quantiles(num_long, ["train_fold", "column"], "value", [0.5]).select(
         "train_fold", "column", F.col("quantile").alias("median"))
-    imputed = num_long.join(med, ["train_fold", "column"], "left").select(
+    # folds x columns lines
+    imputed = num_long.join(F.broadcast(med), ["train_fold", "column"], "left").select(
         "train_fold", "column", "median", F.coalesce("value", "median").alias("x"))
     num_stats = imputed.groupBy("train_fold", "column", "median").agg(
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("__s")).select(

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import poisson1_sql, uniform_sql
-from tessera.operators.prefix import running_totals
+from tessera.operators.prefix import running_totals, with_ranges
+from tessera.session import materialize
 
 DOUBLE_EPS = 2.220446049250313e-16
+# fixed values: the names of the study's metrics, in its order
 METRIC_COLUMNS = ["accuracy", "precision", "recall", "specificity", "f1", "roc_auc", "pr_auc", "log_loss",
                   "balanced_accuracy", "mcc", "brier_score", "threshold", "n"]
 
@@ -28,11 +30,11 @@ def _div(a, b):
 
 
 def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    if not by:
-        return left.crossJoin(right)  # both sides are single rows
-    r = right.select(*[F.col(c).alias(f"__j_{c}") for c in by], *[c for c in right.columns if c not in by])
-    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"__j_{c}"]) for c in by])
-    return left.join(r, cond, "left").drop(*[f"__j_{c}" for c in by])
+    """Left join on ``by`` (nulls equal); without ``by`` both sides are single rows and meet on a constant."""
+    r = right.select(*[F.col(c).alias(f"__j_{c}") for c in by], F.lit(1).alias("__j"), *[c for c in right.columns if c not in by])
+    left = left.withColumn("__l", F.lit(1))
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"__j_{c}"]) for c in by], left["__l"] == r["__j"])
+    return left.join(r, cond, "left").drop("__l", "__j", *[f"__j_{c}" for c in by])
 
 
 def confusion_counts(pred: DataFrame, by: list[str], y: str = "y", score: str = "score",
@@ -78,28 +80,6 @@ def score_levels(pred: DataFrame, by: list[str], y: str = "y", score: str = "sco
         F.sum(F.when(yy == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(yy == 0, w).otherwise(0)).alias("neg"))
 
 
-def roc_auc_from_levels(levels: DataFrame, by: list[str]) -> DataFrame:
-    """Tie-aware ROC-AUC = P(s+ > s-) + P(s+ = s-) / 2; 0.0 when a class is absent."""
-    run = running_totals(levels, by, ["score"], {"neg_below": "neg"}, inclusive=False, with_totals=True)
-    agg = run.groupBy(*by).agg(
-        F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("__u"),
-        F.sum("pos").alias("__p"), F.max("neg_below_total").alias("__n"))
-    return agg.select(*by, F.when((F.col("__p") > 0) & (F.col("__n") > 0),
-                                  F.col("__u") / (F.col("__p") * F.col("__n"))).otherwise(F.lit(0.0))
-                      .cast("double").alias("roc_auc"))
-
-
-def average_precision_from_levels(levels: DataFrame, by: list[str]) -> DataFrame:
-    """Step-wise average precision sum_k (R_k - R_{k-1}) P_k over thresholds, high to low."""
-    run = running_totals(levels, by, [-F.col("score"), "score"], {"tps": "pos", "fps": "neg"}, with_totals=True)
-    agg = run.groupBy(*by).agg(
-        F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps")))
-              .otherwise(F.lit(0.0))).alias("__s"),
-        F.max("tps_total").alias("__p"))
-    return agg.select(*by, F.when(F.col("__p") > 0, F.col("__s") / F.col("__p")).otherwise(F.lit(0.0))
-                      .cast("double").alias("pr_auc"))
-
-
 def rank_metrics_from_levels(levels: DataFrame, by: list[str]) -> DataFrame:
     """E8 + E9 from one descending running-totals pass over the score levels.
 
@@ -136,7 +116,7 @@ def roc_curve(pred: DataFrame, by: list[str], y: str = "y", score: str = "score"
     the counts added at its threshold equal those added at the next one
     (second difference zero), first and last thresholds always kept. The next
     level is found by an equi-join on the level ordinal, not by ``lead`` over
-    a whole group.
+    a whole group. A rate whose class is absent from the group is NULL.
     """
     levels = score_levels(pred, by, y, score)
     run = running_totals(levels, by, [-F.col("score"), "score"],
@@ -152,12 +132,58 @@ def roc_curve(pred: DataFrame, by: list[str], y: str = "y", score: str = "score"
             (F.col("idx") == 1) | (F.col("idx") == F.col("m")) | (F.col("m") <= 2)
             | (F.col("__n_pos") != F.col("pos")) | (F.col("__n_neg") != F.col("neg")))
     pts = run.select(*by, F.col("score").alias("threshold"),
-                     (F.col("fps") / F.col("N")).alias("fpr"), (F.col("tps") / F.col("P")).alias("tpr"))
+                     F.try_divide("fps", "N").alias("fpr"), F.try_divide("tps", "P").alias("tpr"))
     start = levels.groupBy(*by).agg(F.sum("pos").alias("P")).select(
         *by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)
 
 
+def _replicated(rows: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """Each row once for each replicate ``__b`` with its weight ``__w``.
+
+    Zero weights stay: a filter would make Catalyst inline the md5 uniform
+    into every branch of the weight's CASE.
+    """
+    u = uniform_sql(f"concat(CAST({key} AS STRING), '|', CAST(__b AS STRING), '|{seed}')")
+    return (rows.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+                .withColumn("__u", F.expr(u)).withColumn("__w", F.expr(poisson1_sql("__u")).cast("double")).drop("__u"))
+
+
+def _replicate_auc(pred: DataFrame, by: list[str], key: str, y: str, score: str, replicates: int, seed: int) -> DataFrame:
+    """(by..., __b, v): ROC-AUC of each replicate that has both classes.
+
+    Rows are dealt once, by ranges of (group, score, hash of key); replicates
+    are expanded, summed to score levels and ranked inside a range, without
+    another exchange. A range gives, for each replicate, its positives P, its
+    negatives N and the U statistic of its own pairs; P times the negatives of
+    the ranges before adds the pairs across ranges. Ranges may share a score
+    (many ties do not make one large range): such pairs count a half, which is
+    put right from the first and last level of each range.
+    """
+    rows = pred.select(*by, key, y, F.col(score).cast("double").alias("__s"))
+    dealt = with_ranges(rows, by, ["__s", F.xxhash64(F.col(key).cast("string"))]).repartition("__group", "__range")
+    where = ["__group", "__range", "__b"]
+    yy, w = F.col(y).cast("int"), F.col("__w")
+    levels = _replicated(dealt, key, replicates, seed).groupBy(*by, *where, "__s").agg(
+        F.sum(F.when(yy == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(yy == 0, w).otherwise(0.0)).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*where).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    level = F.struct("__s", "pos", "neg")
+    # one row for each range and replicate; read twice below
+    ranges = materialize(levels.withColumn("__below", below).groupBy(*by, *where).agg(
+        F.sum(F.col("pos") * (F.col("__below") + F.col("neg") * 0.5)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"),
+        F.min(level).alias("first"), F.max(level).alias("last")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__group", "__b").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    pairs = ranges.select(*by, "__b", (F.col("u") + F.col("p") * before).alias("u"), "p", "n")
+    edges = ranges.select(*by, *where, F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select(*by, *where, "e.*")
+    earlier = F.coalesce(F.sum("neg").over(Window.partitionBy("__group", "__b", "__s").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ties = edges.withColumn("__counted", F.col("pos") * F.col("neg") * 0.5 + F.col("pos") * earlier).groupBy(*by, "__b", "__s").agg(
+        (F.sum("pos") * F.sum("neg") * 0.5 - F.sum("__counted")).alias("u"))
+    zero = F.lit(0.0)
+    total = pairs.unionByName(ties.select(*by, "__b", "u", zero.alias("p"), zero.alias("n"))).groupBy(*by, "__b").agg(
+        F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return total.where((F.col("p") > 0) & (F.col("n") > 0)).select(*by, "__b", (F.col("u") / (F.col("p") * F.col("n"))).alias("v"))
+
+
 def bootstrap_ci(pred: DataFrame, by: list[str], key: str, y: str = "y", score: str = "score",
                  metric: str = "f1", replicates: int = 200, seed: int = 42, threshold: float = 0.5,
                  lower: float = 0.025, upper: float = 0.975) -> DataFrame:
@@ -165,46 +191,24 @@ def bootstrap_ci(pred: DataFrame, by: list[str], key: str, y: str = "y", score:
 
     Poisson(1) bootstrap: replicate b gives each row weight Poisson(1) drawn
     from md5(key, b, seed) -- the same weights for every model (paired), and
-    identical after retries. Rows are expanded by the replicate count but
-    pre-aggregated map-side, so the shuffle is replicates x (cells or score
-    levels), never replicates x rows. AUC replicates with a single class are
-    skipped. Intervals use linear-interpolated percentiles over the (bounded)
+    identical after retries. Rows are expanded by the replicate count where
+    they are: for F1 they are summed map-side into the cells of a replicate,
+    for AUC they are first dealt by ranges of the score (see
+    ``_replicate_auc``). So the shuffle is at most rows + replicates x ranges,
+    whatever the scores. AUC replicates with a single class are skipped. Intervals use linear-interpolated percentiles over the (bounded)
     replicate values of each group.
     """
-    u = uniform_sql(f"concat(CAST({key} AS STRING), '|', CAST(__b AS STRING), '|{seed}')")
-    # No row filter on the weight: Catalyst would inline the md5 uniform into
-    # every branch of the CASE. Zero weights add nothing to the sums, and empty
-    # score levels are dropped after aggregation instead.
-    reps = (pred.select(*by, key, y, score, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__b"))
-                .withColumn("__u", F.expr(u))
-                .withColumn("__w", F.expr(poisson1_sql("__u")).cast("double"))
-                .drop("__u"))
     keys = [*by, "__b"]
     if metric == "f1":
         yy = F.col(y).cast("int")
         hit = F.col(score) >= F.lit(threshold)
-        per = reps.groupBy(*keys).agg(
+        per = _replicated(pred.select(*by, key, y, score), key, replicates, seed).groupBy(*keys).agg(
             F.sum(F.when((yy == 1) & hit, F.col("__w")).otherwise(0.0)).alias("tp"),
             F.sum(F.when((yy == 0) & hit, F.col("__w")).otherwise(0.0)).alias("fp"),
             F.sum(F.when((yy == 1) & ~hit, F.col("__w")).otherwise(0.0)).alias("fn"))
         values = per.select(*keys, _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("v"))
     elif metric == "roc_auc":
-        # A replicate group never has more score levels than its model has rows:
-        # one small count bounds every (group, replicate) window.
-        bound = pred.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        spark = pred.sparkSession
-        if bound <= int(spark.conf.get("tessera.prefix.rowsPerBucket", "100000")):
-            # bounded groups: one exchange on (group, replicate) serves both the level
-            # aggregation and the window, instead of two shuffles
-            reps = reps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-        levels = score_levels(reps, keys, y, score, weight="__w").where((F.col("pos") + F.col("neg")) > 0)
-        run = running_totals(levels, keys, ["score"], {"neg_below": "neg"}, inclusive=False, with_totals=True,
-                             group_rows_bound=bound)
-        agg = run.groupBy(*keys).agg(
-            F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("__u"),
-            F.sum("pos").alias("__p"), F.max("neg_below_total").alias("__n"))
-        values = agg.where((F.col("__p") > 0) & (F.col("__n") > 0)).select(
-            *keys, (F.col("__u") / (F.col("__p") * F.col("__n"))).alias("v"))
+        values = _replicate_auc(pred, by, key, y, score, replicates, seed)
     else:
         raise ValueError(f"unsupported bootstrap metric {metric}")
     return values.groupBy(*by).agg(

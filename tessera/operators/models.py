@@ -14,17 +14,20 @@ import math
 import os
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform_sql
 from tessera.operators import metrics as M
 from tessera.operators.features import Preprocessor, fit_preprocessor, rbf_features
+from tessera.session import materialize
 
 HIDDEN = {"MLP": [64, 32], "DNN": [128, 64, 32, 16], "RBF": [32]}
 BUILT = ("MLP", "DNN", "RBF")
@@ -34,7 +37,7 @@ BUILT = ("MLP", "DNN", "RBF")
 class ModelConfig:
     name: str
     max_iter: int = 60
-    step_size: float = 0.03
+    hidden: list | None = None  # widths of the hidden layers; None: the study's own for this name
     block_size: int = 1024  # rows stacked per matrix product (L-BFGS gradients are full-batch)
     rbf_centers: int = 16
     rbf_gamma: float = 1.0
@@ -52,11 +55,16 @@ class FittedModel:
     centers: list = field(default_factory=list)
     train_seconds: float = 0.0
 
+    def seconds_per_row(self, df: DataFrame) -> float:
+        """Measured time of scoring ``df`` in bulk, by row (0 for no rows)."""
+        seen = Observation()
+        started = time.perf_counter()
+        self.score(df, keep=[]).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+        return (time.perf_counter() - started) / seen.get["n"] if seen.get["n"] else 0.0
+
     def score(self, df: DataFrame, keep: list[str], output: str = "score") -> DataFrame:
         """Keep columns + P(class 1). Works on batch and streaming frames."""
-        x = self.preprocessor.transform(df, keep=keep)
-        feats = F.array(*[F.col(f"`{c}`") for c in self.preprocessor.feature_names()])
-        x = x.select(*keep, feats.alias("__x"))
+        x = _features(df, self.preprocessor, list(keep))
         if self.config.name == "RBF":
             x = rbf_features(x, "__x", self.centers, self.config.rbf_gamma, "__x")
         x = x.select(*keep, array_to_vector("__x").alias("features"))
@@ -88,6 +96,26 @@ def balanced_weights(df: DataFrame, target: str, min_ratio: float = 1.5) -> dict
     return {c: total / (2.0 * n) for c, n in counts.items()}
 
 
+def _features(rows: DataFrame, pre: Preprocessor, keep: list[str]) -> DataFrame:
+    """Keep columns + the feature array ``__x``."""
+    feats = F.array(*[F.col(f"`{c}`") for c in pre.feature_names()])
+    return pre.transform(rows, keep=keep).select(*keep, feats.alias("__x"))
+
+
+def _network(x: DataFrame, config: ModelConfig, pre: Preprocessor, target: str, started: float) -> FittedModel:
+    """Fit the network on rows of (target, __x)."""
+    centers = []
+    if config.name == "RBF":
+        km = KMeans(k=int(config.rbf_centers), seed=config.seed, maxIter=30).fit(x.select(array_to_vector("__x").alias("features")))
+        centers = [list(map(float, c)) for c in km.clusterCenters()]
+        x = rbf_features(x, "__x", centers, config.rbf_gamma, "__x")
+    dim = len(centers) if centers else len(pre.feature_names())
+    x = x.select(F.col(target).cast("double").alias("label"), array_to_vector("__x").alias("features"))
+    mlp = MultilayerPerceptronClassifier(layers=[dim, *(config.hidden or HIDDEN[config.name]), 2], maxIter=config.max_iter,
+                                         blockSize=config.block_size, seed=config.seed).fit(x)
+    return FittedModel(config, pre, mlp, centers, time.perf_counter() - started)
+
+
 def fit(train: DataFrame, config: ModelConfig, numeric: list[str], categorical: list[str],
         target: str = "result", key: str | None = None, class_weight: bool = True) -> FittedModel:
     """Fit preprocessing and the network on ``train`` only (no leakage)."""
@@ -95,41 +123,42 @@ def fit(train: DataFrame, config: ModelConfig, numeric: list[str], categorical:
     pre = fit_preprocessor(train, numeric, categorical)
     if class_weight and key:
         train = replicate_by_weight(train, target, key, balanced_weights(train, target), config.seed)
-    feats = F.array(*[F.col(f"`{c}`") for c in pre.feature_names()])
-    x = pre.transform(train, keep=[target]).select(F.col(target).cast("double").alias("label"), feats.alias("__x"))
-    centers = []
-    if config.name == "RBF":
-        km_in = x.select(array_to_vector("__x").alias("features"))
-        k = int(config.rbf_centers)
-        km = KMeans(k=k, seed=config.seed, maxIter=30).fit(km_in)
-        centers = [list(map(float, c)) for c in km.clusterCenters()]
-        x = rbf_features(x, "__x", centers, config.rbf_gamma, "__x")
-        dim = len(centers)
-    else:
-        dim = len(pre.feature_names())
-    x = x.select("label", array_to_vector("__x").alias("features"))
-    mlp = MultilayerPerceptronClassifier(
-        layers=[dim, *HIDDEN[config.name], 2], maxIter=config.max_iter, stepSize=config.step_size,
-        blockSize=config.block_size, seed=config.seed).fit(x)
-    return FittedModel(config, pre, mlp, centers, time.perf_counter() - started)
+    return _network(_features(train, pre, [target]), config, pre, target, started)
 
 
 def cross_validate(rows: DataFrame, configs: list[ModelConfig], folds: int, numeric: list[str],
                    categorical: list[str], target: str = "result", key: str = "order_key",
-                   fold_col: str = "fold") -> DataFrame:
+                   fold_col: str = "fold", parallel: int = 4) -> DataFrame:
     """M5: for each model and fold, fit on the other folds, score the fold; one long prediction
-    table (key, model, fold, y, score) whose metrics are one grouped job."""
+    table (key, model, fold, y, score) whose metrics are one grouped job.
+
+    Preprocessing is fitted once per fold and shared by the fold's models, whose
+    features are a table in the shared folder. ``parallel`` fits are submitted
+    at a time, so that short jobs do not wait for one another.
+    """
+    seed = configs[0].seed
+
+    def prepared(fold: int) -> tuple[Preprocessor, DataFrame]:
+        train = rows.where(F.col(fold_col) != fold)
+        pre = fit_preprocessor(train, numeric, categorical)
+        weighted = replicate_by_weight(train, target, key, balanced_weights(train, target), seed)
+        return pre, materialize(_features(weighted, pre, [target]))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        ready = list(pool.map(prepared, range(1, folds + 1)))
+
+        def fitted(task: tuple[ModelConfig, int]) -> FittedModel:
+            pre, x = ready[task[1] - 1]
+            return _network(x, task[0], pre, target, time.perf_counter())
+
+        tasks = [(cfg, fold) for cfg in configs for fold in range(1, folds + 1)]
+        models = list(pool.map(fitted, tasks))
     parts = []
-    for cfg in configs:
-        for f in range(1, folds + 1):
-            model = fit(rows.where(F.col(fold_col) != f), cfg, numeric, categorical, target, key)
-            scored = model.score(rows.where(F.col(fold_col) == f), keep=[key, target])
-            parts.append(scored.select(key, F.col(target).alias("y"), "score").withColumns(
-                {"model": F.lit(cfg.name), "fold": F.lit(f), "train_seconds": F.lit(model.train_seconds)}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for (cfg, fold), model in zip(tasks, models, strict=True):
+        scored = model.score(rows.where(F.col(fold_col) == fold), keep=[key, target])
+        parts.append(scored.select(key, F.col(target).alias("y"), "score").withColumns(
+            {"model": F.lit(cfg.name), "fold": F.lit(fold), "train_seconds": F.lit(model.train_seconds)}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cv_table(preds: DataFrame) -> DataFrame:
@@ -138,19 +167,27 @@ def cv_table(preds: DataFrame) -> DataFrame:
 
 
 def search_space(base: ModelConfig, trials: int, seed: int = 42) -> list[ModelConfig]:
-    """M6: seeded random/log-uniform search over the parameters spark.ml networks have.
+    """M6: seeded random search over what changes a spark.ml network's fit.
 
-    Fixed values of the search space: step size log-uniform in [1e-4, 3e-3]
-    (learning rate), RBF centres in {8, 16, 32}, RBF gamma log-uniform in
-    [0.1, 3.0]; the trial count is clamped to 1..100.
+    Widths of the hidden layers (the study's, halved or doubled) and rounds of
+    L-BFGS (which has no step size) for all networks; centres in {8, 16, 32}
+    and gamma log-uniform in [0.1, 3.0] for the RBF network. Trials that repeat
+    one before are drawn again while new ones remain; the trial count is
+    clamped to 1..100.
     """
     rng = random.Random(f"{base.name}|{seed}")
-    out = []
-    for _ in range(max(1, min(100, int(trials)))):
-        lr = math.exp(rng.uniform(math.log(1e-4), math.log(3e-3)))
-        out.append(ModelConfig(base.name, base.max_iter, step_size=lr, block_size=base.block_size,
-                               rbf_centers=rng.choice([8, 16, 32]),
-                               rbf_gamma=math.exp(rng.uniform(math.log(0.1), math.log(3.0))), seed=base.seed))
+    out: list[ModelConfig] = []
+    for _ in range(50 * max(1, min(100, int(trials)))):
+        scale = rng.choice([0.5, 1, 2])
+        trial = ModelConfig(base.name, rng.choice([base.max_iter // 2 or 1, base.max_iter, 2 * base.max_iter]),
+                            hidden=[max(2, int(w * scale)) for w in HIDDEN[base.name]], block_size=base.block_size,
+                            rbf_centers=rng.choice([8, 16, 32]) if base.name == "RBF" else base.rbf_centers,
+                            rbf_gamma=math.exp(rng.uniform(math.log(0.1), math.log(3.0))) if base.name == "RBF" else base.rbf_gamma,
+                            seed=base.seed)
+        if trial not in out:
+            out.append(trial)
+        if len(out) == max(1, min(100, int(trials))):
+            break
     return out
 
 
@@ -158,7 +195,8 @@ def tune(train: DataFrame, base: ModelConfig, trials: int, numeric: list[str], c
          target: str = "result", key: str = "order_key", valid_col: str = "is_validation",
          metric: str = "f1") -> DataFrame:
     """M6: evaluate each trial on an inner validation split of the training rows (never the test
-    rows); preprocessing is fitted inside the inner training part. Returns one row per trial."""
+    rows); preprocessing is fitted inside the inner training part. Returns one row per trial;
+    ``best`` marks the first of the highest value."""
     fit_part = train.where(~F.col(valid_col))
     val_part = train.where(F.col(valid_col))
     rows = []
@@ -167,8 +205,10 @@ def tune(train: DataFrame, base: ModelConfig, trials: int, numeric: list[str], c
         s = m.score(val_part, keep=[key, target]).withColumnRenamed(target, "y")
         value = M.classification_metrics(s, []).select(metric).first()[0]
         rows.append((base.name, i, json.dumps(cfg.as_dict(), sort_keys=True), float(value), m.train_seconds))
+    top = max(range(len(rows)), key=lambda i: (rows[i][3], -i))
     return train.sparkSession.createDataFrame(
-        rows, "model string, trial int, params string, value double, train_seconds double")
+        [(*r, i == top) for i, r in enumerate(rows)],
+        "model string, trial int, params string, value double, train_seconds double, best boolean")
 
 
 def save(model: FittedModel, path: str, threshold: float = 0.5, metadata: dict | None = None) -> None:

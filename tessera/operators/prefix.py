@@ -2,151 +2,118 @@
 
 ``Window.orderBy`` with no (or a low-cardinality) partition key moves every
 row of a group into one task. For AUC, average precision, ROC points, exact
-stratified ranks and exact quantiles we need running totals over a whole
-group that may hold a third of all rows, so we use a two-level scan:
-
-1. groups larger than a bucket get equi-depth split points from one
-   ``percentile_approx`` sketch pass (collected: bounded by
-   N / rows_per_bucket groups x buckets, checked), so a group holding a
-   third of all rows is spread over many tasks;
-2. running totals inside each (key, bucket) with a window;
-3. per-(key, bucket) totals are cumulated over buckets and joined back as
-   offsets. That table has at most #groups + #buckets rows, and AQE turns
-   the join into a broadcast when its measured size is under the threshold.
+stratified ranks and exact quantiles we need running totals over whole
+groups, any of which may hold a third of all rows. One plan serves all sizes:
+
+1. the rows are cut into ranges of (group, order) of about equal size. Split
+   points come from a sample of bounded size per range, drawn by hash; the
+   number of ranges follows the number of rows, so a group of any size is
+   spread over as many ranges as it fills;
+2. running totals inside each (group, range) with a window: the one exchange
+   of rows;
+3. totals per (group, range) are cumulated per group and joined back as
+   offsets, by plain equality on the columns the rows are already dealt by.
+   That table has at most #groups + #ranges rows.
+
+A row's range is a pure function of the row, so a retried task recomputes the
+same answer, and nothing is written in between.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType
 
-from tessera.session import materialize
+ROWS_PER_RANGE = "tessera.prefix.rowsPerBucket"
+#: Sampled rows behind each split point.
+SAMPLE_PER_RANGE = 32
 
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _lower_bound(bounds: str, v: str, max_buckets: int) -> str:
-    """Number of elements of the sorted array ``bounds`` that are < v (binary search)."""
-    steps = max(1, int(math.ceil(math.log2(max_buckets + 1))) + 1)
-    return (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', coalesce(size({bounds}), 0)), "
-            f"(bs, bi) -> IF(bs.lo < bs.hi, IF({bounds}[CAST((bs.lo + bs.hi) div 2 AS INT)] < {v}, "
-            f"named_struct('lo', CAST((bs.lo + bs.hi) div 2 AS INT) + 1, 'hi', bs.hi), "
-            f"named_struct('lo', bs.lo, 'hi', CAST((bs.lo + bs.hi) div 2 AS INT))), bs), bs -> bs.lo)")
+def _below(bounds: str, v: str, n: int) -> str:
+    """How many of the ``n`` sorted elements of the array ``bounds`` are < v (binary search)."""
+    steps = max(1, math.ceil(math.log2(n + 1)) + 1)
+    middle = "CAST((bs.lo + bs.hi) div 2 AS INT)"
+    return (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size({bounds})), "
+            f"(bs, bi) -> IF(bs.lo < bs.hi, IF({bounds}[{middle}] < {v}, named_struct('lo', {middle} + 1, 'hi', bs.hi), "
+            f"named_struct('lo', bs.lo, 'hi', {middle})), bs), bs -> bs.lo)")
 
 
-def bucket_bounds(df: DataFrame, keys: list[str], order_value: Column, rows_per_bucket: int,
-                  max_buckets: int, max_bound_values: int = 2_000_000) -> list:
-    """Equi-depth bucket boundaries for the groups larger than ``rows_per_bucket``.
+def with_ranges(df: DataFrame, keys: list[str], order: list, rows_per_range: int | None = None) -> DataFrame:
+    """Add ``__group`` (the keys as one non-null value) and ``__range`` (number of the row's range).
 
-    One sketch pass (``percentile_approx``, partial aggregation) and a
-    collect of at most N / rows_per_bucket groups x max_buckets values; the
-    size is checked before anything is broadcast.
+    Rows with equal (keys, order) share a range; any others may be split.
+    The split points are a one-row table of at most max(shuffle partitions,
+    rows / rows_per_range) values, joined by a constant key.
     """
-    probs = [i / max_buckets for i in range(1, max_buckets)]
-    stats = (df.groupBy(*keys)
-               .agg(F.count(F.lit(1)).alias("__n"),
-                    F.percentile_approx(order_value.cast("double"), probs, 20 * max_buckets).alias("__q"))
-               .where(F.col("__n") > rows_per_bucket))
-    # At most N / rows_per_bucket groups qualify, so this collect is bounded.
-    rows = stats.select(*keys, F.array_sort(F.array_distinct("__q")).alias("__bounds")).collect()
-    if len(rows) * max_buckets > max_bound_values:
-        raise ValueError(f"{len(rows)} groups need split points; raise rows_per_bucket")
-    return rows
-
-
-def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
-                   partitions: int | None = None, with_totals: bool = False,
-                   inclusive: bool = True, rows_per_bucket: int | None = None,
-                   group_rows_bound: int | None = None) -> DataFrame:
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_range = rows_per_range or int(spark.conf.get(ROWS_PER_RANGE, "1000000"))
+    # a struct is never null and equal to another with nulls in the same places
+    group = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
+    place = F.struct(group.alias("g"), *[_as_col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    placed = df.select(place.alias("place"))
+
+    def drawn(size: int) -> tuple[list, int]:
+        seen = Observation()
+        rows = placed.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("place")).limit(size)
+        sample = rows.orderBy("place").collect()
+        return [r["place"] for r in sample], seen.get["n"]
+
+    size = SAMPLE_PER_RANGE * parts
+    sample, n = drawn(size)
+    ranges = max(parts, -(-n // per_range))
+    if SAMPLE_PER_RANGE * ranges > size and n > size:
+        sample, _ = drawn(SAMPLE_PER_RANGE * ranges)
+    ranges = max(1, min(ranges, len(sample)))
+    splits = [sample[i * len(sample) // ranges] for i in range(1, ranges)]
+    schema = placed.schema["place"].dataType
+    bounds = spark.createDataFrame([(1, splits)], "__one int, __bounds array<int>" if not splits else
+                                   df.select(F.lit(1).alias("__one")).schema.add("__bounds", ArrayType(schema)))
+    out = df.withColumns({"__group": group, "__one": F.lit(1)})
+    if not splits:
+        return out.withColumn("__range", F.lit(0)).drop("__one")
+    return (out.withColumn("__place", place).join(F.broadcast(bounds), "__one")
+               .withColumn("__range", F.expr(_below("__bounds", "__place", len(splits))))
+               .drop("__one", "__place", "__bounds"))
+
+
+def running_totals(df: DataFrame, keys: list[str], order: list, values: dict, with_totals: bool = False,
+                   inclusive: bool = True, rows_per_range: int | None = None) -> DataFrame:
     """Add running sums of ``values`` within each ``keys`` group in ``order``.
 
-    ``order`` must be a total order inside a group; its first column must be
-    numeric (it defines the buckets). Output keeps all input columns plus one
-    column per value name (inclusive running sum unless ``inclusive=False``)
-    and, when asked, ``<name>_total`` per group.
-
-    When the caller knows every group has at most ``group_rows_bound`` rows
-    and that bound fits in one bucket, a plain window per group is used (no
-    checkpoint, no sketch pass): each window partition is bounded.
-
-    Groups larger than ``rows_per_bucket`` are split into equi-depth buckets
-    on the first order column; each bucket is one window partition, and
-    bucket totals (a table of at most #groups + #buckets rows) are cumulated
-    and joined back as offsets. Every row's bucket is a pure function of the
-    row, so recomputation after executor loss gives identical results.
+    ``order`` must be a total order inside a group. Output keeps all input
+    columns plus one column per value name (inclusive running sum unless
+    ``inclusive=False``) and, when asked, ``<name>_total`` per group.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    max_buckets = max(2, 4 * n)
-    if rows_per_bucket is None:
-        rows_per_bucket = int(spark.conf.get("tessera.prefix.rowsPerBucket", "100000"))
-    order_cols = [_as_col(o) for o in order]
-    first = order_cols[0]
     vals = {name: _as_col(v) for name, v in values.items()}
-
-    if group_rows_bound is not None and group_rows_bound <= rows_per_bucket:
-        frame_end = Window.currentRow if inclusive else -1
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.select(
-            *df.columns,
-            *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(name) for name, v in vals.items()],
-            *([F.sum(v).over(Window.partitionBy(*keys)).alias(f"{name}_total") for name, v in vals.items()]
-              if with_totals else []))
-
-    base = df.withColumns({f"__v_{name}": v for name, v in vals.items()}).withColumn("__o", first.cast("double"))
-    # The sketch pass and the main pass both read this input: write it once to
-    # the shared checkpoint folder instead of recomputing its lineage twice.
-    base = materialize(base)
-    bounds = bucket_bounds(base, keys, F.col("__o"), rows_per_bucket, max_buckets)
-    if not bounds:
-        staged = base.withColumn("__bucket", F.lit(0))
-    elif not keys:
-        arr = F.array(*[F.lit(float(x)) for x in bounds[0]["__bounds"]])
-        staged = base.withColumn("__bounds", arr).withColumn(
-            "__bucket", F.expr(_lower_bound("__bounds", "__o", max_buckets))).drop("__bounds")
-    else:
-        schema = base.select(*keys).schema.add("__bounds", ArrayType(DoubleType()))
-        bdf = spark.createDataFrame([tuple(r) for r in bounds], schema)
-        bdf = bdf.select(*[F.col(k).alias(f"__bk_{k}") for k in keys], "__bounds")
-        cond = reduce(lambda a, b: a & b, [base[k].eqNullSafe(bdf[f"__bk_{k}"]) for k in keys])
-        staged = (base.join(F.broadcast(bdf), cond, "left")
-                      .withColumn("__bucket", F.expr(_lower_bound("__bounds", "__o", max_buckets)))
-                      .drop("__bounds", *[f"__bk_{k}" for k in keys]))
-
-    part = [*keys, "__bucket"]
-    frame_end = Window.currentRow if inclusive else -1
-    local_w = (Window.partitionBy(*part).orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, frame_end))
-    local = staged.withColumns({
-        f"__loc_{name}": F.coalesce(F.sum(f"__v_{name}").over(local_w), F.lit(0)) for name in vals})
-
-    slices = staged.groupBy(*part).agg(*[F.sum(f"__v_{name}").alias(f"__pt_{name}") for name in vals])
-    over_buckets = Window.partitionBy(*keys).orderBy("__bucket")
+    staged = with_ranges(df.withColumns({f"__v_{name}": v for name, v in vals.items()}), keys, order, rows_per_range)
+    dealt = ["__group", "__range"]
+    inside = (Window.partitionBy(*dealt).orderBy(*[_as_col(o) for o in order])
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+    local = staged.withColumns({f"__loc_{name}": F.coalesce(F.sum(f"__v_{name}").over(inside), F.lit(0)) for name in vals})
+
+    slices = staged.groupBy(*dealt).agg(*[F.sum(f"__v_{name}").alias(f"__s_{name}") for name in vals])
+    before = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        *part,
-        *[F.coalesce(F.sum(f"__pt_{name}").over(over_buckets.rowsBetween(Window.unboundedPreceding, -1)),
-                     F.lit(0)).alias(f"__off_{name}") for name in vals],
-        *([F.sum(f"__pt_{name}").over(Window.partitionBy(*keys)).alias(f"{name}_total") for name in vals]
+        F.col("__group").alias("__og"), F.col("__range").alias("__or"),
+        *[F.coalesce(F.sum(f"__s_{name}").over(before), F.lit(0)).alias(f"__off_{name}") for name in vals],
+        *([F.sum(f"__s_{name}").over(Window.partitionBy("__group")).alias(f"{name}_total") for name in vals]
           if with_totals else []))
-
-    off = offsets.select(*[F.col(c).alias(f"__r_{c}") for c in part],
-                         *[c for c in offsets.columns if c not in part])
-    cond = reduce(lambda a, b: a & b, [local[c].eqNullSafe(off[f"__r_{c}"]) for c in part])
-    joined = local.join(off, cond, "inner")
+    joined = local.join(offsets, (F.col("__group") == F.col("__og")) & (F.col("__range") == F.col("__or")))
     return joined.select(
-        *df.columns,
+        *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"__loc_{name}") + F.col(f"__off_{name}")).alias(name) for name in vals],
         *([F.col(f"{name}_total") for name in vals] if with_totals else []))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    partitions: int | None = None, group_rows_bound: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles per group (numpy default, percentile_cont).
 
     NULL and NaN values are ignored. Distributed selection: distinct values
@@ -158,24 +125,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     v = F.col(value)
     levels = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
                 .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
-    run = running_totals(levels, keys, [value], {"__cum": "__c"}, partitions=partitions, with_totals=True,
-                         group_rows_bound=group_rows_bound)
+    run = running_totals(levels, keys, [value], {"__cum": "__c"}, with_totals=True)
     n = F.col("__cum_total")
     targets = F.array(*[
         F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"),
                  F.floor((n - 1) * F.lit(float(p))).alias("lo"), F.ceil((n - 1) * F.lit(float(p))).alias("hi"))
         for j, p in enumerate(probs)])
-    start = F.col("__cum") - F.col("__c")
-    end = F.col("__cum")
-    hits = (run.select(*keys, F.col(value).cast("double").alias("__x"), start.alias("__s"), end.alias("__e"),
-                       n.alias("__n"), F.explode(targets).alias("__t"))
-               .where(((F.col("__t.lo") >= F.col("__s")) & (F.col("__t.lo") < F.col("__e")))
-                      | ((F.col("__t.hi") >= F.col("__s")) & (F.col("__t.hi") < F.col("__e")))))
-    lo_hit = (F.col("__t.lo") >= F.col("__s")) & (F.col("__t.lo") < F.col("__e"))
-    hi_hit = (F.col("__t.hi") >= F.col("__s")) & (F.col("__t.hi") < F.col("__e"))
+    holds = lambda at: (F.col(f"__t.{at}") >= F.col("__cum") - F.col("__c")) & (F.col(f"__t.{at}") < F.col("__cum"))
+    hits = run.select(*keys, F.col(value).cast("double").alias("__x"), "__cum", "__c", n.alias("__n"),
+                      F.explode(targets).alias("__t")).where(holds("lo") | holds("hi"))
     agg = hits.groupBy(*keys, F.col("__t.j").alias("__j"), F.col("__t.p").alias("prob")).agg(
-        F.max(F.when(lo_hit, F.col("__x"))).alias("__xl"),
-        F.max(F.when(hi_hit, F.col("__x"))).alias("__xh"),
+        F.max(F.when(holds("lo"), F.col("__x"))).alias("__xl"),
+        F.max(F.when(holds("hi"), F.col("__x"))).alias("__xh"),
         F.max("__n").alias("n"))
     frac = (F.col("n") - 1) * F.col("prob") - F.floor((F.col("n") - 1) * F.col("prob"))
     return agg.select(*keys, "prob",

@@ -112,7 +112,8 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 24) -> DataFrame:
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    binned = (long.join(ranges, "column")
+    # a line for each named column: it goes to the rows, which are not dealt by column
+    binned = (long.join(F.broadcast(ranges), "column")
                   .select("column", F.least(F.floor((F.col("value") - F.col("lo")) / width),
                                             F.lit(bins - 1)).cast("int").alias("bin"))
                   .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
@@ -135,23 +136,33 @@ def box_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
     inside = (F.col("value") >= lo_f) & (F.col("value") <= hi_f)
-    return long.join(fences, "column").groupBy("column", "q1", "median", "q3", "iqr").agg(
+    return long.join(F.broadcast(fences), "column").groupBy("column", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"))
 
 
 def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A10: Pearson correlation for every ordered pair (pairwise complete), one aggregation."""
-    pairs = list(itertools.combinations(cols, 2))
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-                    for i, (a, b) in enumerate(pairs)])
+    """A10: Pearson correlation for every ordered pair (pairwise complete), one aggregation.
+
+    NULL where a correlation is not defined: a column is constant (or has
+    fewer than two values) over the rows that hold both.
+    """
+    x = {c: F.col(c).cast("double") for c in cols}
+
+    def pearson(a: str, b: str) -> F.Column:
+        both = x[a].isNotNull() & x[b].isNotNull()
+        p, q = (F.when(both, x[c]) for c in (a, b))
+        varies = (F.min(p) < F.max(p)) & (F.min(q) < F.max(q))
+        # corr() itself would divide by zero whatever stands around it
+        return F.when(varies, F.lit(1.0) if a == b else F.try_divide(F.covar_pop(p, q), F.stddev_pop(p) * F.stddev_pop(q)))
+
+    pairs = [*itertools.combinations(cols, 2), *((c, c) for c in cols)]
+    wide = df.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = []
     for i, (a, b) in enumerate(pairs):
-        rows += [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")),
-                 F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"c{i}").alias("r"))]
-    diag = [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r")) for c in cols]
-    return wide.select(F.explode(F.array(*rows, *diag)).alias("__p")).select("__p.a", "__p.b", "__p.r")
+        rows += [F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.col(f"c{i}").alias("r")) for p, q in {(a, b), (b, a)}]
+    return wide.select(F.explode(F.array(*rows)).alias("__p")).select("__p.a", "__p.b", "__p.r")
 
 
 def category_class_counts(df: DataFrame, cols: list[str], target: str) -> DataFrame:

@@ -25,19 +25,18 @@ from tessera.functions.hashing import hash_order_sql
 from tessera.operators.prefix import running_totals
 
 
+#: Class tables of up to so many lines are broadcast.
+CLASSES = 10_000
+
+
 def hash_key(key: str, salt: str, seed: int) -> str:
     return hash_order_sql(f"concat(CAST({key} AS STRING), '|{salt}|{seed}')")
 
 
-def rank_in_class(df: DataFrame, target: str, key: str, salt: str = "split", seed: int = 42,
-                  largest_class: int | None = None) -> DataFrame:
-    """Add ``rank_in_class`` (1-based) in md5(key, salt, seed) order, ties by key.
-
-    ``largest_class`` (rows of the biggest class, when already known) lets the
-    running totals skip bucketing when every class fits in one window partition.
-    """
+def rank_in_class(df: DataFrame, target: str, key: str, salt: str = "split", seed: int = 42) -> DataFrame:
+    """Add ``rank_in_class`` (1-based) in md5(key, salt, seed) order, ties by key."""
     h = df.withColumn("__h", F.expr(hash_key(key, salt, seed)))
-    ranked = running_totals(h, [target], ["__h", key], {"rank_in_class": F.lit(1)}, group_rows_bound=largest_class)
+    ranked = running_totals(h, [target], ["__h", key], {"rank_in_class": F.lit(1)})
     return ranked.drop("__h")
 
 
@@ -57,6 +56,20 @@ def largest_remainder_quotas(counts: DataFrame, target: str, n_col: str, draws:
                                        .otherwise(0)).cast("bigint")).drop("__cont", "__floor", "__left", "__rem")
 
 
+def _with_class(rows: DataFrame, classes: DataFrame, target: str) -> DataFrame:
+    """Each row with its class's line of the (class, ...) table.
+
+    The rows of a class may be a large part of the table, so they are not
+    dealt by class: the table of classes goes to the rows if it is small
+    (``CLASSES`` lines, far fewer than the labels of a classifier), and
+    beyond that Spark joins by class, where no class is large.
+    """
+    few = classes.limit(CLASSES + 1).count() <= CLASSES
+    line = classes.withColumnRenamed(target, "__class")
+    line = F.broadcast(line) if few else line
+    return rows.join(line, F.col(target).eqNullSafe(F.col("__class"))).drop("__class")
+
+
 def study_split(df: DataFrame, target: str, key: str, test_fraction: float = 0.2, folds: int = 5,
                 seed: int = 42, salt: str = "split") -> DataFrame:
     """Add ``is_test`` (exact stratified hold-out) and ``fold`` (1..k for train rows, NULL for test)."""
@@ -71,12 +84,8 @@ def study_split(df: DataFrame, target: str, key: str, test_fraction: float = 0.2
         target, "n_c", "train_c", (F.col("n_c") - F.col("train_c")).alias("test_c"),
         F.coalesce(F.sum("train_c").over(Window.partitionBy().orderBy(target)
                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_c"))
-    # one row per class: metadata-sized. Collected once, it both bounds the
-    # ranking windows and joins back as a tiny local table.
-    cls = df.sparkSession.createDataFrame(cls.collect(), cls.schema)
-    sizes = [r["n_c"] for r in cls.select("n_c").collect()]
-    ranked = rank_in_class(df, target, key, salt, seed, largest_class=max(sizes) if sizes else 0)
-    joined = ranked.join(cls, ranked[target].eqNullSafe(cls[target]), "inner").drop(cls[target])
+    ranked = rank_in_class(df, target, key, salt, seed)
+    joined = _with_class(ranked, cls, target)
     is_test = F.col("rank_in_class") <= F.col("test_c")
     fold = F.when(~is_test, F.pmod(F.col("offset_c") + F.col("rank_in_class") - F.col("test_c") - 1, F.lit(folds)) + 1)
     return joined.withColumns({"is_test": is_test, "fold": fold.cast("int")}).drop(
@@ -89,18 +98,6 @@ def stratified_holdout(df: DataFrame, target: str, key: str, test_fraction: floa
     return study_split(df, target, key, test_fraction, 2, seed, salt).drop("fold")
 
 
-def stratified_kfold(df: DataFrame, target: str, key: str, folds: int = 5, seed: int = 42,
-                     salt: str = "kfold") -> DataFrame:
-    """R2: ``fold`` 1..k over all rows, stratified, sizes differ by at most one."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
-    cls = counts.select(target, F.coalesce(F.sum("n_c").over(
-        Window.partitionBy().orderBy(target).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_c"))
-    ranked = rank_in_class(df, target, key, salt, seed)
-    joined = ranked.join(cls, ranked[target].eqNullSafe(cls[target]), "inner").drop(cls[target])
-    return joined.withColumn("fold", (F.pmod(F.col("offset_c") + F.col("rank_in_class") - 1, F.lit(folds)) + 1)
-                             .cast("int")).drop("offset_c", "rank_in_class")
-
-
 def head_sample(df: DataFrame, key: str, n: int = 1000) -> DataFrame:
     """The first ``n`` rows in key order (a top-k, planned as TakeOrderedAndProject)."""
     return df.orderBy(key).limit(n)

@@ -78,7 +78,7 @@ def q_range_rules(spark: SparkSession, sf: str) -> DataFrame:
 def q_threshold_class(spark: SparkSession, sf: str) -> DataFrame:
     """Score -> class at a threshold and recommendation text."""
     obs = td.observations(spark, sf)
-    s = F.expr(td.score_sql("order_key", "result", "MLP"))
+    s = F.expr(td.score_sql("order_key", "result", "scorer_a"))
     return obs.select("order_key", _r(s).alias("score"),
                       validate.to_class(s, 0.5).alias("predicted_class"),
                       validate.recommendation(s, 0.5).alias("recommendation"))
@@ -224,10 +224,8 @@ def q_fold_category_stats(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Long predictions (order_key, y, model, score, is_test, fold) for the five models."""
-    rows = study_rows(spark, sf)
-    scored = td.scored(rows, "order_key", "result", SEED)
-    return scored.join(rows.select("order_key", "is_test", "fold"), "order_key").withColumnRenamed("result", "y")
+    """Long predictions (order_key, y, model, score, is_test, fold) for the five stand-in scorers."""
+    return td.scored(study_rows(spark, sf), "order_key", "result", SEED, keep=["is_test", "fold"]).withColumnRenamed("result", "y")
 
 
 def _round_metrics(df: DataFrame, by: list[str]) -> DataFrame:
@@ -273,6 +271,13 @@ def q_bootstrap_auc(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("model", _r("lower", 10).alias("lower"), _r("upper", 10).alias("upper"), "replicates")
 
 
+def q_bootstrap_auc_1000(spark: SparkSession, sf: str) -> DataFrame:
+    """R5 at the study's full number of replicates."""
+    p = predictions(spark, sf).where(F.col("is_test"))
+    b = metrics.bootstrap_ci(p, ["model"], "order_key", metric="roc_auc", replicates=1000, seed=SEED)
+    return b.select("model", _r("lower", 10).alias("lower"), _r("upper", 10).alias("upper"), "replicates")
+
+
 # --------------------------------------------------------------------------
 # Slice 4: paired statistical tests
 # --------------------------------------------------------------------------
@@ -452,28 +457,55 @@ def q_positive_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# Slice 5: models (spark.ml) -- not SQL-expressible, checked by rows and tests
+# Slice 5: models (spark.ml) -- fits are not SQL-expressible; what they must satisfy is
 # --------------------------------------------------------------------------
 
-def _study_rows_cut(spark: SparkSession, sf: str) -> DataFrame:
+# The study table's target is unrelated to its features, so a network can learn
+# nothing from it. These queries learn on which side of a plane an embedding
+# lies, from four of its components, and return what any right implementation must: the same
+# rows, sums that add up, and quality above a floor that a constant misses.
+EMBEDDING_NUMERIC = [f"x{i}" for i in range(4)]
+AUC_FLOOR, F1_FLOOR = 0.75, 0.6
+
+
+def embedding_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, x0..x3, side, result, is_test, fold): the embedding study, split like the other."""
+    e = td.table(spark, sf, "embeddings").select(
+        "vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMBEDDING_NUMERIC)],
+        F.when(F.col("embedding")[4] > 0, "up").otherwise("down").alias("side"),
+        (F.col("embedding")[0] + F.col("embedding")[1] > F.col("embedding")[2]).cast("int").alias("result"))
+    return split.study_split(e, "result", "vec_id", 0.2, FOLDS, SEED)
+
+
+def _embedding_rows_cut(spark: SparkSession, sf: str) -> DataFrame:
     """Study rows written once to the shared checkpoint folder: every fit re-reads them."""
     from tessera.session import materialize
-    return materialize(study_rows(spark, sf))
+    return materialize(embedding_rows(spark, sf))
 
 
-def _fit_score(spark: SparkSession, sf: str, name: str, max_iter: int = 40) -> DataFrame:
+def _fit(rows: DataFrame, name: str, max_iter: int = 40):
     from tessera.operators import models
-    rows = _study_rows_cut(spark, sf)
-    m = models.fit(rows.where(~F.col("is_test")), models.ModelConfig(name, max_iter=max_iter),
-                   NUMERIC, CATEGORICAL, "result", "order_key")
-    s = m.score(rows.where(F.col("is_test")), keep=["order_key", "result"])
-    return s.select("order_key", F.col("result").alias("y"), "score",
-                    validate.to_class(F.col("score")).alias("predicted_class"),
-                    validate.recommendation(F.col("score")).alias("recommendation"))
+    return models.fit(rows.where(~F.col("is_test")), models.ModelConfig(name, max_iter=max_iter, rbf_gamma=0.2), EMBEDDING_NUMERIC, ["side"], "result", "vec_id")
+
+
+def _checked(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: rows of each class, and whether scores, counts and quality are as they must be."""
+    m = metrics.classification_metrics(scored, by)
+    sane = scored.groupBy(*by).agg(F.bool_and(F.col("score").between(0, 1)).alias("scores_valid"))
+    return m.join(sane, by).select(
+        *by, F.col("n").alias("rows"), (F.col("tp") + F.col("fn")).alias("positives"), "scores_valid",
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") == F.col("n")).alias("counts_add_up"),
+        (F.col("roc_auc") >= AUC_FLOOR).alias("auc_above_floor"), (F.col("f1") >= F1_FLOOR).alias("f1_above_floor"))
+
+
+def _fit_score(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    rows = _embedding_rows_cut(spark, sf)
+    scored = _fit(rows, name).score(rows.where(F.col("is_test")), keep=["vec_id", "result"])
+    return _checked(scored.withColumnRenamed("result", "y").withColumn("model", F.lit(name)), ["model"])
 
 
 def q_mlp_fit_score(spark: SparkSession, sf: str) -> DataFrame:
-    """M1 + M10 + P15: MLP 64-32 fitted on the training rows, hold-out rows scored in bulk."""
+    """M1 + M10: MLP 64-32 fitted on the training rows, hold-out rows scored in bulk."""
     return _fit_score(spark, sf, "MLP")
 
 
@@ -488,37 +520,42 @@ def q_rbf_fit_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_cross_validate(spark: SparkSession, sf: str) -> DataFrame:
-    """M5: 5-fold cross-validation of MLP and RBF; fold-score table with the 13 metrics."""
+    """M5: 5-fold cross-validation of the three networks; one line for each model and fold."""
     from tessera.operators import models
-    rows = _study_rows_cut(spark, sf).where(~F.col("is_test"))
-    preds = models.cross_validate(rows, [models.ModelConfig("MLP", max_iter=30), models.ModelConfig("RBF", max_iter=30)],
-                                  FOLDS, NUMERIC, CATEGORICAL)
-    return models.cv_table(preds)
+    from tessera.session import materialize
+    rows = _embedding_rows_cut(spark, sf).where(~F.col("is_test"))
+    configs = [models.ModelConfig(n, max_iter=30, rbf_gamma=0.2) for n in models.BUILT]
+    preds = materialize(models.cross_validate(rows, configs, FOLDS, EMBEDDING_NUMERIC, ["side"], key="vec_id"))
+    # single folds are small: their floor is that of a scorer that knows something
+    return _checked(preds, ["model", "fold"]).drop("auc_above_floor", "f1_above_floor").join(
+        _checked(preds, ["model"]).select("model", "auc_above_floor", "f1_above_floor"), "model")
 
 
 def q_tune(spark: SparkSession, sf: str) -> DataFrame:
-    """M6: three seeded trials of the RBF network scored on an inner validation split (never test)."""
+    """M6: four seeded trials of the MLP scored on an inner validation split (never test)."""
     from tessera.operators import models
-    rows = _study_rows_cut(spark, sf).where(~F.col("is_test")).drop("is_test", "fold")
-    inner = split.stratified_holdout(rows, "result", "order_key", 0.2, SEED, salt="tune").withColumnRenamed(
-        "is_test", "is_validation")
-    return models.tune(inner, models.ModelConfig("RBF", max_iter=30), 3, NUMERIC, CATEGORICAL)
+    rows = _embedding_rows_cut(spark, sf).where(~F.col("is_test")).drop("is_test", "fold")
+    inner = split.stratified_holdout(rows, "result", "vec_id", 0.2, SEED, salt="tune").withColumnRenamed("is_test", "is_validation")
+    trials = models.tune(inner, models.ModelConfig("MLP", max_iter=30), 4, EMBEDDING_NUMERIC, ["side"], key="vec_id")
+    return trials.agg(F.count(F.lit(1)).alias("trials"), F.count_distinct("params").alias("settings"), F.count_if("best").alias("best"),
+                      (F.max(F.when(F.col("best"), F.col("value"))) == F.max("value")).alias("best_is_highest"),
+                      (F.max("value") >= F1_FLOOR).alias("f1_above_floor"), (F.count_distinct("value") > 1).alias("settings_matter"))
 
 
 def q_persist_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """S7 + S10 + M10: save the fitted network and preprocessing, load them back, score the hold-out."""
+    """S7 + S10 + M10: save the fitted network and preprocessing, load them back: every hold-out score is the same."""
     import uuid
     from tessera.operators import models
     from tessera.session import ensure_checkpoint_dir
-    rows = _study_rows_cut(spark, sf)
-    m = models.fit(rows.where(~F.col("is_test")), models.ModelConfig("MLP", max_iter=30),
-                   NUMERIC, CATEGORICAL, "result", "order_key")
+    rows = _embedding_rows_cut(spark, sf)
+    m = _fit(rows, "MLP", 30)
     path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
     models.save(m, path, 0.5, {"model_name": "MLP"})
     loaded, threshold, meta = models.load(path)
-    s = loaded.score(rows.where(F.col("is_test")), keep=["order_key"])
-    return s.select("order_key", "score", validate.to_class(F.col("score"), threshold).alias("predicted_class"),
-                    F.lit(meta.get("model_name")).alias("model"))
+    test = rows.where(F.col("is_test"))
+    both = m.score(test, ["vec_id"]).join(loaded.score(test, ["vec_id"], "again"), "vec_id")
+    return both.select("vec_id", (F.col("score") == F.col("again")).alias("same_score"), F.lit(threshold).alias("threshold"),
+                       F.lit(meta.get("model_name")).alias("model"))
 
 
 RBF_GAMMA = 0.05
@@ -554,6 +591,48 @@ def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return v.frame.withColumn("order_key", F.col("order_key").cast("bigint"))
 
 
+def _csv_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as cells of a CSV: missing-value words, quotes and line breaks."""
+    return td.table(spark, sf, "customer").selectExpr(
+        "c_custkey AS k", "CASE c_custkey % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN 'N/A' ELSE c_mktsegment END AS segment",
+        "CASE WHEN c_custkey % 7 = 0 THEN 'NaN' ELSE CAST(c_custkey % 100 AS STRING) END AS units",
+        "concat('line one of ', c_mktsegment, '\n', 'said \"two\", and 3') AS note")
+
+
+def _reread(df: DataFrame) -> DataFrame:
+    import uuid
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources import files
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/uploads/{uuid.uuid4().hex}.csv"
+    files.write_table(df, path, "csv")
+    return files.read_table(df.sparkSession, path)
+
+
+def q_csv_missing_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing-value words are NULL, and a column of numbers and such words is numeric."""
+    return _reread(_csv_cells(spark, sf).select("k", "segment", "units")).groupBy("segment").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("units").alias("known"), F.sum("units").alias("total"))
+
+
+def q_csv_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + S4: quoted cells with line breaks, quotes and separators come back whole."""
+    return _reread(_csv_cells(spark, sf).select("k", "note"))
+
+
+def q_newest_file(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: of several files the one written last is found and read."""
+    import time
+    import uuid
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources import files
+    folder = f"{ensure_checkpoint_dir(spark)}/uploads/{uuid.uuid4().hex}"
+    nations = td.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    for upload in (1, 2):
+        nations.withColumn("upload", F.lit(upload)).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # file times may have whole seconds
+    return files.read_table(spark, files.newest_file(spark, folder))
+
+
 def q_report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Comparison table written to a report folder and read back."""
     import uuid
@@ -662,6 +741,7 @@ REGISTRY = {
     "metric_heatmap": q_metric_heatmap,
     "bootstrap_f1": q_bootstrap_f1,
     "bootstrap_auc": q_bootstrap_auc,
+    "bootstrap_auc_1000": q_bootstrap_auc_1000,
     "complete_blocks": q_complete_blocks,
     "applicability": q_applicability,
     "friedman": q_friedman,
@@ -685,6 +765,9 @@ REGISTRY = {
     "persist_roundtrip": q_persist_roundtrip,
     "rbf_kernel_features": q_rbf_kernel_features,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_missing_words": q_csv_missing_words,
+    "csv_multiline": q_csv_multiline,
+    "newest_file": q_newest_file,
     "report_roundtrip": q_report_roundtrip,
     "quality_report": q_quality_report,
     "batch_export": q_batch_export,

@@ -12,13 +12,13 @@ def overall_interpretation(friedman: DataFrame, paired_t: DataFrame, wilcoxon: D
     family = list(family)
     t = paired_t.groupBy(*family).agg(F.count_if("significant").alias("t_sig"), F.count(F.lit(1)).alias("t_all"))
     w = wilcoxon.groupBy(*family).agg(F.count_if("significant").alias("w_sig"), F.count(F.lit(1)).alias("w_all"))
-    fr = friedman.select(*family, "available", "p_value")
-    j = fr.join(t, family, "left").join(w, family, "left") if family else fr.crossJoin(t).crossJoin(w)
-    head = (F.when(~F.col("available"), F.lit("Friedman needs at least three complete blocks."))
-             .when(F.col("p_value") < 0.05, F.lit("Friedman finds overall differences between the treatments; "
-                                                  "it does not say which pairs differ."))
-             .otherwise(F.lit("Friedman finds no significant overall difference at alpha=0.05.")))
-    return j.select(*family, F.concat_ws(" ", head, F.format_string(
-        "Paired t: %d/%d comparisons significant. Signed-rank: %d/%d significant after Holm.",
-        F.coalesce("t_sig", F.lit(0)), F.coalesce("t_all", F.lit(0)),
-        F.coalesce("w_sig", F.lit(0)), F.coalesce("w_all", F.lit(0)))).alias("interpretation"))
+    j = friedman.select(*family, "available", "p_value")
+    for side in (t, w):
+        # without families each side is one row
+        j = j.join(side, family, "left") if family else j.withColumn("__one", F.lit(1)).join(side.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    overall = (F.when(~F.col("available"), F.lit("Too few complete blocks for an overall test."))
+                .when(F.col("p_value") < 0.05, F.lit("Overall, the treatments are not all alike (Friedman)."))
+                .otherwise(F.lit("Overall, the treatments can't be told apart (Friedman).")))
+    pairs = F.format_string("Pairs that differ after Holm: %d of %d by the t test, %d of %d by signed ranks.",
+                            *[F.coalesce(c, F.lit(0)) for c in ("t_sig", "t_all", "w_sig", "w_all")])
+    return j.select(*family, F.concat_ws(" ", overall, pairs).alias("interpretation"))

@@ -7,7 +7,9 @@ written once to the shared checkpoint folder because every fit re-reads them.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +51,15 @@ def run_study(df: DataFrame, spec: TableSpec, key: str, folds: int = 5, seed: in
     train, test = rows.where(~F.col("is_test")), rows.where(F.col("is_test"))
 
     configs = [models.ModelConfig(n, max_iter=max_iter, seed=seed) for n in model_names]
+    tuning = []
     if tuning_trials:
         inner = split.stratified_holdout(train.drop("is_test", "fold"), spec.target, key, 0.2, seed, "tune")
         inner = inner.withColumnRenamed("is_test", "is_validation")
         tuned = []
         for cfg in configs:
             trials = models.tune(inner, cfg, tuning_trials, num, cat, spec.target, key)
-            best = trials.orderBy(F.col("value").desc(), "trial").first()
-            import json
-            tuned.append(models.ModelConfig(**json.loads(best["params"])))
+            tuning.append(trials)
+            tuned.append(models.ModelConfig(**json.loads(trials.where("best").first()["params"])))
         configs = tuned
 
     cv_pred = models.cross_validate(train, configs, folds, num, cat, spec.target, key)
@@ -83,7 +85,7 @@ def run_study(df: DataFrame, spec: TableSpec, key: str, folds: int = 5, seed: in
         F.avg("f1").alias("cv_f1_mean"), F.coalesce(F.stddev_samp("f1"), F.lit(0.0)).alias("cv_f1_std"),
         F.avg("roc_auc").alias("cv_roc_auc_mean"), F.avg("recall").alias("cv_recall_mean"))
     seconds = preds.sparkSession.createDataFrame(
-        [(n, m.train_seconds, 0.0) for n, m in finals.items()],
+        [(n, m.train_seconds, m.seconds_per_row(test)) for n, m in finals.items()],
         "model string, training_seconds double, inference_seconds_per_row double")
     comparison = (test_metrics.join(summary, "model").join(seconds, "model")
                   .join(f1_ci, "model", "left").join(auc_ci, "model", "left"))
@@ -99,6 +101,11 @@ def run_study(df: DataFrame, spec: TableSpec, key: str, folds: int = 5, seed: in
         "sample": split.head_sample(frame, key, 1000),
         "quality": profile.quality_report(frame, spec.target, v.excluded_rows, v.warnings),
         "describe": profile.describe_numeric(frame, num),
+        "describe_categories": profile.describe_categorical(frame, cat),
+        "histograms": profile.histogram(frame, num),
+        "box_stats": profile.box_stats(frame, num),
+        "correlation": profile.correlation(frame, [*num, spec.target]),
+        "categories": profile.category_class_counts(frame, cat, spec.target),
         "cv_results": cv,
         "model_comparison": comparison,
         "friedman": fr,
@@ -109,6 +116,8 @@ def run_study(df: DataFrame, spec: TableSpec, key: str, folds: int = 5, seed: in
         "roc_curves": metrics.roc_curve(preds, ["model"]),
         "test_predictions": preds,
     }
+    if tuning:
+        tables["hyper_parameters"] = reduce(DataFrame.unionByName, tuning)
     if out_dir:
         files.write_report(tables, f"{out_dir}/tables")
         models.save(finals[best], f"{out_dir}/model", threshold, {"model_name": best, "folds": folds, "seed": seed})

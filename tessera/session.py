@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared, fault-tolerant folder there. Only when the
-    setting is absent (local tests) do we create one of our own.
+    The cluster names a shared, fault-tolerant folder there. Where the setting
+    is absent, a local master (tests) gets a folder of its own; on a cluster a
+    folder of one machine would lose data with it, so that is an error.
     """
     directory = spark.conf.get("spark.checkpoint.dir", None)
     if not directory:
         directory = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not directory:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         directory = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", directory)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -61,19 +65,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return directory
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: ``df`` as a Parquet table in the shared checkpoint folder, computed once.
 
     Used where one result feeds many later jobs (fold-tagged training rows,
-    fitted statistics); survives executor loss because the data lives in the
-    shared folder, not on an executor.
+    fitted statistics); it outlives any executor. The cluster cleans its
+    checkpoint folder.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,32 +12,60 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SUPPORTED = (".csv", ".parquet")
 
 
-def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a CSV (header, inferred types) or parquet table.
+#: Cells that stand for a missing value.
+MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+                 "None", "n/a", "nan", "null")
+#: Types a text column may be read as, the narrowest first.
+INFERRED = ("bigint", "double", "boolean")
 
-    Spark does not fail on bytes that are not UTF-8; it substitutes U+FFFD.
-    A cheap probe counts rows holding that character; when any appear the
-    file is re-read as ISO-8859-1 (latin-1), as the study's reader does.
-    Other suffixes are rejected.
+
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """Read a CSV (header, inferred types) or parquet table; other suffixes are rejected.
+
+    Missing-value words become NULL. Quoted cells may hold line breaks; that
+    keeps Spark from splitting a file, so ``multi_line=False`` is there for
+    large files without such cells. A file whose bytes are not valid UTF-8 is
+    read as ISO-8859-1, each file of a folder by its own bytes: cells are read
+    as single bytes first, and turned back into them where they are UTF-8.
+    One pass finds those files and the columns' types.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".parquet":
         return spark.read.parquet(path)
     if suffix != ".csv":
-        raise ValueError("Unsupported format; use a .csv or .parquet file.")
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.option("encoding", "UTF-8").csv(path)
-    text_cols = [c for c, t in df.dtypes if t == "string"]
-    bad_header = any("\ufffd" in c for c in df.columns)
-    if bad_header or (text_cols and df.where(
-            reduce(lambda a, b: a | b, [F.col(f"`{c}`").contains("\ufffd") for c in text_cols])).limit(1).count()):
-        df = reader.option("encoding", "ISO-8859-1").csv(path)
-    return df
+        raise ValueError(f"can't read {suffix or path}: .csv and .parquet tables are")
+    raw = spark.read.options(header=True, mode="PERMISSIVE", encoding="ISO-8859-1", escape='"', multiLine=multi_line, inferSchema=False).csv(path)
+    names = [f"c{i}" for i in range(len(raw.columns))]
+    cells = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names)], F.col("_metadata.file_path").alias("file"))
+    as_bytes = {n: F.encode(n, "ISO-8859-1") for n in names}
+    known = {n: F.when(~F.col(n).isin(*MISSING_WORDS), F.col(n)) for n in names}
+    fits = lambda n, t: F.col(n).rlike("(?i)^(true|false)$") if t == "boolean" else F.trim(n).try_cast(t).isNotNull() & F.trim(n).rlike(_PLAIN)
+    per_file = cells.groupBy("file").agg(
+        F.bool_and(reduce(lambda a, b: a & b, [F.coalesce(F.is_valid_utf8(as_bytes[n].cast("string")), F.lit(True)) for n in names])).alias("utf8"),
+        *[F.bool_and(F.when(known[n].isNotNull(), fits(n, t))).alias(f"{n}_{t}") for n in names for t in INFERRED])
+    found = per_file.agg(F.collect_list(F.when(~F.col("utf8"), F.col("file"))).alias("latin"),
+                         *[F.bool_and(f"{n}_{t}").alias(f"{n}_{t}") for n in names for t in INFERRED]).first()
+    latin = F.col("file").isin(*found["latin"]) if found["latin"] else F.lit(False)
+    text = {n: F.when(latin, F.col(n)).otherwise(F.decode(as_bytes[n], "UTF-8")) for n in names}
+
+    def cell(n: str, kind: str) -> F.Column:
+        value = F.when(~F.col(n).isin(*MISSING_WORDS), text[n])
+        return value if kind == "string" else F.trim(value).try_cast(kind)
+
+    header = [c if found["latin"] else c.encode("latin-1", "replace").decode("utf-8", "replace") for c in raw.columns]
+    if schema is not None:
+        return cells.select(*[cell(n, f.dataType.simpleString()).alias(f.name) for n, f in zip(names, schema.fields)])
+    kinds = [next((t for t in INFERRED if found[f"{n}_{t}"]), "string") for n in names]
+    return cells.select(*[cell(n, k).alias(h) for n, k, h in zip(names, kinds, header)])
+
+
+#: Numbers as a CSV cell holds them (a cast alone takes literals' type suffixes too).
+_PLAIN = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF])$"
 
 
 def newest_file(spark: SparkSession, directory: str, patterns: str = "*.{csv,CSV,parquet}") -> str:
@@ -49,17 +77,16 @@ def newest_file(spark: SparkSession, directory: str, patterns: str = "*.{csv,CSV
              .select("path", "modificationTime"))
     row = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("p")).first()
     if row is None or row["p"] is None:
-        raise FileNotFoundError(f"No CSV or parquet table found in {directory}; upload a dataset first.")
+        raise FileNotFoundError(f"{directory} holds no CSV or parquet table")
     return row["p"]
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partitions: int | None = None) -> None:
-    """Persist a table as parquet, CSV (with header) or JSON lines."""
-    out = df.coalesce(partitions) if partitions else df
-    writer = out.write.mode(mode)
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Persist a table as parquet, CSV (with header) or JSON lines, one file for each partition."""
+    writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        # a quote inside a cell is doubled, as readers expect
+        writer.options(header=True, escape='"').csv(path)
     elif fmt == "json":
         writer.json(path)
     else:
@@ -71,7 +98,7 @@ def write_report(tables: dict[str, DataFrame], directory: str, fmt: str = "parqu
     paths = {}
     for name, df in tables.items():
         p = os.path.join(directory, name)
-        write_table(df, p, fmt, partitions=1)
+        write_table(df, p, fmt)
         paths[name] = p
     return paths
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics
+import numpy as np
+
+from tessera.operators import metrics, profile
 
 
 def _pred(spark, ys, ss, model="m"):
@@ -56,3 +58,30 @@ def test_bootstrap_interval_contains_estimate(spark):
     assert ci.lower <= f1 <= ci.upper and ci.replicates == 100
     auc = metrics.bootstrap_ci(p, ["model"], "key", metric="roc_auc", replicates=50).collect()[0]
     assert 0 <= auc.lower <= auc.upper <= 1
+
+
+def test_single_class_groups_do_not_break_curves_or_correlations(spark):
+    rows = [("a", 1, 0.9), ("a", 1, 0.2), ("b", 0, 0.4), ("b", 1, 0.6)]
+    df = spark.createDataFrame(rows, "model string, y int, score double")
+    got = {(r["model"], r["threshold"]): (r["fpr"], r["tpr"]) for r in metrics.roc_curve(df, ["model"]).collect()}
+    assert got[("a", 0.2)] == (None, 1.0) and got[("b", 0.4)] == (1.0, 1.0)
+    table = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, None), (4.0, 5.0, 1.0)], "x double, flat double, gaps double")
+    r = {(c["a"], c["b"]): c["r"] for c in profile.correlation(table, ["x", "flat", "gaps"]).collect()}
+    assert r == {(a, b): 1.0 if a == b == "x" else None for a in ("x", "flat", "gaps") for b in ("x", "flat", "gaps")}
+
+
+def test_bootstrap_auc_is_the_same_however_rows_are_cut(spark):
+    """Many ties, ranges of a few rows: equal to ranking each replicate whole."""
+    rows = [("m" if i % 2 else "k", i, (i * 7 % 11) // 4 % 2, (i * 31 % 17) // 3 / 10) for i in range(900)]
+    df = spark.createDataFrame(rows, "model string, key long, y int, score double")
+    got = {r["model"]: (r["lower"], r["upper"], r["replicates"]) for r in
+           metrics.bootstrap_ci(df, ["model"], "key", metric="roc_auc", replicates=20, seed=3).collect()}
+    reps = metrics._replicated(df, "key", 20, 3).toPandas()
+    for model, own in reps.groupby("model"):
+        values = []
+        for _, r in own.groupby("__b"):
+            p, n = r[r.y == 1], r[r.y == 0]
+            u = sum(w * ((n.score < s) * n["__w"]).sum() + w * 0.5 * ((n.score == s) * n["__w"]).sum() for s, w in zip(p.score, p["__w"]))
+            values.append(u / (p["__w"].sum() * n["__w"].sum()))
+        low, high = np.percentile(values, [2.5, 97.5])
+        assert abs(got[model][0] - low) < 1e-12 and abs(got[model][1] - high) < 1e-12 and got[model][2] == 20

@@ -1,7 +1,10 @@
 """Paired tests against the study's published fold scores and results (values copied as literals)."""
 
+import numpy as np
+import math
 import pytest
 
+from tessera.functions import dist
 from tessera.operators import stats
 
 # Fold F1 of the five models (model, fold, f1), and the published results.
@@ -118,3 +121,29 @@ def test_edge_cases(spark):
     assert ac.t_statistic == float("-inf") and ac.p_value == 0.0 and ac.ci95_low == ac.mean_difference
     w = {(r.model_a, r.model_b): r for r in stats.wilcoxon(d, []).collect()}
     assert w[("A", "B")].statistic == 0.0 and w[("A", "B")].p_value == 1.0 and w[("A", "B")].effect == 0.0
+
+
+def test_far_tails_of_student_t_keep_their_digits(spark):
+    """Against Gauss-Legendre quadrature of the density over the angle, which loses nothing to cancellation."""
+    nodes, weights = np.polynomial.legendre.leggauss(400)
+
+    def tail(t, n):
+        low = math.atan(t / math.sqrt(n))
+        x = (nodes + 1) / 2
+        part = lambda a: ((math.pi / 2 - a) / 2 * weights * np.cos(a + (math.pi / 2 - a) * x) ** (n - 1)).sum()
+        return part(low) / part(0.0)
+
+    cases = [(12.0, 79), (40.0, 79), (3.0, 1), (0.1, 2), (25.0, 4), (1.5, 30), (8.0, 200), (2.0, 1001), (0.0, 5)]
+    df = spark.createDataFrame(cases, "t double, n int").selectExpr("t", "n", f"{dist.t_sf2('t', 'n')} AS p")
+    for r in df.collect():
+        assert abs(r["p"] / tail(r["t"], r["n"]) - 1) < 1e-9, tuple(r)
+    # published two-sided 5 % points
+    points = {1: 12.7062, 2: 4.30265, 10: 2.22814, 79: 1.99045, 100_001: 1.95999}
+    df = spark.createDataFrame([(n,) for n in points], "n int").selectExpr("n", f"{dist.t_quantile2('0.05D', 'n')} AS q")
+    assert all(abs(r["q"] - points[r["n"]]) < 1e-4 for r in df.collect())
+
+
+def test_chi_square_of_odd_degrees(spark):
+    # published 5 % points
+    df = spark.createDataFrame([(3.841459, 1), (7.814728, 3), (11.070498, 5), (16.918978, 9)], "x double, k int").selectExpr(f"{dist.chi2_sf('x', 'k')} AS p")
+    assert all(abs(r["p"] - 0.05) < 1e-7 for r in df.collect())
