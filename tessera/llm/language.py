@@ -184,7 +184,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return counts.select(column, F.array(*each).alias(f"{column}_likelihood"))
 
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = marked.join(conditional("declared"), "declared").join(conditional("suffix"), "suffix").join(host_priors(marked, n), "host")
+    # tables, so that Spark can split the pages of a popular host or suffix in the joins
+    priors, by_suffix = cut(host_priors(marked, n), "host-priors"), cut(conditional("suffix"), "suffixes")
+    fused = marked.join(conditional("declared"), "declared").join(by_suffix, "suffix").join(priors, "host")
     total = add(add(add("text", "declared_likelihood"), "suffix_likelihood"), F.transform("prior", lambda p: F.log(p)))
     names = F.array(*[F.lit(x) for x in langs])
     fused = fused.withColumn("total", total).withColumn("top", F.array_max("total"))
