@@ -74,8 +74,30 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter("__handle IS NOT NULL").select(F.col("__handle").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def repetition(words: np.ndarray, start: int, second: int, last: int) -> tuple[int, int]:
+    """(place, length) of a repetition, from the first two and the last place of the k-gram that winnowing kept of it.
+
+    The repetition reaches as far as each word equals the one a period before
+    it. ``place`` is its first k-gram of this kind, so that repetitions of
+    other texts that begin elsewhere in their period meet at the same phase.
+    """
+    period, end = second - start, last + K
+    before = words[:start] == words[period:start + period]
+    low = start - int(np.argmin(np.append(before[::-1], False)))
+    after = words[end:] == words[end - period:len(words) - period]
+    high = end + int(np.argmin(np.append(after, False)))
+    return start - (start - low) // period * period, high - low
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """(place, hash) of the k-grams that winnowing keeps; of one that follows itself (a word repeated), the first."""
+    """(place, hash, extent): the k-grams that winnowing keeps.
+
+    In a word or phrase that repeats itself, winnowing keeps one k-gram over
+    and over. Only its first place is a seed, of extent K; a repetition of
+    ``LEAST_WORDS`` words or more adds seeds of the same place that stand for
+    its length, one for each doubling, so that it meets the first document
+    with a repetition as long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,15 +105,25 @@ def seeds(docs: DataFrame) -> DataFrame:
             for row, stop, found in T.chunks(batch.column(1)):
                 if len(found.start) and found.counts.max() >= 1 << PLACE_BITS:
                     raise ValueError(f"a text has {found.counts.max()} words; {1 << PLACE_BITS} are supported")
-                at, h = T.winnow(found, found.hashes(), K, WINDOW)
+                hashes = found.hashes()
+                at, h = T.winnow(found, hashes, K, WINDOW)
+                if not len(at):
+                    continue
                 of = found.text_of_word()[at]
-                if len(at):
-                    first = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))
-                    at, h, of = at[first], h[first], of[first]
-                places = (docs_[row:stop][of] << PLACE_BITS) | (at - found.first[of])
-                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(h.view(np.int64))], names=["place", "hash"])
-
-    return _texts(docs).mapInArrow(run, "place long, hash long")
+                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))))
+                last = np.append(first[1:], len(at)) - 1
+                base = docs_[row:stop][of] << PLACE_BITS
+                columns = [(base[first] | (at[first] - found.first[of[first]]), h[first], np.full(len(first), K))]
+                for i in np.flatnonzero((last > first) & (at[last] + 2 * WINDOW + K - at[first] >= LEAST_WORDS)):
+                    text = found.first[of[first[i]]], found.first[of[first[i]] + 1]
+                    place, length = repetition(hashes[text[0]:text[1]], at[first[i]] - text[0], at[first[i] + 1] - text[0], at[last[i]] - text[0])
+                    sizes = LEAST_WORDS << np.arange(max(0, int(length // LEAST_WORDS).bit_length()))
+                    columns.append((base[first[i]] | np.full(len(sizes), place), T.mix(h[first[i]] + sizes.astype(np.uint64)), 2 * sizes))
+                place, key, extent = (np.concatenate(c) for c in zip(*columns, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(key.view(np.int64)), pa.array(extent.astype(np.int32))],
+                                                 names=["place", "hash", "extent"])
+
+    return _texts(docs).mapInArrow(run, "place long, hash long, extent int")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -116,14 +148,15 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(doc, at, other, other_at): each seed with its first occurrence, if that is in another document."""
+    """(doc, other, at, other_at, extent): each seed with its first occurrence, if that is in another document."""
     # a table, so that Spark can split the occurrences of a frequent seed in the join
     first = cut(found.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
                 .filter(F.shiftright("first", PLACE_BITS) < F.shiftright("last", PLACE_BITS)).select("hash", "first"), "first-seeds")
     mask = F.lit((1 << PLACE_BITS) - 1)
     return found.join(first, "hash").select(
-        F.shiftright("place", PLACE_BITS).alias("doc"), F.col("place").bitwiseAND(mask).cast("int").alias("at"),
-        F.shiftright("first", PLACE_BITS).alias("other"), F.col("first").bitwiseAND(mask).cast("int").alias("other_at")).filter("doc <> other")
+        F.shiftright("place", PLACE_BITS).alias("doc"), F.shiftright("first", PLACE_BITS).alias("other"),
+        F.col("place").bitwiseAND(mask).cast("int").alias("at"), F.col("first").bitwiseAND(mask).cast("int").alias("other_at"),
+        "extent").filter("doc <> other")
 
 
 def chain(at: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
@@ -178,7 +211,10 @@ def chain(at: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
 
 
 def chains(found: DataFrame) -> DataFrame:
-    """(doc, other, at, other_at): the seeds of each chain of two seeds or more, as arrays.
+    """(doc, other, at, other_at, extent): the seeds of each chain, as arrays, and the longest extent of them.
+
+    Chains have two seeds or more, as any run of K + 2 * WINDOW - 1 common
+    words has, or one that stands for a long repetition.
 
     A pair's matches are no more than one document's seeds. Rows are dealt by
     document and read in order, one pair at a time.
@@ -187,7 +223,7 @@ def chains(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: np.ndarray | None = None
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])
             rows = rows if kept is None else np.concatenate([kept, rows], axis=1)
             change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
             last = int(change[-1]) if len(change) else 0
@@ -196,27 +232,27 @@ def chains(found: DataFrame) -> DataFrame:
         if kept is not None:
             yield _chained(kept)
 
-    names = "doc", "other", "at", "other_at"
+    names = "doc", "other", "at", "other_at", "extent"
     dealt = found.repartition("doc").sortWithinPartitions(*names)
-    return dealt.select(*names).mapInArrow(run, "doc long, other long, at array<int>, other_at array<int>")
+    return dealt.select(*names).mapInArrow(run, "doc long, other long, at array<int>, other_at array<int>, extent int")
 
 
 def _chained(rows: np.ndarray) -> pa.RecordBatch:
     edges = np.concatenate(([0], np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1, [rows.shape[1]]))
-    out: tuple[list, list, list, list] = [], [], [], []
+    out: tuple[list, list, list, list, list] = [], [], [], [], []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b - a < 2:
+        if b - a < 2 and rows[4, a:b].max(initial=0) <= K:
             continue
-        doc, other, at, other_at = rows[:, a:b]
+        own = rows[:, a:b]
+        # of seeds that share both places, the one of the longest extent (rows are in order)
+        own = own[:, np.append((own[2, 1:] != own[2, :-1]) | (own[3, 1:] != own[3, :-1]), True)]
+        doc, other, at, other_at, extent = own
         for line in chain(at, other_at):
-            if len(line) >= 2:  # as any run of K + 2 * WINDOW - 1 common words has
-                out[0].append(int(doc[0]))
-                out[1].append(int(other[0]))
-                out[2].append(at[line])
-                out[3].append(other_at[line])
-    ints = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], ints), pa.array(out[3], ints)],
-                                      names=["doc", "other", "at", "other_at"])
+            if len(line) >= 2 or extent[line[0]] > K:
+                for column, value in zip(out, (int(doc[0]), int(other[0]), at[line], other_at[line], int(extent[line].max())), strict=True):
+                    column.append(value)
+    ints, kinds = pa.list_(pa.int32()), (pa.int64(), pa.int64(), None, None, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k or ints) for c, k in zip(out, kinds, strict=True)], names=["doc", "other", "at", "other_at", "extent"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -276,7 +312,7 @@ def align(mine: np.ndarray, theirs: np.ndarray, at: np.ndarray, other: np.ndarra
 def parts(linked: DataFrame, words: DataFrame) -> DataFrame:
     """(doc, start, stop, other, other_start, other_stop, matches): aligned parts of each chain (see ``chains``, ``blocks``)."""
     first = lambda c: F.greatest(F.element_at(c, 1) - REACH, F.lit(0))
-    reach = lambda c: F.sequence(F.floor(first(c) / BLOCK).cast("int"), F.floor((F.element_at(c, -1) + K + REACH) / BLOCK).cast("int"))
+    reach = lambda c: F.sequence(F.floor(first(c) / BLOCK).cast("int"), F.floor((F.element_at(c, -1) + F.col("extent") + REACH) / BLOCK).cast("int"))
     name = F.struct("doc", "other", F.element_at("at", 1).alias("begin"), F.element_at("other_at", 1).alias("other_begin"))
     asked = linked.select(name.alias("chain"), F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("doc").alias("doc"), reach("at").alias("blocks"), F.col("at").alias("at"), F.col("other_at").alias("other_at")),

@@ -92,6 +92,14 @@ def test_copies_link_to_the_first_and_ids_may_repeat_or_be_any(spark):
     assert got == {(3, 90, (-5,)), (1 << 60, 90, (-5,)), (9, 70, (3,))}
 
 
+def test_repetitions_of_a_word_or_phrase(spark):
+    rows = [(1, prose(1, 40) + " so" * 60, "en", "s", 1), (2, "so " * 20 + prose(2, 40), "en", "s", 1), (3, prose(3, 40) + " so" * 400, "en", "s", 1),
+            (4, prose(4, 10) + " so" * 330 + " " + prose(5, 10), "en", "s", 1), (5, "ba ke lo " * 40, "en", "s", 1), (6, "ba ke lo " * 30 + prose(6, 10), "en", "s", 1)]
+    got = {r["doc_id"]: (r["start_word"], r["n_words"]) for r in passages.passages(frame(spark, rows)).collect()}
+    assert set(got) == {3, 4, 6}
+    assert got[3] == (40, 60) and got[4] == (10, 330) and got[6] == (0, 90)
+
+
 def test_cutting_keeps_the_first_and_every_other_byte(spark):
     passage, rows = planted()
     docs = frame(spark, rows + odd_rows())
