@@ -1,7 +1,9 @@
 """Fuzzy repeated passages by collinear chaining (operator 4).
 
 Seeds are the k-grams of words that winnowing keeps (any run of k + w - 1
-words that two documents share has a common seed). Each seed is joined to its
+words that two documents share has a common seed): short ones, which survive
+between the edits of a fuzzy passage, and a sparse layer of long ones, which
+tell passages apart that are made of the same few words. Each seed is joined to its
 first occurrence in the order of documents, so a seed that n documents share
 makes n - 1 matches and not n * n. The matches of a document with another are
 chained: a Fenwick tree over the other document's places finds for each match
@@ -33,6 +35,8 @@ from tessera.llm import words as T
 from tessera.llm.shared import cut
 
 K, WINDOW = 5, 12
+#: A second, sparse layer of long seeds: any run of LEAST_WORDS common words has one, however often its single words recur.
+LONG_K, LONG_WINDOW = 24, 27
 LEAST_WORDS, SIMILARITY = 50, 0.8
 #: Alignments with one document count from so many words (from 28 equal words on, winnowing guarantees a chain).
 LEAST_PART = 20
@@ -89,11 +93,16 @@ def repetition(words: np.ndarray, start: int, second: int, last: int) -> tuple[i
     return start - (start - low) // period * period, high - low
 
 
+def fresh(hashes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Places at which a hash differs from the one before it in the same text."""
+    return np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1]))[:len(hashes)])
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """(place, hash, extent): the k-grams that winnowing keeps.
+    """(place, hash, extent): the k-grams that winnowing keeps, of both lengths.
 
     In a word or phrase that repeats itself, winnowing keeps one k-gram over
-    and over. Only its first place is a seed, of extent K; a repetition of
+    and over. Only its first place is a seed; a repetition of
     ``LEAST_WORDS`` words or more adds seeds of the same place that stand for
     its length, one for each doubling, so that it meets the first document
     with a repetition as long.
@@ -105,15 +114,19 @@ def seeds(docs: DataFrame) -> DataFrame:
             for row, stop, found in T.chunks(batch.column(1)):
                 if len(found.start) and found.counts.max() >= 1 << PLACE_BITS:
                     raise ValueError(f"a text has {found.counts.max()} words; {1 << PLACE_BITS} are supported")
-                hashes = found.hashes()
+                hashes, text_of = found.hashes(), found.text_of_word()
                 at, h = T.winnow(found, hashes, K, WINDOW)
                 if not len(at):
                     continue
-                of = found.text_of_word()[at]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1]))))
+                of = text_of[at]
+                first = fresh(h, of)
                 last = np.append(first[1:], len(at)) - 1
                 base = docs_[row:stop][of] << PLACE_BITS
                 columns = [(base[first] | (at[first] - found.first[of[first]]), h[first], np.full(len(first), K))]
+                long_at, long_h = T.winnow(found, hashes, LONG_K, LONG_WINDOW, LONG_K)
+                kept = fresh(long_h, text_of[long_at])
+                long_at, long_of = long_at[kept], text_of[long_at[kept]]
+                columns.append(((docs_[row:stop][long_of] << PLACE_BITS) | (long_at - found.first[long_of]), long_h[kept], np.full(len(kept), LONG_K)))
                 for i in np.flatnonzero((last > first) & (at[last] + 2 * WINDOW + K - at[first] >= LEAST_WORDS)):
                     text = found.first[of[first[i]]], found.first[of[first[i]] + 1]
                     place, length = repetition(hashes[text[0]:text[1]], at[first[i]] - text[0], at[first[i] + 1] - text[0], at[last[i]] - text[0])
@@ -214,7 +227,7 @@ def chains(found: DataFrame) -> DataFrame:
     """(doc, other, at, other_at, extent): the seeds of each chain, as arrays, and the longest extent of them.
 
     Chains have two seeds or more, as any run of K + 2 * WINDOW - 1 common
-    words has, or one that stands for a long repetition.
+    words has, or one that is long or stands for a long repetition.
 
     A pair's matches are no more than one document's seeds. Rows are dealt by
     document and read in order, one pair at a time.
