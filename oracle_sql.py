@@ -528,7 +528,9 @@ def _wilcoxon_sql(diffs: str, fam: list[str]) -> str:
   CASE WHEN coalesce(md, 0) > 0 THEN 'may be higher' WHEN coalesce(md, 0) < 0 THEN 'may be lower' ELSE 'is equal' END
     AS direction,
   CASE WHEN n < 2 THEN NULL WHEN n_nonzero = 0 THEN 'all-zero' WHEN {exact} THEN 'exact' ELSE 'normal' END AS method,
-  round(p_value, 10) AS p_value, round(p_value_holm, 10) AS p_value_holm, coalesce(p_value_holm < 0.05, false) AS significant
+  round(p_value, 10) AS p_value, round(p_value_holm, 10) AS p_value_holm,
+  CASE WHEN {exact} AND n >= 2 AND n_nonzero > 0 THEN least(1.0, pow(2.0, 1 - n_nonzero)) END AS smallest_p,
+  coalesce(p_value_holm < 0.05, false) AS significant
 FROM {h}"""
 
 
@@ -687,6 +689,16 @@ FROM u JOIN c USING (i) GROUP BY vec_id, center"""
         f"SELECT 'missing', '{c}', CAST(count_if({c} IS NULL"
         + (f" OR isnan({c})" if t == "double" else "") + f") AS DOUBLE), NULL FROM obs" for c, t in zip(cols, types))
     dtypes = " UNION ALL ".join(f"SELECT 'dtype', '{c}', NULL, '{t}'" for c, t in zip(cols, types))
+    stats = {"count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "q25": "quantile_cont({c}, 0.25)",
+             "q50": "quantile_cont({c}, 0.5)", "q75": "quantile_cont({c}, 0.75)", "max": "max({c})"}
+    described = " UNION ALL ".join(
+        f"SELECT 'describe', '{c}.{s}', round(CAST({e.format(c=c)} AS DOUBLE), 6), NULL FROM obs"
+        for c in ("total_price", "account_balance", "order_month") for s, e in stats.items())
+    headers = dict(zip([n for _, n in UPLOAD_COLUMNS], ["order_key", "total_price", "account_balance", "order_month", "order_status", "order_priority",
+                                                        "market_segment", "result"]))
+    renamed = " UNION ALL ".join(f"SELECT 'column', '{h}', NULL, '{c}'" for h, c in headers.items())
+    q["feature_columns"] = f"""WITH {OBS} SELECT order_key, total_price, account_balance, order_month, order_status, order_priority, market_segment,
+  CAST(0 AS INTEGER) AS result FROM obs"""
     q["quality_report"] = f"""WITH {OBS}, co AS ({_coerced()})
 SELECT 'rows' AS section, CAST(NULL AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text
 FROM obs
@@ -697,6 +709,8 @@ UNION ALL {miss}
 UNION ALL SELECT 'class', CAST(result AS VARCHAR), CAST(count(*) AS DOUBLE), NULL FROM obs GROUP BY result
 UNION ALL SELECT 'rows_excluded', NULL, CAST(count_if(result_value IS NOT DISTINCT FROM 2.0) AS DOUBLE), NULL FROM co
 UNION ALL {dtypes}
+UNION ALL {described}
+UNION ALL {renamed}
 UNION ALL SELECT 'warning', '0', NULL, printf('order_month: %d values are no numbers and count as missing',
   count_if(raw_month IS NOT NULL AND order_month IS NULL)) FROM co
 UNION ALL SELECT 'warning', '1', NULL, printf('result: left out %d rows of class 2',

@@ -1,7 +1,7 @@
 """Command line: ``python -m tessera study --data upload.csv --out results/``.
 
-Runs the end-to-end study with the plot-observation spec (or ``--spec orders``
-for the order-derived test tables) and writes every report table.
+Runs the end-to-end study with the plot-observation spec and writes every
+report table.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def main(argv=None) -> None:
     st.add_argument("--data", help="CSV or parquet file (default: newest file of --data-dir)")
     st.add_argument("--data-dir", default="data/raw")
     st.add_argument("--out", required=True)
-    st.add_argument("--key", default=None, help="row key column (default: md5 over all columns)")
+    st.add_argument("--key", default=None, help="row key column (default: md5 over all columns and the number of the copy)")
     st.add_argument("--folds", type=int, default=5)
     st.add_argument("--seed", type=int, default=42)
     st.add_argument("--max-iter", type=int, default=60)
@@ -37,7 +37,11 @@ def main(argv=None) -> None:
     key = args.key
     if key is None:
         key = "row_key"
-        df = df.withColumn(key, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+        cells = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        # copies of a row get keys of their own: counted once per distinct row, then one key for each
+        copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+        df = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__n") \
+            .withColumn(key, F.md5(F.concat_ws("|", cells, "__copy"))).drop("__copy")
     res = run_study(df, IRRIGATION_SPEC, key, args.folds, args.seed, max_iter=args.max_iter,
                     tuning_trials=args.tuning_trials, out_dir=args.out)
     print(f"best model: {res.best_model}; excluded rows: {res.excluded_rows}; warnings: {res.warnings}")

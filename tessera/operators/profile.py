@@ -188,9 +188,11 @@ def class_weights(df: DataFrame, target: str, min_ratio: float = 1.5) -> DataFra
                             .otherwise(F.lit(1.0)).alias("weight"))
 
 
-def quality_report(frame: DataFrame, target: str, rows_excluded: int, warnings: list[str]) -> DataFrame:
+def quality_report(frame: DataFrame, target: str, rows_excluded: int, warnings: list[str], numeric: list[str] = (),
+                   renamed: list[tuple[str, str]] = ()) -> DataFrame:
     """Data-quality document as a long table (section, name, value, text): rows, rows excluded,
-    columns, duplicates, missing per column, types, class distribution, warnings.
+    columns, duplicates, missing per column, types, class distribution, warnings, the described
+    ``numeric`` columns (name ``column.statistic``) and the ``renamed`` headers (header, column).
 
     ``rows_excluded`` and ``warnings`` come from the validation counters (the
     count survives: it is not recomputed on the already filtered frame).
@@ -216,5 +218,12 @@ def quality_report(frame: DataFrame, target: str, rows_excluded: int, warnings:
     meta = spark.createDataFrame(
         [("rows_excluded", None, float(rows_excluded), None)]
         + [("dtype", col, None, t) for col, t in frame.dtypes]
+        + [("column", header, None, column) for header, column in renamed]
         + [("warning", str(i), None, w) for i, w in enumerate(warnings)], schema)
-    return c.unionByName(d).unionByName(m).unionByName(k).unionByName(meta)
+    out = c.unionByName(d).unionByName(m).unionByName(k).unionByName(meta)
+    if numeric:
+        wide = describe_numeric(frame, list(numeric))
+        each = F.explode(F.array(*[F.struct(F.lit(x).alias("s"), F.col(x).cast("double").alias("v")) for x in wide.columns if x != "column"]))
+        out = out.unionByName(wide.select("column", each.alias("x")).select(
+            F.lit("describe").alias("section"), F.concat_ws(".", "column", "x.s").alias("name"), F.col("x.v").alias("value"), F.lit(None).cast("string").alias("text")))
+    return out

@@ -644,9 +644,19 @@ def q_report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_quality_report(spark: SparkSession, sf: str) -> DataFrame:
-    """A1-A5 + P5/P8 warnings: the data-quality document of the validated upload, long form."""
+    """A1-A6 + P1/P2 renames + P5/P8 warnings: the data-quality document of the validated upload, long form."""
     v = validate.validate(td.upload_frame(spark, sf), td.ORDER_SPEC)
-    return profile.quality_report(v.frame, "result", v.excluded_rows, v.warnings)
+    report = profile.quality_report(v.frame, "result", v.excluded_rows, v.warnings, td.ORDER_SPEC.numeric,
+                                    list(zip(v.original_columns, v.normalized_columns)))
+    return report.withColumn("value", _r("value", 6))
+
+
+def q_feature_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """P11 + P12: features of rows that came without a target, beside the placeholder target."""
+    untargeted = td.observations(spark, sf).drop("result")
+    scoring = schema.with_default(untargeted, "result", 0)
+    features_, target = schema.split_features(scoring, td.ORDER_SPEC)
+    return scoring.select("order_key", *features_.columns, *target.columns)
 
 
 def q_batch_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -770,6 +780,7 @@ REGISTRY = {
     "newest_file": q_newest_file,
     "report_roundtrip": q_report_roundtrip,
     "quality_report": q_quality_report,
+    "feature_columns": q_feature_columns,
     "batch_export": q_batch_export,
     "overall_interpretation": q_overall_interpretation,
     "labelled_join_profile": q_labelled_join_profile,

@@ -99,7 +99,7 @@ def run_study(df: DataFrame, spec: TableSpec, key: str, folds: int = 5, seed: in
     wx = stats.wilcoxon(diffs, [])
     tables = {
         "sample": split.head_sample(frame, key, 1000),
-        "quality": profile.quality_report(frame, spec.target, v.excluded_rows, v.warnings),
+        "quality": profile.quality_report(frame, spec.target, v.excluded_rows, v.warnings, num, list(zip(v.original_columns, v.normalized_columns))),
         "describe": profile.describe_numeric(frame, num),
         "describe_categories": profile.describe_categorical(frame, cat),
         "histograms": profile.histogram(frame, num),
