@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.llm.shared import small_batches
+
 
 def order_hash(doc_id) -> F.Column:
     """A pseudo-random order of ids that is the same in every run."""
@@ -22,6 +24,7 @@ def sample_texts(docs: DataFrame, targets: DataFrame, max_docs: int, max_bytes:
     cut where the running size passes the limit; texts themselves stay whole.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sides, totals = [], {}
     for row in targets.groupBy("target").count().collect():  # at most two rows
         totals[row["target"]] = row["count"]
