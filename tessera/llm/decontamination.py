@@ -187,7 +187,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             [pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["hit_spans"], spans),
              pa.array(out["item_ids"], pa.list_(pa.int64()))], names=list(out))
 
-    return docs.withColumn("__key", _text_key(F.col("text"))).join(candidates, "__key", "left") \
+    # the same join at every size: the candidates grow with the documents
+    return docs.withColumn("__key", _text_key(F.col("text"))).join(candidates.hint("merge"), "__key", "left") \
         .withColumn("__found", extend("text", "__candidates")).drop("__key", "__candidates")
 
 
