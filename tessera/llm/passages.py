@@ -10,7 +10,7 @@ chained: a Fenwick tree over the other document's places finds for each match
 the best chain that ends before it in both documents, where a chain's score is
 the words of its seeds less a cost for gaps. Chains are then aligned word by
 word: seeds grow while words agree, gaps are aligned by their longest common
-subsequence, and an alignment of too little similarity is split at its worst
+subsequence, the ends go on across edits as long as that raises the score, and an alignment of too little similarity is split at its worst
 gap. What is left of a document's alignments with all its partners is merged
 where it touches, so a passage whose parts were first seen in different
 documents is whole; merged passages of ``LEAST_WORDS`` or more are reported
@@ -34,16 +34,18 @@ from pyspark.sql import Window as W
 from tessera.llm import words as T
 from tessera.llm.shared import cut
 
-K, WINDOW = 5, 12
+K, WINDOW = 5, 8
 #: A second, sparse layer of long seeds: any run of LEAST_WORDS common words has one, however often its single words recur.
 LONG_K, LONG_WINDOW = 24, 27
 LEAST_WORDS, SIMILARITY = 50, 0.8
-#: Alignments with one document count from so many words (from 28 equal words on, winnowing guarantees a chain).
+#: Alignments with one document count from so many words (from K + 2 * WINDOW - 1 equal words on, winnowing guarantees a chain).
 LEAST_PART = 20
 #: Cost of each word of a gap, and the longest gap in a chain.
 GAP_COST, LONGEST_GAP = 0.1, 32
-#: Words beyond a chain's outer seeds that the alignment may reach: there, seeds may have been first seen elsewhere.
+#: Words beyond a chain's outer seeds that the alignment may reach: there, seeds may have been first seen elsewhere, or edits left none.
 REACH = 64
+#: How far the score of equal words less edits may fall beyond a chain's ends before the alignment stops.
+DROP = 8
 BLOCK = 256
 #: Parts of one document that lie so close are one passage.
 TOUCH = 2
@@ -279,6 +281,39 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _extend(mine: list[int], theirs: list[int]) -> list[tuple[int, int, int]]:
+    """Runs (place, other place, length) of equal words that go on from the begin of two texts across edits.
+
+    Greedy X-drop: after d edits each diagonal is followed as far as it
+    reaches; an equal word gains one and an edit costs one. Paths more than
+    ``DROP`` below the best score end, and the runs up to the best are returned.
+    """
+    ahead, best, end, edits = {0: (0, 0, None)}, 0.0, None, 0  # diagonal: (place, place where its run begins, the run before)
+    while ahead:
+        reached = {}
+        for k, (i, start, before) in ahead.items():
+            while i < len(mine) and i + k < len(theirs) and mine[i] == theirs[i + k]:
+                i += 1
+            path = (start, start + k, i - start, before) if i > start else before
+            score = i + k / 2 - 2 * edits
+            if score > best:
+                best, end = score, path
+            if score >= best - DROP:
+                reached[k] = i, path
+        edits += 1
+        ahead = {}
+        for k, (i, path) in reached.items():
+            for step, diagonal in ((1, k), (0, k + 1), (1, k - 1)):
+                at = i + step
+                if at <= len(mine) and 0 <= at + diagonal <= len(theirs) and at > ahead.get(diagonal, (-1,))[0]:
+                    ahead[diagonal] = at, at, path
+    runs = []
+    while end is not None:
+        runs.append(end[:3])
+        end = end[3]
+    return runs[::-1]
+
+
 def align(mine: np.ndarray, theirs: np.ndarray, at: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(start, stop, other start, other stop, matches) of the similar parts along a chain of seeds."""
     exact: list[list[int]] = []  # [start, stop, other start] of runs of equal words, in order
@@ -302,6 +337,12 @@ def align(mine: np.ndarray, theirs: np.ndarray, at: np.ndarray, other: np.ndarra
         front = int(np.argmin(np.append(front_same, False)))
         if front:
             exact.append([p - back, p + front, q - back])
+    if exact:
+        start, _, other = exact[0]
+        runs = _extend(mine[max(0, start - REACH):start][::-1].tolist(), theirs[max(0, other - REACH):other][::-1].tolist())
+        exact = [[start - i - n, start - i, other - j - n] for i, j, n in reversed(runs)] + exact
+        stop, other = exact[-1][1], exact[-1][1] - exact[-1][0] + exact[-1][2]
+        exact += [[stop + i, stop + i + n, other + j] for i, j, n in _extend(mine[stop:stop + REACH].tolist(), theirs[other:other + REACH].tolist())]
     found: list[tuple[int, int, int, int, int]] = []
 
     between = [_common(mine[a[1]:b[0]], theirs[a[1] - a[0] + a[2]:b[2]]) for a, b in zip(exact[:-1], exact[1:], strict=True)]

@@ -137,3 +137,35 @@ def test_exact_repeats_of_the_shared_table_are_covered(spark):
             own.setdefault(gram, r["doc_id"])
         for gram, i in own.items():
             first.setdefault(gram, i)
+
+
+def test_alignment_goes_past_edits_near_its_ends():
+    mine = np.arange(200, 300)
+    theirs = mine.copy()
+    theirs[[3, 9, 15, 84, 90, 96]] = np.arange(6)
+    assert passages.align(mine, theirs, np.array([40, 50]), np.array([40, 50])) == [(0, 100, 0, 100, 94)]
+    shorter = np.delete(theirs, [7, 88])
+    assert passages.align(mine, shorter, np.array([40, 50]), np.array([39, 49])) == [(0, 100, 0, 98, 92)]
+
+
+def edited_words(run, rate, seed):
+    """``run`` with words replaced, left out or put in before others, in a share of ``rate`` of its places."""
+    pick, out = random.Random(seed), []
+    for w in run:
+        kind = pick.choice(["other", "out", "before"]) if pick.random() < rate else "same"
+        out += {"same": [w], "other": [f"e{pick.randrange(10 ** 6)}"], "out": [], "before": [f"e{pick.randrange(10 ** 6)}", w]}[kind]
+    return out
+
+
+def test_edits_at_any_place_leave_passages_whole(spark):
+    for rate, least in ((0.05, 0.95), (0.1, 0.9), (0.2, 0.6)):
+        rows, planted_at = [], {}
+        for n in range(60):
+            run = prose(2000 + n, 70).split()
+            changed = edited_words(run, rate, n)
+            rows.append((n, " ".join(prose(3000 + n, 40).split() + run + prose(4000 + n, 40).split()), "en", "s", 1))
+            rows.append((100 + n, " ".join(prose(5000 + n, 30).split() + changed + prose(6000 + n, 30).split()), "en", "s", 1))
+            planted_at[100 + n] = len(changed)
+        whole = {r["doc_id"] for r in passages.passages(frame(spark, rows)).collect()
+                 if r["n_words"] >= 0.9 * planted_at[r["doc_id"]] and r["sources"] == [r["doc_id"] - 100] and abs(r["start_word"] - 30) <= 7}
+        assert len(whole) >= least * len(planted_at), rate
