@@ -3,8 +3,10 @@
 Seeds are the k-grams of words that winnowing keeps (any run of k + w - 1
 words that two documents share has a common seed): short ones, which survive
 between the edits of a fuzzy passage, and a sparse layer of long ones, which
-tell passages apart that are made of the same few words. Each seed is joined to its
-first occurrence in the order of documents, so a seed that n documents share
+tell passages apart that are made of the same few words. Pairs of neighbouring
+short seeds are seeds too: they survive edits, and are rare enough that a fuzzy
+passage meets an earlier holder though each of its short seeds was first seen
+in some other document. Each seed is joined to its first occurrence in the order of documents, so a seed that n documents share
 makes n - 1 matches and not n * n. The matches of a document with another are
 chained: a Fenwick tree over the other document's places finds for each match
 the best chain that ends before it in both documents, where a chain's score is
@@ -37,6 +39,8 @@ from tessera.llm.shared import cut
 K, WINDOW = 5, 8
 #: A second, sparse layer of long seeds: any run of LEAST_WORDS common words has one, however often its single words recur.
 LONG_K, LONG_WINDOW = 24, 27
+#: Each short seed makes a pair with so many of the next ones: pairs meet the first document that holds both, wherever either was first seen.
+PAIRED = 2
 LEAST_WORDS, SIMILARITY = 50, 0.8
 #: Alignments with one document count from so many words (from K + 2 * WINDOW - 1 equal words on, winnowing guarantees a chain).
 LEAST_PART = 20
@@ -101,7 +105,7 @@ def fresh(hashes: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(place, hash, extent): the k-grams that winnowing keeps, of both lengths.
+    """(place, hash, extent): the k-grams that winnowing keeps, of both lengths, and pairs of neighbouring short ones.
 
     In a word or phrase that repeats itself, winnowing keeps one k-gram over
     and over. Only its first place is a seed; a repetition of
@@ -124,11 +128,16 @@ def seeds(docs: DataFrame) -> DataFrame:
                 first = fresh(h, of)
                 last = np.append(first[1:], len(at)) - 1
                 base = docs_[row:stop][of] << PLACE_BITS
-                columns = [(base[first] | (at[first] - found.first[of[first]]), h[first], np.full(len(first), K))]
+                own, key = base[first] | (at[first] - found.first[of[first]]), h[first]
+                columns = [(own, key, np.full(len(first), K))]
                 long_at, long_h = T.winnow(found, hashes, LONG_K, LONG_WINDOW, LONG_K)
                 kept = fresh(long_h, text_of[long_at])
                 long_at, long_of = long_at[kept], text_of[long_at[kept]]
                 columns.append(((docs_[row:stop][long_of] << PLACE_BITS) | (long_at - found.first[long_of]), long_h[kept], np.full(len(kept), LONG_K)))
+                for step in range(1, PAIRED + 1):
+                    near = np.flatnonzero((of[first[step:]] == of[first[:-step]]) & (at[first[step:]] - at[first[:-step]] <= LONGEST_GAP))
+                    pair = T.mix(key[near] * T.PLACE[0] + key[near + step] * T.PLACE[1])
+                    columns.append((own[near], pair, at[first[near + step]] - at[first[near]] + K))
                 for i in np.flatnonzero((last > first) & (at[last] + 2 * WINDOW + K - at[first] >= LEAST_WORDS)):
                     text = found.first[of[first[i]]], found.first[of[first[i]] + 1]
                     place, length = repetition(hashes[text[0]:text[1]], at[first[i]] - text[0], at[first[i] + 1] - text[0], at[last[i]] - text[0])
@@ -229,7 +238,7 @@ def chains(found: DataFrame) -> DataFrame:
     """(doc, other, at, other_at, extent): the seeds of each chain, as arrays, and the longest extent of them.
 
     Chains have two seeds or more, as any run of K + 2 * WINDOW - 1 common
-    words has, or one that is long or stands for a long repetition.
+    words has, or one that is long, a pair or stands for a long repetition.
 
     A pair's matches are no more than one document's seeds. Rows are dealt by
     document and read in order, one pair at a time.

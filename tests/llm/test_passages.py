@@ -169,3 +169,19 @@ def test_edits_at_any_place_leave_passages_whole(spark):
         whole = {r["doc_id"] for r in passages.passages(frame(spark, rows)).collect()
                  if r["n_words"] >= 0.9 * planted_at[r["doc_id"]] and r["sources"] == [r["doc_id"] - 100] and abs(r["start_word"] - 30) <= 7}
         assert len(whole) >= least * len(planted_at), rate
+
+
+def test_passages_whose_every_seed_was_first_seen_elsewhere(spark):
+    rows, planted_at = [], {}
+    for n in range(20):
+        run = prose(7000 + n, 70).split()
+        changed = edited_words(run, 0.08, n)
+        # an earlier document of its own for each k-gram of the second and of the third holder
+        grams = {" ".join(own[i:i + passages.K]) for own in (run, changed) for i in range(len(own) - passages.K + 1)}
+        rows += [(1000 * n + i, " ".join([prose(10 ** 6 + 1000 * n + i, 6), g, prose(2 * 10 ** 6 + 1000 * n + i, 6)]), "en", "s", 1) for i, g in enumerate(sorted(grams))]
+        rows.append((10 ** 5 + 2 * n, " ".join([prose(8000 + n, 30), *run, prose(8100 + n, 30)]), "en", "s", 1))
+        rows.append((10 ** 5 + 2 * n + 1, " ".join([prose(8200 + n, 30), *changed, prose(8300 + n, 30)]), "en", "s", 1))
+        planted_at[10 ** 5 + 2 * n + 1] = len(changed)
+    found = {r["doc_id"]: r for r in passages.passages(frame(spark, rows)).collect()}
+    whole = [i for i, n in planted_at.items() if i in found and found[i]["n_words"] >= 0.9 * n and i - 1 in found[i]["sources"]]
+    assert len(whole) >= 0.9 * len(planted_at)
