@@ -58,7 +58,7 @@ PLACE_BITS = 26
 
 
 def with_handles(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``__handle`` below 2**37 for each different (doc_id, text); null for rows without doc_id.
+    """``docs`` with a ``__handle`` below 2**37 for each different (doc_id, text), and in ``__rows`` how many rows share it; null for rows without doc_id.
 
     The doc_id itself if every row has its own of fitting size; else distinct
     pairs are numbered in order of their ids.
@@ -66,22 +66,25 @@ def with_handles(docs: DataFrame) -> DataFrame:
     have = docs.filter("doc_id IS NOT NULL")
     ids = have.groupBy("doc_id").count().agg(F.max("count"), F.min("doc_id"), F.max("doc_id")).first()
     if ids[0] is None or (ids[0] == 1 and 0 <= ids[1] and ids[2] < 1 << 37):
-        return docs.withColumn("__handle", F.col("doc_id").cast("long"))
+        return docs.withColumns({"__handle": F.col("doc_id").cast("long"), "__rows": F.lit(1).cast("long")})
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit("second"), text)})
-    distinct = keyed.filter("doc_id IS NOT NULL").select("doc_id", "__k1", "__k2").distinct()
+    distinct = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id", "__k1", "__k2").agg(F.count(F.lit(1)).alias("__rows"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(distinct.repartitionByRange(parts, "doc_id", "__k1", "__k2").withColumn("part", F.spark_partition_id()), "handles")
     totals = ranged.groupBy("part").count()
     before = totals.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
     order = W.partitionBy("part").orderBy("doc_id", "__k1", "__k2")
     numbers = ranged.withColumn("k", F.row_number().over(order) - 1).join(F.broadcast(before), "part") \
-        .select("doc_id", "__k1", "__k2", (F.col("before") + F.col("k")).alias("__handle"))
+        .select("doc_id", "__k1", "__k2", "__rows", (F.col("before") + F.col("k")).alias("__handle"))
     return keyed.join(numbers, ["doc_id", "__k1", "__k2"], "left").drop("__k1", "__k2")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.filter("__handle IS NOT NULL").select(F.col("__handle").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """(doc, text): one row for each handle; only rows that repeat are grouped."""
+    texts = docs.filter("__handle IS NOT NULL").select(F.col("__handle").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "__rows")
+    again = texts.filter("__rows > 1").groupBy("doc").agg(F.any_value("text").alias("text"))
+    return texts.filter("__rows = 1").select("doc", "text").unionByName(again)
 
 
 def repetition(words: np.ndarray, start: int, second: int, last: int) -> tuple[int, int]:

@@ -185,3 +185,10 @@ def test_passages_whose_every_seed_was_first_seen_elsewhere(spark):
     found = {r["doc_id"]: r for r in passages.passages(frame(spark, rows)).collect()}
     whole = [i for i, n in planted_at.items() if i in found and found[i]["n_words"] >= 0.9 * n and i - 1 in found[i]["sources"]]
     assert len(whole) >= 0.9 * len(planted_at)
+
+
+def test_repeated_rows_of_more_than_a_block_are_one_document(spark):
+    long = prose(9000, 700).split()
+    rows = [(1, " ".join(long), "en", "s", 1)] * 3 + [(2, " ".join(prose(9001, 20).split() + long[100:640]), "en", "s", 1)] * 2 + [(3, " ".join(long), "en", "s", 1)]
+    got = sorted((r["doc_id"], r["start_word"], r["n_words"], r["similarity"], r["sources"]) for r in passages.passages(frame(spark, rows)).collect())
+    assert got == [(2, 20, 540, 1.0, [1]), (3, 0, 700, 1.0, [1])]
