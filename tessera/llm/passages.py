@@ -49,7 +49,7 @@ GAP_COST, LONGEST_GAP = 0.1, 32
 #: Words beyond a chain's outer seeds that the alignment may reach: there, seeds may have been first seen elsewhere, or edits left none.
 REACH = 64
 #: How far the score of equal words less edits may fall beyond a chain's ends before the alignment stops.
-DROP = 8
+DROP = 6
 BLOCK = 256
 #: Parts of one document that lie so close are one passage.
 TOUCH = 2

@@ -163,12 +163,14 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     n = len(values) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    low, at = values[:n].copy(), np.zeros(n, dtype=np.int16 if w < 1 << 15 else np.int64)
-    for j in range(1, w):
-        other = values[j:j + n]
-        less = other < low
-        np.copyto(low, other, where=less)
-        at[less] = j
+    # windows of doubling size, of which the last two overlap
+    low, at, size = values, np.zeros(len(values), dtype=np.int16 if w < 1 << 15 else np.int64), 1
+    while size < w:
+        step = min(size, w - size)
+        left, right = low[:-step], low[step:]
+        less = right < left
+        low, at = np.where(less, right, left), np.where(less, at[step:] + at.dtype.type(step), at[:-step])
+        size += step
     return np.arange(n) + at
 
 
