@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tessera.llm.shared import small_batches
+from tessera.llm.shared import cut, small_batches
+
+#: Texts above this part of a target's bytes are taken last, so that none of them crowds out the others.
+LONG_PART = 32
 
 
 def order_hash(doc_id) -> F.Column:
@@ -20,8 +23,9 @@ def sample_texts(docs: DataFrame, targets: DataFrame, max_docs: int, max_bytes:
 
     ``targets`` is (doc_id, target 0/1) with one row per doc_id. n_target
     counts all rows of that target, so a caller can weigh the sample back to
-    its population. Within a target the rows of least hash are taken, then
-    cut where the running size passes the limit; texts themselves stay whole.
+    its population. Within a target the rows of least hash are picked; of them,
+    those that fit are taken (see ``fitting``); texts themselves stay whole. Of
+    rows that share a doc_id the smallest text counts.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -37,15 +41,29 @@ def sample_texts(docs: DataFrame, targets: DataFrame, max_docs: int, max_bytes:
     for side in sides[1:]:
         chosen = chosen.unionByName(side)
     picked = spark.createDataFrame(chosen.toPandas(), "doc_id long, target int, h long")  # bounded by max_docs
-    sized = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes")) \
-        .join(F.broadcast(picked), "doc_id").toPandas()
-    sized = sized.drop_duplicates("doc_id").sort_values(["h", "doc_id"])
-    sized["before"] = sized.groupby("target")["bytes"].cumsum() - sized["bytes"]
-    sized = sized[(sized["before"] + sized["bytes"] <= max_bytes // 2) | (sized["before"] == 0) & (sized["bytes"] <= 4 * max_bytes)]
-    if sized.empty:
-        return pd.DataFrame({"doc_id": [], "target": [], "text": [], "n_target": []})
-    ids = spark.createDataFrame(sized[["doc_id", "target"]], "doc_id long, target int")
-    one = W.partitionBy("doc_id").orderBy("text")
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id") \
-        .withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k").toPandas().sort_values("doc_id", ignore_index=True)
+    # one row per picked doc_id, reduced before it is dealt: at most max_docs texts
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+                .groupBy("doc_id", "target", "h").agg(F.min("text").alias("text")), "sample")
+    sized = texts.select("doc_id", "target", "h", F.octet_length("text").alias("bytes")).toPandas().sort_values(["h", "doc_id"])
+    taken = [rows["doc_id"].to_numpy()[fitting(rows["bytes"].to_numpy(), max_bytes // 2, 4 * max_bytes)] for _, rows in sized.groupby("target")]
+    ids = spark.createDataFrame(pd.DataFrame({"doc_id": np.concatenate(taken) if taken else []}), "doc_id long")
+    got = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "target", "text").toPandas().sort_values("doc_id", ignore_index=True)
     return got.assign(n_target=got["target"].map(totals))
+
+
+def fitting(sizes: np.ndarray, most: int, longest: int) -> np.ndarray:
+    """Places of the texts, of these sizes and in this order, that are taken into ``most`` bytes.
+
+    A text that doesn't fit is left out and the next one tried. Those of at
+    most ``most / LONG_PART`` bytes come first, then the longer ones. If none
+    fits, the smallest is taken alone, up to ``longest`` bytes.
+    """
+    taken, left = [], most
+    short = sizes <= most // LONG_PART
+    for i in np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)]):
+        if sizes[i] <= left:
+            taken.append(i)
+            left -= sizes[i]
+    if not taken and len(sizes) and sizes.min() <= longest:
+        taken = [int(sizes.argmin())]
+    return np.sort(np.array(taken, dtype=np.int64))

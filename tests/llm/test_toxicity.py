@@ -3,10 +3,11 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import toxicity
+from tessera.llm import samples, toxicity
 from tessera.llm.queries import queries
 from tests.llm.helpers import SF01, frame, odd_rows, prose
 
@@ -80,3 +81,22 @@ def test_query(spark):
     pairs = [(got[a]["score"], got[b]["score"]) for a, x in labels.items() for b, y in labels.items() if x == 1 and y == 0 and held_out(a) and held_out(b)]
     # 6 toxic rows of three languages are held out here, about 40 teach
     assert sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs) > 0.85
+
+
+def test_one_long_text_does_not_crowd_out_the_sample(spark):
+    rows = [(i, prose(i, 30), "en", "s", 1) for i in range(200)]
+    ordered = [r["doc_id"] for r in frame(spark, rows).orderBy(samples.order_hash("doc_id"), "doc_id").select("doc_id").collect()]
+    for place in (0, 3):
+        long = ordered[place]
+        docs = [(i, t if i != long else prose(5, 30_000), "en", "s", 1) for i, t, *_ in rows] + [(ordered[7], "zz " * 20, "en", "s", 1)] * 40
+        targets = spark.createDataFrame([(i, int(i == ordered[-1])) for i, *_ in rows], "doc_id long, target int")
+        for limit in (120_000, 300_000):  # the long text has about 180 000 bytes
+            got = samples.sample_texts(frame(spark, docs), targets, 1000, limit)
+            assert set(got["doc_id"]) == set(ordered) - {long} and len(got) == 199
+            assert got.set_index("doc_id")["text"][ordered[7]] == rows[ordered[7]][1] and set(got["n_target"]) == {1, 199}
+
+
+def test_the_smallest_of_texts_that_do_not_fit_is_taken():
+    take = lambda *sizes: samples.fitting(np.array(sizes, dtype=np.int64), 100, 800).tolist()
+    assert take() == [] and take(300, 200) == [1] and take(900) == [] and take(900, 300) == [1]
+    assert take(90, 1, 200, 2, 3) == [0, 1, 3, 4] and take(98, 1, 2, 3) == [1, 2, 3] and take(60, 60, 40) == [0, 2]
