@@ -5,8 +5,8 @@ its first 4 and first 5 bytes (so inflected forms share evidence). Filters of
 widths 1, 2 and 3 run over the whole text; each filter's largest response is
 kept (max pooling) and a logistic layer makes the score. Training runs on the
 driver over a bounded sample (``MAX_DOCS``, ``MAX_BYTES``); scoring runs where
-the texts are, over all of them. Thresholds are set for each language on part
-of the training rows; they turn scores into decisions and are no input of them.
+the texts are, over all of them. Thresholds are set for each language on all
+labelled rows that weren't trained on; they turn scores into decisions and are no input of them.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.samples import sample_texts
+from tessera.llm.shared import cut
 
 BUCKETS = 1 << 15
 PREFIXES = (None, 4, 5)
@@ -30,6 +31,8 @@ MAX_DOCS, MAX_BYTES = 6000, 16_000_000
 STEPS, RATE, BATCH = 900, 0.02, 32
 #: Prior documents behind each bucket's first estimate.
 PRIOR = 2.0
+#: Steps in which scores are counted for the thresholds.
+BINS = 1 << 12
 #: A language gets its own threshold from so many calibration rows of either class.
 LEAST_ROWS = 10
 
@@ -161,15 +164,17 @@ def _train(texts: list[np.ndarray], target: np.ndarray, weight: np.ndarray, seed
     return model
 
 
-def _best_threshold(scores: np.ndarray, target: np.ndarray) -> float:
-    """The middle between two neighbouring scores that gives the best F1."""
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], target[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(len(y)) + 1 + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    k = int(f1.argmax())
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+def _best_threshold(counts: np.ndarray) -> float:
+    """The score that gives the best F1, from (target, bin) counts or weights of scores in ``BINS`` equal steps.
+
+    It lies in the middle between the lowest rejected bin and the next lower bin with rows.
+    """
+    hits, all_ = (np.cumsum(x[::-1]) for x in (counts[1], counts.sum(axis=0)))
+    used = np.flatnonzero(counts.sum(axis=0)[::-1])
+    best = int((2 * hits[used] / (all_[used] + counts[1].sum())).argmax())
+    low = BINS - 1 - used[best]
+    below = BINS - 1 - used[best + 1] + 1 if best + 1 < len(used) else 0
+    return float((low + below) / 2 / BINS)
 
 
 def not_held_out(doc_id) -> F.Column:
@@ -177,19 +182,50 @@ def not_held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+def _calibrate(model: Model, docs: DataFrame, target: DataFrame, fitted: DataFrame) -> None:
+    """Set the model's thresholds from the scores of all rows of ``target`` (doc_id, target) that aren't ``fitted`` (doc_id).
+
+    Spark counts scores by language, target and bin. Each class weighs as it
+    does among all rows of ``target``, since the fitted rows were drawn evenly
+    from both. Of rows that share a doc_id one counts.
+    """
+    text = F.col("text").cast("string")
+    each = docs.filter(F.col("doc_id").isNotNull() & not_held_out(F.col("doc_id"))) \
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64(text).alias("h"), scores(text, model).alias("score"), "lang").alias("x"))
+    scored = each.groupBy("doc_id").agg(F.min("x").alias("x"))
+    step = F.least(F.floor(F.col("x.score") * BINS), F.lit(BINS - 1)).cast("int")
+    got = scored.join(target, "doc_id").join(F.broadcast(fitted), "doc_id", "left_anti") \
+        .groupBy(F.col("x.lang").alias("lang"), "target", step.alias("step")).count().toPandas()
+    totals = {r["target"]: r["count"] for r in target.groupBy("target").count().collect()}
+    seen = got.groupby("target")["count"].sum()
+    if len(seen) < 2:
+        return
+
+    def best(rows) -> float:
+        counts = np.zeros((2, BINS))
+        np.add.at(counts, (rows["target"].to_numpy(), rows["step"].to_numpy()), rows["count"].to_numpy(dtype=np.float64))
+        return _best_threshold(counts * [[totals[y] / seen[y]] for y in (0, 1)])
+
+    model.threshold = best(got)
+    for name, rows in got.groupby("lang"):  # without rows whose lang is null
+        sizes = rows.groupby("target")["count"].sum()
+        if len(sizes) == 2 and sizes.min() >= LEAST_ROWS:
+            model.thresholds[name] = best(rows)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, seed: int = 7) -> Model | None:
     """Train on ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text, lang).
 
-    Only ids outside the held-out fold are used. Ids labelled twice count as
+    Only ids outside the held-out fold are used; a fifth of the sample and all
+    that aren't in it set the thresholds. Ids labelled twice count as
     toxic if one label says so. None if there are not two classes to learn.
     """
     target = labels.filter(not_held_out(F.col("doc_id")) & F.col("toxic").isNotNull()) \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("target"))
+    target = cut(target, "targets")
     got = sample_texts(docs, target, max_docs, max_bytes)
     if len(set(got["target"])) < 2:
         return None
-    langs = docs.select("doc_id", "lang").join(F.broadcast(docs.sparkSession.createDataFrame(got[["doc_id"]], "doc_id long")), "doc_id") \
-        .groupBy("doc_id").agg(F.min("lang").alias("lang")).toPandas().set_index("doc_id")["lang"]
     y = got["target"].to_numpy(dtype=np.int64)
     texts = []
     for _, _, found in W.chunks(pa.array(got["text"], type=pa.string())):
@@ -198,19 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes:
     # each class weighs as in the population, so 0.5 is the even bet there
     weight = (got["n_target"] / got.groupby("target")["doc_id"].transform("count")).to_numpy(dtype=np.float64)
     weight /= weight.mean()
-    order = np.random.default_rng(seed).permutation(len(y))
-    part, rest = order[:len(y) // 5], order[len(y) // 5:]
+    rest = np.random.default_rng(seed).permutation(len(y))[len(y) // 5:]
     if len(set(y[rest])) < 2:
-        rest = order
+        rest = np.arange(len(y))
     model = _train([texts[i] for i in rest], y[rest], weight[rest], seed)
-    if len(part) and len(set(y[part])) == 2:
-        scores = np.concatenate([_sigmoid(model.logits(texts[i], np.array([0, len(texts[i])])).astype(np.float64)) for i in part])
-        model.threshold = _best_threshold(scores, y[part])
-        lang = got["doc_id"].map(langs).to_numpy()[part]
-        for name in sorted({x for x in lang if isinstance(x, str)}):
-            own = lang == name
-            if min(y[part][own].sum(), (1 - y[part][own]).sum()) >= LEAST_ROWS:
-                model.thresholds[name] = _best_threshold(scores[own], y[part][own])
+    _calibrate(model, docs, target, docs.sparkSession.createDataFrame(got.iloc[rest][["doc_id"]], "doc_id long"))
     return model
 
 

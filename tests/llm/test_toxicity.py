@@ -100,3 +100,28 @@ def test_the_smallest_of_texts_that_do_not_fit_is_taken():
     take = lambda *sizes: samples.fitting(np.array(sizes, dtype=np.int64), 100, 800).tolist()
     assert take() == [] and take(300, 200) == [1] and take(900) == [] and take(900, 300) == [1]
     assert take(90, 1, 200, 2, 3) == [0, 1, 3, 4] and take(98, 1, 2, 3) == [1, 2, 3] and take(60, 60, 40) == [0, 2]
+
+
+def test_thresholds_hold_for_the_population_not_for_the_even_sample(spark):
+    pick = random.Random(4)
+    rows, labels = [], []
+    for i in range(4000):
+        bad = i % 10 == 0
+        text = [f"plain{pick.randrange(60)}" for _ in range(25)]
+        for word, often in (("mildword", 0.9 if bad else 0.15), ("zwofnik", 0.6 if bad else 0.005)):
+            if pick.random() < often:
+                text.insert(pick.randrange(25), word)
+        rows.append((i, " ".join(text), "en", "s", 1))
+        labels.append((i, 1, int(bad)))
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_docs=500)
+    rejected = {r["doc_id"] for r in toxicity.classify(docs, model).collect() if r["rejected"]}
+    # the mild word alone is worth a rejection only where half of all documents are toxic
+    assert sum(i % 10 > 0 for i in rejected) < 0.04 * 3600 and sum(i % 10 == 0 for i in rejected) > 0.5 * 400
+
+
+def test_best_threshold_of_binned_scores():
+    counts = np.zeros((2, toxicity.BINS))
+    counts[0, [100, 200, 300]], counts[1, [200, 1000]] = [50, 5, 1], [1, 9]
+    # from bin 1000: F1 18/19; from 300: 18/20; from 200: 20/26
+    assert toxicity._best_threshold(counts) == (1000 + 301) / 2 / toxicity.BINS
