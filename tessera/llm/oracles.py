@@ -78,6 +78,31 @@ WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM q LEFT JOIN f USING (host, path)
 """
 
+OP12 = r"""
+WITH p AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     pieces AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     ws AS (SELECT id, lang, unnest(w) AS w1, unnest(range(len(w))) AS place FROM pieces),
+     t AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM ws WINDOW o AS (PARTITION BY id ORDER BY place)),
+     f AS (SELECT lang, 1 AS k, w1 AS phrase, CAST(count(*) AS HUGEINT) AS f FROM t GROUP BY lang, w1
+           UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM t WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+           UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM t WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3),
+     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+     c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+     cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+     s AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, cut, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+                     JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(list_slice(w, cut + 1, cuts.k), ' ')),
+     best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
+     gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN
+                (SELECT lang, a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS part FROM c WHERE k = 3) t
+                ON t.lang = c.lang AND t.part = c.phrase AND 100 * t.a >= 50 * c.a),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+                FROM best ANTI JOIN gone USING (lang, phrase) WHERE nth = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": OP1, "op3_decontamination": OP3, "op5_topk": OP5, "op7_url_rules": OP7}
+    return {"op1_licenses": OP1, "op3_decontamination": OP3, "op5_topk": OP5, "op7_url_rules": OP7, "op12_collocations": OP12}
