@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses
+from tessera.llm import chat, licenses
 
 #: Words of a text (nulls and wordless texts give none).
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -103,6 +103,20 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(
 FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
 
+_PROBE_ROWS = ", ".join(f"({c}, {t}, '{role}', '{text}')" for c, t, role, text in chat.PROBE)
+_ESCAPED = f"""replace(replace(replace(%s, '\\', '\\\\'), '{chat.OPENER}', '\\{chat.OPENER}'), '{chat.CLOSER}', '\\{chat.CLOSER}')"""
+_ESCAPED_ROLE = f"replace({_ESCAPED % 'role'}, '{chat.DIVIDER}', '\\{chat.DIVIDER}')"
+
+OP13 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {_PROBE_ROWS}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = '{chat.LEARNT}'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{chat.LEARNT}'), '')) AS loss_sha256,
+       CAST(sum({len(chat.OPENER + chat.DIVIDER + chat.CLOSER) + 1} + length({_ESCAPED_ROLE}) + length({_ESCAPED % 'text'})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": OP1, "op3_decontamination": OP3, "op5_topk": OP5, "op7_url_rules": OP7, "op12_collocations": OP12}
+    return {"op1_licenses": OP1, "op3_decontamination": OP3, "op5_topk": OP5, "op7_url_rules": OP7, "op12_collocations": OP12, "op13_chat": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import collocations, decontamination, language, licenses, oracles, packing, passages, periodic, quality, simhash, topk, toxicity, url_rules
+from tessera.llm import chat, collocations, decontamination, language, licenses, oracles, packing, passages, periodic, quality, simhash, topk, toxicity, url_rules
 from tessera.llm.shared import table
 
 
@@ -79,9 +79,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.ranked(table(spark, sf_dir, "documents"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.formatted(turns.unionByName(probe)))
+
+
 def queries() -> dict:
     return {"op1_licenses": op1_licenses, "op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op4_passages": op4_passages, "op5_topk": op5_topk, "op6_language": op6_language, "op7_url_rules": op7_url_rules, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity,
-            "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op12_collocations": op12_collocations}
+            "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op12_collocations": op12_collocations, "op13_chat": op13_chat}
 
 
 def oracle_sql() -> dict[str, str]:
