@@ -53,6 +53,10 @@ DROP = 6
 BLOCK = 256
 #: Parts of one document that lie so close are one passage.
 TOUCH = 2
+#: An island made of parts from more documents than this is a passage only if LEAST_WORDS of it are from one of them.
+MOST_SOURCES = 2
+#: Seeds that at least this share of a sample of documents hold are dealt to several tasks.
+HOT_SAMPLE, HOT_SHARE, HOT_SEEDS = 2000, 0.01, 1000
 #: A seed's place is one long: the document's handle above the word's number.
 PLACE_BITS = 26
 
@@ -174,15 +178,54 @@ def blocks(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc long, block int, words binary")
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """(doc, other, at, other_at, extent): each seed with its first occurrence, if that is in another document."""
-    # a table, so that Spark can split the occurrences of a frequent seed in the join
-    first = cut(found.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-                .filter(F.shiftright("first", PLACE_BITS) < F.shiftright("last", PLACE_BITS)).select("hash", "first"), "first-seeds")
-    mask = F.lit((1 << PLACE_BITS) - 1)
-    return found.join(first, "hash").select(
+def frequent(docs: DataFrame) -> list[int]:
+    """Hashes of the seeds that many documents share: ``HOT_SEEDS`` at most, from a sample of about ``HOT_SAMPLE`` documents.
+
+    They only say which seeds are dealt to several tasks; no result depends on them.
+    """
+    every = max(1, docs.count() // HOT_SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("__handle"), F.lit(every)) == 0)
+    found = seeds(some).groupBy("hash").count().filter(F.col("count") >= HOT_SHARE * HOT_SAMPLE).orderBy(F.desc("count"), "hash").limit(HOT_SEEDS)
+    return [row["hash"] for row in found.collect()]
+
+
+def matches(found: DataFrame, hot: list[int]) -> DataFrame:
+    """(doc, other, at, other_at, extent): each seed with its first occurrence, if that is in another document.
+
+    All seeds go through one exchange: dealt by hash, sorted by hash and place and read in order, so the first row of a hash is its first
+    occurrence. Only matches leave that pass. Seeds in ``hot`` are dealt by document as well and pass through unmatched; the first
+    occurrence of each, one row a seed, is then joined to them.
+    """
+    mask = (1 << PLACE_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_hash, last_first = None, 0
+        listed = np.array(sorted(hot), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, place, extent = (batch.column(i).to_numpy() for i in range(3))
+            new = np.append(last_hash is None or key[0] != last_hash, key[1:] != key[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            first = np.where(at >= 0, place[at], last_first)
+            last_hash, last_first = key[-1], first[-1]
+            free = np.isin(key, listed)
+            out = np.flatnonzero(free | (first >> PLACE_BITS != place >> PLACE_BITS))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place[out]), pa.array(np.where(free, 0, first)[out], mask=free[out]), pa.array(key[out], mask=~free[out]), pa.array(extent[out])],
+                names=["place", "first", "hash", "extent"])
+
+    spread = F.when(F.col("hash").isin(hot), F.pmod(F.xxhash64("place"), F.lit(1024))).otherwise(0) if hot else F.lit(0)
+    dealt = found.select("hash", "place", "extent").repartition("hash", spread).sortWithinPartitions("hash", "place")
+    met = cut(dealt.mapInArrow(run, "place long, first long, hash long, extent int"), "matches")
+    known = met.filter("first IS NOT NULL").select("place", "first", "extent")
+    if hot:
+        shared = met.filter("first IS NULL").select("place", "hash", "extent")
+        firsts = shared.groupBy("hash").agg(F.min("place").alias("first"))  # HOT_SEEDS rows at most
+        known = known.unionByName(shared.join(F.broadcast(firsts), "hash").select("place", "first", "extent"))
+    return known.select(
         F.shiftright("place", PLACE_BITS).alias("doc"), F.shiftright("first", PLACE_BITS).alias("other"),
-        F.col("place").bitwiseAND(mask).cast("int").alias("at"), F.col("first").bitwiseAND(mask).cast("int").alias("other_at"),
+        F.col("place").bitwiseAND(F.lit(mask)).cast("int").alias("at"), F.col("first").bitwiseAND(F.lit(mask)).cast("int").alias("other_at"),
         "extent").filter("doc <> other")
 
 
@@ -412,25 +455,30 @@ def parts(linked: DataFrame, words: DataFrame) -> DataFrame:
         .mapInArrow(run, "doc long, start long, stop long, other long, other_start long, other_stop long, matches long")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, most_sources: int = MOST_SOURCES) -> DataFrame:
     """(handle, start, stop, similarity, others): passages of a document that occur in earlier ones (see ``with_handles``).
 
     start and stop are word numbers (stop exclusive), others the handles of the
-    documents where the passage's parts were first seen, in order.
+    documents where the passage's parts were first seen, in order. Frequent
+    lines in a new order are no passage: parts from more than ``most_sources``
+    documents count only if one of these holds ``LEAST_WORDS`` words of them.
     """
-    found = parts(cut(chains(matches(seeds(docs))), "chains"), blocks(docs))
+    found = parts(cut(chains(matches(seeds(docs), frequent(docs))), "chains"), blocks(docs))
     order = W.partitionBy("doc").orderBy("start", "stop", "other")
     reached = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = found.withColumn("new", F.coalesce((F.col("start") > reached + TOUCH).cast("int"), F.lit(1))) \
         .withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return islands.groupBy("doc", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"),
-        (F.sum("matches") / F.sum(F.greatest(F.col("stop") - F.col("start"), F.col("other_stop") - F.col("other_start")))).alias("similarity"),
-        F.array_sort(F.collect_set("other")).alias("others")) \
-        .filter(F.col("stop") - F.col("start") >= LEAST_WORDS).select(F.col("doc").alias("handle"), "start", "stop", "similarity", "others")
+    by_source = islands.groupBy("doc", "island", "other").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(F.col("stop") - F.col("start")).alias("words"), F.sum("matches").alias("matches"),
+        F.sum(F.greatest(F.col("stop") - F.col("start"), F.col("other_stop") - F.col("other_start"))).alias("compared"))
+    return by_source.groupBy("doc", "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.sum("matches") / F.sum("compared")).alias("similarity"),
+        F.array_sort(F.collect_list("other")).alias("others"), F.max("words").alias("from_one")) \
+        .filter((F.col("stop") - F.col("start") >= LEAST_WORDS) & ((F.size("others") <= most_sources) | (F.col("from_one") >= LEAST_WORDS))) \
+        .select(F.col("doc").alias("handle"), "start", "stop", "similarity", "others")
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, most_sources: int = MOST_SOURCES) -> DataFrame:
     """One row for each repeated passage: doc_id, start_word, n_words, similarity, sources.
 
     ``docs`` needs doc_id and text; other columns are ignored. A passage is
@@ -439,9 +487,10 @@ def passages(docs: DataFrame) -> DataFrame:
     order of doc_id; rows with equal doc_id and text are one document, rows
     with equal doc_id and other texts are different ones. Rows without doc_id
     and texts of fewer than 50 words have no passages; so have empty tables.
+    ``most_sources``: see ``repeated``.
     """
     own = with_handles(docs.select("doc_id", "text"))
-    found = repeated(own)
+    found = repeated(own, most_sources)
     ids = own.filter("__handle IS NOT NULL").select(F.col("__handle").alias("handle"), "doc_id").distinct()
     named = found.select("handle", "start", "stop", "similarity", F.explode("others").alias("other")) \
         .join(ids.withColumnRenamed("handle", "other").withColumnRenamed("doc_id", "source"), "other") \
@@ -449,14 +498,15 @@ def passages(docs: DataFrame) -> DataFrame:
     return named.join(ids, "handle").select("doc_id", F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), "similarity", "sources")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, most_sources: int = MOST_SOURCES) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` (and n_chars, if there, counted anew).
 
     The first document keeps a passage. A document that has no word left is
     dropped; texts without repeated passages stay as they are, byte for byte.
+    ``most_sources``: see ``repeated``.
     """
     own = with_handles(docs)
-    spans = repeated(own).groupBy(F.col("handle").alias("__handle")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
+    spans = repeated(own, most_sources).groupBy(F.col("handle").alias("__handle")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
 
     @F.arrow_udf("string")
     def remove(texts: pa.Array, found: pa.Array) -> pa.Array:

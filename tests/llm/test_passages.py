@@ -192,3 +192,26 @@ def test_repeated_rows_of_more_than_a_block_are_one_document(spark):
     rows = [(1, " ".join(long), "en", "s", 1)] * 3 + [(2, " ".join(prose(9001, 20).split() + long[100:640]), "en", "s", 1)] * 2 + [(3, " ".join(long), "en", "s", 1)]
     got = sorted((r["doc_id"], r["start_word"], r["n_words"], r["similarity"], r["sources"]) for r in passages.passages(frame(spark, rows)).collect())
     assert got == [(2, 20, 540, 1.0, [1]), (3, 0, 700, 1.0, [1])]
+
+
+def test_frequent_lines_in_a_new_order_are_no_passage(spark):
+    lines = [prose(9100 + n, 25) for n in range(3)]
+    rows = [(n, " ".join([prose(9200 + n, 30), line, prose(9300 + n, 30)]), "en", "s", 1) for n, line in enumerate(lines)]
+    rows.append((9, " ".join([prose(9400, 30), lines[2], lines[0], lines[1], prose(9401, 30)]), "en", "s", 1))
+    docs = frame(spark, rows)
+    assert passages.passages(docs).collect() == []
+    assert [r["text"] for r in passages.without_repeats(docs).orderBy("doc_id").collect()] == [r[1] for r in rows]
+    assert [(r["doc_id"], r["n_words"], r["sources"]) for r in passages.passages(docs, most_sources=3).collect()] == [(9, 75, [0, 1, 2])]
+
+
+def test_frequent_seeds_are_matched_the_same_when_spread(spark, monkeypatch):
+    shared, other = prose(9500, 60), prose(9501, 70)
+    rows = [(n, " ".join([prose(9600 + n, 20), shared if n % 3 else other, prose(9700 + n, 20)]), "en", "s", 1) for n in range(90)]
+    docs = frame(spark, rows)
+    own = passages.with_handles(docs)
+    hot = passages.frequent(own)
+    assert hot
+    plain = lambda which: sorted(map(tuple, passages.matches(passages.seeds(own), which).collect()))
+    assert plain(hot) == plain([]) == plain(hot[:3])
+    got = passages.passages(docs).collect()
+    assert {r["doc_id"] for r in got} == set(range(90)) - {0, 1} and all((1 if r["doc_id"] % 3 else 0) in r["sources"] for r in got)
