@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import poisson1_sql, uniform_sql
-from tessera.operators.prefix import running_totals, with_ranges
-from tessera.session import materialize
+from tessera.operators.bootstrap import replicate_auc, replicate_f1
+from tessera.operators.prefix import running_totals
 
 DOUBLE_EPS = 2.220446049250313e-16
 # fixed values: the names of the study's metrics, in its order
@@ -139,7 +139,7 @@ def roc_curve(pred: DataFrame, by: list[str], y: str = "y", score: str = "score"
 
 
 def _replicated(rows: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """Each row once for each replicate ``__b`` with its weight ``__w``.
+    """The plain form of the bootstrap's weights, for small inputs: each row once for each replicate ``__b`` with its weight ``__w``.
 
     Zero weights stay: a filter would make Catalyst inline the md5 uniform
     into every branch of the weight's CASE.
@@ -149,41 +149,6 @@ def _replicated(rows: DataFrame, key: str, replicates: int, seed: int) -> DataFr
                 .withColumn("__u", F.expr(u)).withColumn("__w", F.expr(poisson1_sql("__u")).cast("double")).drop("__u"))
 
 
-def _replicate_auc(pred: DataFrame, by: list[str], key: str, y: str, score: str, replicates: int, seed: int) -> DataFrame:
-    """(by..., __b, v): ROC-AUC of each replicate that has both classes.
-
-    Rows are dealt once, by ranges of (group, score, hash of key); replicates
-    are expanded, summed to score levels and ranked inside a range, without
-    another exchange. A range gives, for each replicate, its positives P, its
-    negatives N and the U statistic of its own pairs; P times the negatives of
-    the ranges before adds the pairs across ranges. Ranges may share a score
-    (many ties do not make one large range): such pairs count a half, which is
-    put right from the first and last level of each range.
-    """
-    rows = pred.select(*by, key, y, F.col(score).cast("double").alias("__s"))
-    dealt = with_ranges(rows, by, ["__s", F.xxhash64(F.col(key).cast("string"))]).repartition("__group", "__range")
-    where = ["__group", "__range", "__b"]
-    yy, w = F.col(y).cast("int"), F.col("__w")
-    levels = _replicated(dealt, key, replicates, seed).groupBy(*by, *where, "__s").agg(
-        F.sum(F.when(yy == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(yy == 0, w).otherwise(0.0)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*where).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    level = F.struct("__s", "pos", "neg")
-    # one row for each range and replicate; read twice below
-    ranges = materialize(levels.withColumn("__below", below).groupBy(*by, *where).agg(
-        F.sum(F.col("pos") * (F.col("__below") + F.col("neg") * 0.5)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"),
-        F.min(level).alias("first"), F.max(level).alias("last")))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("__group", "__b").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    pairs = ranges.select(*by, "__b", (F.col("u") + F.col("p") * before).alias("u"), "p", "n")
-    edges = ranges.select(*by, *where, F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select(*by, *where, "e.*")
-    earlier = F.coalesce(F.sum("neg").over(Window.partitionBy("__group", "__b", "__s").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ties = edges.withColumn("__counted", F.col("pos") * F.col("neg") * 0.5 + F.col("pos") * earlier).groupBy(*by, "__b", "__s").agg(
-        (F.sum("pos") * F.sum("neg") * 0.5 - F.sum("__counted")).alias("u"))
-    zero = F.lit(0.0)
-    total = pairs.unionByName(ties.select(*by, "__b", "u", zero.alias("p"), zero.alias("n"))).groupBy(*by, "__b").agg(
-        F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return total.where((F.col("p") > 0) & (F.col("n") > 0)).select(*by, "__b", (F.col("u") / (F.col("p") * F.col("n"))).alias("v"))
-
-
 def bootstrap_ci(pred: DataFrame, by: list[str], key: str, y: str = "y", score: str = "score",
                  metric: str = "f1", replicates: int = 200, seed: int = 42, threshold: float = 0.5,
                  lower: float = 0.025, upper: float = 0.975) -> DataFrame:
@@ -191,24 +156,16 @@ def bootstrap_ci(pred: DataFrame, by: list[str], key: str, y: str = "y", score:
 
     Poisson(1) bootstrap: replicate b gives each row weight Poisson(1) drawn
     from md5(key, b, seed) -- the same weights for every model (paired), and
-    identical after retries. Rows are expanded by the replicate count where
-    they are: for F1 they are summed map-side into the cells of a replicate,
-    for AUC they are first dealt by ranges of the score (see
-    ``_replicate_auc``). So the shuffle is at most rows + replicates x ranges,
-    whatever the scores. AUC replicates with a single class are skipped. Intervals use linear-interpolated percentiles over the (bounded)
-    replicate values of each group.
+    identical after retries. Replicates are vectors all the way (see
+    ``bootstrap``): no row is expanded. AUC replicates with a single class are
+    skipped; rows without a key share one weight vector. Intervals use
+    linear-interpolated percentiles over the (bounded) replicate values of
+    each group.
     """
-    keys = [*by, "__b"]
     if metric == "f1":
-        yy = F.col(y).cast("int")
-        hit = F.col(score) >= F.lit(threshold)
-        per = _replicated(pred.select(*by, key, y, score), key, replicates, seed).groupBy(*keys).agg(
-            F.sum(F.when((yy == 1) & hit, F.col("__w")).otherwise(0.0)).alias("tp"),
-            F.sum(F.when((yy == 0) & hit, F.col("__w")).otherwise(0.0)).alias("fp"),
-            F.sum(F.when((yy == 1) & ~hit, F.col("__w")).otherwise(0.0)).alias("fn"))
-        values = per.select(*keys, _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("v"))
+        values = replicate_f1(pred, by, key, y, score, threshold, replicates, seed)
     elif metric == "roc_auc":
-        values = _replicate_auc(pred, by, key, y, score, replicates, seed)
+        values = replicate_auc(pred, by, key, y, score, replicates, seed)
     else:
         raise ValueError(f"unsupported bootstrap metric {metric}")
     return values.groupBy(*by).agg(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import numpy as np
+import pytest
 
 from tessera.operators import metrics, profile
 
@@ -85,3 +86,34 @@ def test_bootstrap_auc_is_the_same_however_rows_are_cut(spark):
             values.append(u / (p["__w"].sum() * n["__w"].sum()))
         low, high = np.percentile(values, [2.5, 97.5])
         assert abs(got[model][0] - low) < 1e-12 and abs(got[model][1] - high) < 1e-12 and got[model][2] == 20
+
+
+def test_bootstrap_f1_equals_its_plain_form(spark):
+    rows = [(f"m{i % 2}" if i % 7 else None, f"k{i // 2}" if i % 11 else "", i % 3 == 0, None if i % 13 == 0 else (i * 37 % 100) / 100) for i in range(300)]
+    df = spark.createDataFrame([(m, k, int(y), s) for m, k, y, s in rows], "model string, key string, y int, score double")
+    got = {r["model"]: (r["lower"], r["upper"], r["replicates"]) for r in metrics.bootstrap_ci(df, ["model"], "key", metric="f1", replicates=17, seed=5).collect()}
+    reps = metrics._replicated(df, "key", 17, 5).toPandas()
+    for model, own in reps.groupby("model", dropna=False):
+        values = []
+        for _, r in own.groupby("__b"):
+            hit, miss = r.score >= 0.5, r.score < 0.5
+            tp, fp, fn = (r[m]["__w"].sum() for m in ((r.y == 1) & hit, (r.y == 0) & hit, (r.y == 1) & miss))
+            values.append(2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0.0)
+        name = None if model != model else model
+        assert got[name][:2] == pytest.approx((np.quantile(values, 0.025), np.quantile(values, 0.975))) and got[name][2] == 17
+
+
+def test_bootstrap_weights_pack_and_chunk(spark, monkeypatch):
+    from tessera.operators import bootstrap
+    for n in (1, 2, 7):
+        weights = bootstrap.Weights(n, 42)
+        drawn = weights.drawn([str(i) for i in range(50)])
+        drawn[3, 0] = 17
+        cells = [weights.packed(r) for r in drawn]
+        assert (weights.unpacked(cells) == drawn).all() and (weights.unpacked(cells[:3]) == drawn[:3]).all()
+    df = spark.createDataFrame([("m", i, i % 2, round(i * 7 % 23 / 23, 2)) for i in range(200)], "model string, key int, y int, score double")
+    whole = metrics.bootstrap_ci(df, ["model"], "key", metric="roc_auc", replicates=9).collect()
+    monkeypatch.setattr(bootstrap, "CELLS", 9)  # a row at a time: levels go on from batch to batch
+    assert metrics.bootstrap_ci(df, ["model"], "key", metric="roc_auc", replicates=9).collect() == whole
+    assert metrics.bootstrap_ci(df.limit(0), ["model"], "key", metric="roc_auc", replicates=9).collect() == []
+    assert metrics.bootstrap_ci(df, [], "key", metric="f1", replicates=9).count() == 1
