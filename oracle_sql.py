@@ -787,6 +787,8 @@ def _sources() -> dict[str, str]:
 FROM (SELECT CASE WHEN c_custkey % 5 > 2 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 100 END AS units FROM customer)
 GROUP BY segment""",
         "csv_multiline": """SELECT c_custkey AS k, concat('line one of ', c_mktsegment, chr(10), 'said "two", and 3') AS note FROM customer""",
+        "csv_multiline_split": """SELECT o_orderkey AS k, concat(o_orderpriority, repeat(concat(chr(10), 'said "it", then 3'), CAST(o_orderkey % 5 AS INTEGER))) AS note,
+            o_orderstatus AS status FROM orders""",
         "newest_file": "SELECT n_nationkey, n_name, CAST(2 AS INTEGER) AS upload FROM nation",
     }
 

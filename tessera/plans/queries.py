@@ -619,6 +619,14 @@ def q_csv_multiline(spark: SparkSession, sf: str) -> DataFrame:
     return _reread(_csv_cells(spark, sf).select("k", "note"))
 
 
+def q_csv_multiline_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of many line breaks, from files that may be read in several splits each."""
+    said = F.lit('\nsaid "it", then 3')
+    lines = F.expr("CAST(pmod(o_orderkey, 5) AS INT)")
+    return _reread(td.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), F.concat("o_orderpriority", F.repeat(said, lines)).alias("note"), F.col("o_orderstatus").alias("status")))
+
+
 def q_newest_file(spark: SparkSession, sf: str) -> DataFrame:
     """S3: of several files the one written last is found and read."""
     import time
@@ -777,6 +785,7 @@ REGISTRY = {
     "csv_roundtrip": q_csv_roundtrip,
     "csv_missing_words": q_csv_missing_words,
     "csv_multiline": q_csv_multiline,
+    "csv_multiline_split": q_csv_multiline_split,
     "newest_file": q_newest_file,
     "report_roundtrip": q_report_roundtrip,
     "quality_report": q_quality_report,

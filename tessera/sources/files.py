@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.sources.records import records
+
 SUPPORTED = (".csv", ".parquet")
 
 
@@ -24,12 +26,25 @@ MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 INFERRED = ("bigint", "double", "boolean")
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = True) -> DataFrame:
+def _csv_cells(spark: SparkSession, path: str, multi_line: bool | str) -> tuple[list[str], DataFrame]:
+    """The header, and the cells as c0, c1, ... with their ``file``; all read as single bytes (see ``read_table``)."""
+    options = {"header": "true", "mode": "PERMISSIVE", "encoding": "ISO-8859-1", "escape": '"'}
+    raw = spark.read.options(**options, multiLine=bool(multi_line), inferSchema=False).csv(path)
+    names = [f"c{i}" for i in range(len(raw.columns))]
+    if multi_line != "split":
+        return raw.columns, raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names)], F.col("_metadata.file_path").alias("file"))
+    cells = F.from_csv("record", ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE", "escape": '"'})
+    return raw.columns, records(spark, path).filter(~F.col("first")).select(cells.alias("cells"), "file").select("cells.*", "file")
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool | str = "split") -> DataFrame:
     """Read a CSV (header, inferred types) or parquet table; other suffixes are rejected.
 
-    Missing-value words become NULL. Quoted cells may hold line breaks; that
-    keeps Spark from splitting a file, so ``multi_line=False`` is there for
-    large files without such cells. A file whose bytes are not valid UTF-8 is
+    Missing-value words become NULL. Quoted cells may hold line breaks, and
+    large files are split all the same, by the parity of their quotes (see
+    ``records``). ``multi_line=True`` is Spark's own reader, which takes a file
+    in one task, for files with stray quotes in unquoted cells, ``False`` the
+    one for files without line breaks in cells. A file whose bytes are not valid UTF-8 is
     read as ISO-8859-1, each file of a folder by its own bytes: cells are read
     as single bytes first, and turned back into them where they are UTF-8.
     One pass finds those files and the columns' types.
@@ -39,9 +54,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
         return spark.read.parquet(path)
     if suffix != ".csv":
         raise ValueError(f"can't read {suffix or path}: .csv and .parquet tables are")
-    raw = spark.read.options(header=True, mode="PERMISSIVE", encoding="ISO-8859-1", escape='"', multiLine=multi_line, inferSchema=False).csv(path)
-    names = [f"c{i}" for i in range(len(raw.columns))]
-    cells = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names)], F.col("_metadata.file_path").alias("file"))
+    columns, cells = _csv_cells(spark, path, multi_line)
+    names = [f"c{i}" for i in range(len(columns))]
     as_bytes = {n: F.encode(n, "ISO-8859-1") for n in names}
     known = {n: F.when(~F.col(n).isin(*MISSING_WORDS), F.col(n)) for n in names}
     fits = lambda n, t: F.col(n).rlike("(?i)^(true|false)$") if t == "boolean" else F.trim(n).try_cast(t).isNotNull() & F.trim(n).rlike(_PLAIN)
@@ -57,7 +71,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
         value = F.when(~F.col(n).isin(*MISSING_WORDS), text[n])
         return value if kind == "string" else F.trim(value).try_cast(kind)
 
-    header = [c if found["latin"] else c.encode("latin-1", "replace").decode("utf-8", "replace") for c in raw.columns]
+    header = [c if found["latin"] else c.encode("latin-1", "replace").decode("utf-8", "replace") for c in columns]
     if schema is not None:
         return cells.select(*[cell(n, f.dataType.simpleString()).alias(f.name) for n, f in zip(names, schema.fields)])
     kinds = [next((t for t in INFERRED if found[f"{n}_{t}"]), "string") for n in names]
