@@ -22,11 +22,14 @@ same answer, and nothing is written in between.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from tessera.session import materialize
+
 ROWS_PER_RANGE = "tessera.prefix.rowsPerBucket"
 #: Sampled rows behind each split point.
 SAMPLE_PER_RANGE = 32
@@ -93,7 +96,9 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict, wi
     ``inclusive=False``) and, when asked, ``<name>_total`` per group.
     """
     vals = {name: _as_col(v) for name, v in values.items()}
-    staged = with_ranges(df.withColumns({f"__v_{name}": v for name, v in vals.items()}), keys, order, rows_per_range)
+    # written once: the sample, the rows and the totals read the table, so calls on each other's results don't multiply
+    rows = materialize(df.withColumns({f"__v_{name}": v for name, v in vals.items()}))
+    staged = with_ranges(rows, keys, order, rows_per_range)
     dealt = ["__group", "__range"]
     inside = (Window.partitionBy(*dealt).orderBy(*[_as_col(o) for o in order])
               .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
@@ -113,26 +118,48 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict, wi
         *([F.col(f"{name}_total") for name in vals] if with_totals else []))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 2000) -> DataFrame:
     """Linear-interpolated quantiles per group (numpy default, percentile_cont).
 
-    NULL and NaN values are ignored. Distributed selection: distinct values
-    with counts -> running counts -> the levels covering positions
-    floor/ceil((n - 1) q). No group is ever gathered into one task, unlike
-    ``percentile``, whose final merge holds every distinct value of a group.
+    NULL and NaN values are ignored. Two passes and no shuffle of rows: a
+    mergeable sketch of each group gives, for each position asked for, a
+    bracket of values that surely holds it (``accuracy`` bounds the sketch, and
+    the share of rows in a bracket of different values is 6 / accuracy at most:
+    2 for safety and 1 for the sketch at each end). Then values are counted:
+    those in a bracket level by level, all others together for each gap
+    between brackets, so map-side sums leave a task with gaps + bracketed
+    levels. Running counts over these give the levels at positions
+    floor/ceil((n - 1) q). Groups of up to 4 * accuracy values are counted whole.
     Returns (keys..., prob, quantile, n).
     """
-    v = F.col(value)
-    levels = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-                .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
-    run = running_totals(levels, keys, [value], {"__cum": "__c"}, with_totals=True)
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, v.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    margin = 2.0 / accuracy
+    low, high = ([min(max(float(p) + side * margin, 0.0), 1.0) for p in probs] for side in (-1, 1))
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__x", low + high, accuracy).alias("__b"))
+    k, inf = len(probs), float("inf")
+    ends = []
+    for j in range(k):
+        small = F.col("__n") <= 4 * accuracy
+        ends.append(F.struct(F.when(small | F.lit(low[j] <= 0.0), F.lit(-inf)).otherwise(F.col("__b")[j]).alias("lo"),
+                             F.when(small | F.lit(high[j] >= 1.0), F.lit(inf)).otherwise(F.col("__b")[k + j]).alias("hi")))
+    # one row for each group; written, as the second pass joins it
+    brackets = materialize(sketch.select(*[F.col(c).alias(f"__g_{c}") for c in keys], F.lit(1).alias("__one"), *[e.alias(f"__e{j}") for j, e in enumerate(ends)]))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in keys], F.col("__l") == F.col("__one"))
+    x = F.col("__x")
+    kept = reduce(lambda a, b: a | b, [(x >= F.col(f"__e{j}.lo")) & (x <= F.col(f"__e{j}.hi")) for j in range(k)])
+    passed = reduce(lambda a, b: a + b, [(F.col(f"__e{j}.hi") < x).cast("int") for j in range(k)])
+    # order: brackets passed, then the values between them, then those inside the next
+    levels = rows.withColumn("__l", F.lit(1)).join(brackets, same) \
+        .groupBy(*keys, passed.alias("__passed"), F.when(kept, x).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    run = running_totals(levels, keys, ["__passed", "__x"], {"__cum": "__c"}, with_totals=True)
     n = F.col("__cum_total")
     targets = F.array(*[
         F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"),
                  F.floor((n - 1) * F.lit(float(p))).alias("lo"), F.ceil((n - 1) * F.lit(float(p))).alias("hi"))
         for j, p in enumerate(probs)])
     holds = lambda at: (F.col(f"__t.{at}") >= F.col("__cum") - F.col("__c")) & (F.col(f"__t.{at}") < F.col("__cum"))
-    hits = run.select(*keys, F.col(value).cast("double").alias("__x"), "__cum", "__c", n.alias("__n"),
+    hits = run.select(*keys, "__x", "__cum", "__c", n.alias("__n"),
                       F.explode(targets).alias("__t")).where(holds("lo") | holds("hi"))
     agg = hits.groupBy(*keys, F.col("__t.j").alias("__j"), F.col("__t.p").alias("prob")).agg(
         F.max(F.when(holds("lo"), F.col("__x"))).alias("__xl"),

@@ -1,6 +1,7 @@
 """Running totals, exact quantiles, exact stratified splits, leakage-free preprocessing."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -73,3 +74,30 @@ def test_rbf_features(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 2.0])], "id int, v array<double>")
     out = {r.id: r.rbf for r in features.rbf_features(df, "v", [[0.0, 0.0], [1.0, 1.0]], 0.5).collect()}
     assert out[1] == [1.0, np.exp(-1.0)] and abs(out[2][0] - np.exp(-2.5)) < 1e-15
+
+
+def test_bracketed_quantiles_equal_sorted_ones(spark):
+    pick = np.random.default_rng(3)
+    values = {"wide": pick.normal(size=3000), "ties": pick.integers(0, 4, 3000).astype(float), "one": np.full(900, 7.0),
+              "steps": np.repeat(np.arange(30.0), 100), "small": np.array([3.0, 1.0]), None: pick.exponential(size=2000)}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("wide", None), ("wide", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    probs = [0.0, 0.001, 0.25, 0.25, 0.5, 0.75, 0.9995, 1.0]
+    for accuracy in (20, 100, 2000):  # brackets of a fifth of the rows, of a twenty-fifth, groups counted whole
+        got = prefix.exact_quantiles(df, ["g"], "v", probs, accuracy).collect()
+        assert len(got) == len(values) * len(probs)
+        for r in got:
+            assert r["quantile"] == pytest.approx(np.quantile(values[r["g"]], r["prob"]), rel=1e-12) and r["n"] == len(values[r["g"]])
+
+
+def test_bracketed_quantiles_shuffle_gaps_and_brackets(spark):
+    df = spark.range(200_000).select(F.col("id").cast("double").alias("v"))
+    seen = []
+    running = prefix.running_totals
+    try:
+        prefix.running_totals = lambda levels, *a, **k: seen.append(levels.count()) or running(levels, *a, **k)
+        assert prefix.exact_quantiles(df, [], "v", [0.5]).first()["quantile"] == 99_999.5
+    finally:
+        prefix.running_totals = running
+    # a bracket, with the sketch's own error at its ends, and the gaps on both sides of it
+    assert seen[0] <= 200_000 * 6 / 2000 + 2
