@@ -194,7 +194,7 @@ def matches(found: DataFrame, hot: list[int]) -> DataFrame:
 
     All seeds go through one exchange: dealt by hash, sorted by hash and place and read in order, so the first row of a hash is its first
     occurrence. Only matches leave that pass. Seeds in ``hot`` are dealt by document as well and pass through unmatched; the first
-    occurrence of each, one row a seed, is then joined to them.
+    occurrence of each is then looked up in a table of at most ``HOT_SEEDS`` rows.
     """
     mask = (1 << PLACE_BITS) - 1
 
@@ -221,8 +221,16 @@ def matches(found: DataFrame, hot: list[int]) -> DataFrame:
     known = met.filter("first IS NOT NULL").select("place", "first", "extent")
     if hot:
         shared = met.filter("first IS NULL").select("place", "hash", "extent")
-        firsts = shared.groupBy("hash").agg(F.min("place").alias("first"))  # HOT_SEEDS rows at most
-        known = known.unionByName(shared.join(F.broadcast(firsts), "hash").select("place", "first", "extent"))
+        firsts = {row["hash"]: row["first"] for row in shared.groupBy("hash").agg(F.min("place").alias("first")).collect()}  # HOT_SEEDS rows at most
+        keys = np.array(sorted(firsts), dtype=np.int64)
+        places = np.array([firsts[k] for k in keys.tolist()], dtype=np.int64)
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first = places[np.searchsorted(keys, batch.column(1).to_numpy())] if batch.num_rows else places[:0]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), batch.column(2)], names=["place", "first", "extent"])
+
+        known = known.unionByName(shared.mapInArrow(look_up, "place long, first long, extent int"))
     return known.select(
         F.shiftright("place", PLACE_BITS).alias("doc"), F.shiftright("first", PLACE_BITS).alias("other"),
         F.col("place").bitwiseAND(F.lit(mask)).cast("int").alias("at"), F.col("first").bitwiseAND(F.lit(mask)).cast("int").alias("other_at"),
