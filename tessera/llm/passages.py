@@ -218,19 +218,19 @@ def matches(found: DataFrame, hot: list[int]) -> DataFrame:
     spread = F.when(F.col("hash").isin(hot), F.pmod(F.xxhash64("place"), F.lit(1024))).otherwise(0) if hot else F.lit(0)
     dealt = found.select("hash", "place", "extent").repartition("hash", spread).sortWithinPartitions("hash", "place")
     met = cut(dealt.mapInArrow(run, "place long, first long, hash long, extent int"), "matches")
-    known = met.filter("first IS NOT NULL").select("place", "first", "extent")
-    if hot:
-        shared = met.filter("first IS NULL").select("place", "hash", "extent")
-        firsts = {row["hash"]: row["first"] for row in shared.groupBy("hash").agg(F.min("place").alias("first")).collect()}  # HOT_SEEDS rows at most
-        keys = np.array(sorted(firsts), dtype=np.int64)
-        places = np.array([firsts[k] for k in keys.tolist()], dtype=np.int64)
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                first = places[np.searchsorted(keys, batch.column(1).to_numpy())] if batch.num_rows else places[:0]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), batch.column(2)], names=["place", "first", "extent"])
-
-        known = known.unionByName(shared.mapInArrow(look_up, "place long, first long, extent int"))
+    shared = met.filter("first IS NULL").groupBy("hash").agg(F.min("place").alias("first"))
+    firsts = {row["hash"]: row["first"] for row in shared.collect()} if hot else {}  # HOT_SEEDS rows at most
+    keys = np.array(sorted(firsts), dtype=np.int64)
+    places = np.array([firsts[k] for k in keys.tolist()], dtype=np.int64)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, key = batch.column(1).fill_null(-1).to_numpy().copy(), batch.column(2).fill_null(0).to_numpy()
+            open_ = first < 0
+            first[open_] = places[np.searchsorted(keys, key[open_])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), batch.column(3)], names=["place", "first", "extent"])
+
+    known = met.mapInArrow(look_up, "place long, first long, extent int") if hot else met
     return known.select(
         F.shiftright("place", PLACE_BITS).alias("doc"), F.shiftright("first", PLACE_BITS).alias("other"),
         F.col("place").bitwiseAND(F.lit(mask)).cast("int").alias("at"), F.col("first").bitwiseAND(F.lit(mask)).cast("int").alias("other_at"),
