@@ -17,7 +17,7 @@ from tests.llm.test_simhash import plain_components, plain_fingerprint
 def test_names_and_shape():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "packing"]
     numbers = sorted(int(re.fullmatch(r"op(\d+)_\w+", n)[1]) for n in queries())
-    assert numbers == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert numbers == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
     assert set(queries()) | {"pipeline"} <= set(entry.queries())
 
 
