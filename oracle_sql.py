@@ -781,6 +781,28 @@ SELECT vec_id, true AS same_score, CAST(0.5 AS DOUBLE) AS threshold, 'MLP' AS mo
     return out
 
 
+def _prepared() -> dict[str, str]:
+    """The preparation as a pipeline stage, and validation in one evaluation."""
+    base = _slice2()["preprocess_apply"]
+    hot = " + ".join(f'"{c}={v}"' for c, levels in CAT_LEVELS.items() for v in levels)
+    return {
+        "prepared_values": f"SELECT order_key, CAST({len(NUM) + sum(map(len, CAT_LEVELS.values()))} AS INTEGER) AS width, {', '.join(NUM)}, {hot} AS levels_set FROM ({base})",
+        "onehot_sparse": """WITH c AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer),
+t AS (SELECT * FROM c WHERE c_custkey % 5 <> 0),
+a AS (SELECT c_name AS v, row_number() OVER (ORDER BY c_name) - 1 AS id FROM (SELECT DISTINCT c_name FROM t)),
+b AS (SELECT segment AS v, row_number() OVER (ORDER BY segment) - 1 AS id FROM (SELECT DISTINCT segment FROM t WHERE segment IS NOT NULL)),
+m AS (SELECT arg_min(segment, (-n, segment)) AS v FROM (SELECT segment, count(*) AS n FROM t WHERE segment IS NOT NULL GROUP BY segment)),
+w AS (SELECT (SELECT count(*) FROM a) AS wa, (SELECT count(*) FROM b) AS wb)
+SELECT c_custkey, wa + wb AS width, concat_ws(',', a.id, wa + b.id) AS indices
+FROM c CROSS JOIN m CROSS JOIN w LEFT JOIN a ON c_name = a.v LEFT JOIN b ON coalesce(segment, m.v) = b.v""",
+        "pipeline_persist": f"WITH {SPLIT} SELECT order_key, true AS same_score, true AS score_valid FROM split WHERE is_test",
+        "stream_model_scoring": "SELECT o_orderkey AS order_key, true AS same_score, true AS class_fits FROM orders",
+        "clean_observed": f"""WITH {OBS}
+SELECT obs.*, rows_in, rows_excluded, rows_invalid, non_numeric_order_month, n_classes FROM obs CROSS JOIN ({_slice1()["validation_counters"]})""",
+        "quarantine_observed": _slice1()["quarantine"],
+    }
+
+
 def _sources() -> dict[str, str]:
     return {
         "csv_missing_words": """SELECT segment, count(*) AS rows, count(units) AS known, CAST(sum(units) AS BIGINT) AS total
@@ -827,4 +849,5 @@ def oracle_sql() -> dict[str, str]:
     q.update(_slice6())
     q.update(_model_checks())
     q.update(_sources())
+    q.update(_prepared())
     return {k: _bigint_counts(_rnd_all(v)) for k, v in q.items()}

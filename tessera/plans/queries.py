@@ -54,6 +54,19 @@ def q_clean(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validate(td.upload_frame(spark, sf), td.ORDER_SPEC).frame
 
 
+def q_clean_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """P8-P10 in one evaluation of the upload: clean rows beside the counters observed while they were written."""
+    v = validate.validate_observed(td.upload_frame(spark, sf), td.ORDER_SPEC)
+    names = ["rows_in", "rows_excluded", "rows_invalid", "non_numeric_order_month", "n_classes"]
+    return v.frame.withColumns({c: F.lit(v.metrics[c]).cast("long") for c in names})
+
+
+def q_quarantine_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """P9 (quarantine mode) in one evaluation: rejected rows, as ``quarantine``."""
+    v = validate.validate_observed(td.upload_frame(spark, sf, messy_target=True), td.ORDER_SPEC, invalid="quarantine")
+    return v.quarantine.select("order_key", F.col("result").alias("result_value"))
+
+
 def q_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     """P9 (quarantine mode): rows whose target is missing or not binary."""
     v = validate.validate(td.upload_frame(spark, sf, messy_target=True), td.ORDER_SPEC, invalid="quarantine")
@@ -204,6 +217,25 @@ def q_preprocess_apply(spark: SparkSession, sf: str) -> DataFrame:
                       *[F.col(f"`{c}`") for c in out.columns if "=" in c])
 
 
+def q_onehot_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """one-hot features of a column with as many levels as rows, fitted on four fifths of the customers: indices of all."""
+    from tessera.operators.preparation import Preparation
+    rows = td.table(spark, sf, "customer").selectExpr("c_custkey", "c_name", "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS segment")
+    fitted = Preparation(categorical=["c_name", "segment"]).fit(rows.where("c_custkey % 5 <> 0"))
+    return fitted.sparse(rows, ["c_custkey"]).select("c_custkey", "width", F.array_join("indices", ",").alias("indices"))
+
+
+def q_prepared_values(spark: SparkSession, sf: str) -> DataFrame:
+    """F1-F5 as a spark.ml stage: the hold-out rows' vectors, as ``preprocess_apply``'s columns."""
+    from pyspark.ml.functions import vector_to_array
+    from tessera.operators.preparation import Preparation
+    rows = _cut(study_rows(spark, sf))
+    fitted = Preparation(numeric=NUMERIC, categorical=CATEGORICAL).fit(rows.where(~F.col("is_test")))
+    out = fitted.transform(rows.where(F.col("is_test"))).select("order_key", vector_to_array("features").alias("x"))
+    return out.select("order_key", F.size("x").alias("width"), *[_r(F.col("x")[i]).alias(c) for i, c in enumerate(NUMERIC)],
+                      F.aggregate(F.slice("x", len(NUMERIC) + 1, 1000), F.lit(0.0), lambda a, v: a + v).alias("levels_set"))
+
+
 def q_fold_numeric_stats(spark: SparkSession, sf: str) -> DataFrame:
     """per-fold training medians, means and scales, all folds in one pass."""
     rows = study_rows(spark, sf).where(~F.col("is_test"))
@@ -558,6 +590,57 @@ def q_persist_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
                        F.lit(meta.get("model_name")).alias("model"))
 
 
+def _fitted_pipeline(rows: DataFrame):
+    """Preparation and network in one pipeline, fitted on the training rows, saved and loaded: (fitted, loaded, path)."""
+    import uuid
+    from pyspark.ml import Pipeline, PipelineModel
+    from tessera.operators.preparation import Network, Preparation
+    from tessera.session import ensure_checkpoint_dir
+    stages = [Preparation(numeric=NUMERIC, categorical=CATEGORICAL), Network(target="result", hidden=[16, 8], maxIter=15)]
+    fitted = Pipeline(stages=stages).fit(rows.where(~F.col("is_test")))
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/models/{uuid.uuid4().hex}"
+    fitted.write().overwrite().save(path)
+    return fitted, PipelineModel.load(path), path
+
+
+def q_pipeline_persist(spark: SparkSession, sf: str) -> DataFrame:
+    """F5 + S7 + M10: preparation and network as one saved and loaded PipelineModel: every hold-out score is the same."""
+    from tessera.operators.preparation import PipelineScorer
+    rows = _cut(study_rows(spark, sf))
+    fitted, loaded, _ = _fitted_pipeline(rows)
+    test = rows.where(F.col("is_test"))
+    both = PipelineScorer(fitted).score(test, ["order_key"]).join(PipelineScorer(loaded).score(test, ["order_key"], "again"), "order_key")
+    return both.select("order_key", (F.col("score") == F.col("again")).alias("same_score"), F.col("score").between(0, 1).alias("score_valid"))
+
+
+def q_stream_model_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """M10 + P5-P7 + F1-F5 on a stream: the loaded pipeline scores the first upload; a query of a new session goes on from its
+    checkpoint with the second. Each row beside its batch score."""
+    import uuid
+    from pyspark.ml import PipelineModel
+    from tessera.operators.preparation import PipelineScorer
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.streaming import scoring
+    _, loaded, path = _fitted_pipeline(_cut(study_rows(spark, sf)))
+    name = uuid.uuid4().hex
+    base = f"{ensure_checkpoint_dir(spark)}/stream-check/{name}"
+    upload = td.upload_frame(spark, sf)
+
+    def arrive(session: SparkSession, model, part: int) -> None:
+        upload.where(F.col("Order Key") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        stream = scoring.read_uploads(session, f"{base}/in", upload.schema, fmt="parquet")
+        scored = scoring.score_rows(stream, td.ORDER_SPEC, PipelineScorer(model), 0.5, keep=["order_key"], rules=ORDER_RULES)
+        scoring.start(scored.select("order_key", "score", "predicted_class"), f"{base}/out", name=name, trigger_once=True).awaitTermination()
+
+    arrive(spark, loaded, 0)
+    again = spark.newSession()
+    ensure_checkpoint_dir(again)
+    arrive(again, PipelineModel.load(path), 1)
+    batch = scoring.score_rows(upload, td.ORDER_SPEC, PipelineScorer(loaded), 0.5, keep=["order_key"]).select("order_key", F.col("score").alias("batch_score"))
+    return spark.read.parquet(f"{base}/out").join(batch, "order_key").select(
+        "order_key", (F.col("score") == F.col("batch_score")).alias("same_score"), ((F.col("score") >= 0.5).cast("int") == F.col("predicted_class")).alias("class_fits"))
+
+
 RBF_GAMMA = 0.05
 
 
@@ -731,7 +814,9 @@ REGISTRY = {
     "coerce": q_coerce,
     "validation_counters": q_validation_counters,
     "clean": q_clean,
+    "clean_observed": q_clean_observed,
     "quarantine": q_quarantine,
+    "quarantine_observed": q_quarantine_observed,
     "range_rules": q_range_rules,
     "threshold_class": q_threshold_class,
     "counts": q_counts,
@@ -751,6 +836,8 @@ REGISTRY = {
     "inner_split": q_inner_split,
     "head_sample": q_head_sample,
     "preprocess_apply": q_preprocess_apply,
+    "prepared_values": q_prepared_values,
+    "onehot_sparse": q_onehot_sparse,
     "fold_numeric_stats": q_fold_numeric_stats,
     "fold_category_stats": q_fold_category_stats,
     "cv_metrics": q_cv_metrics,
@@ -781,6 +868,7 @@ REGISTRY = {
     "cross_validate": q_cross_validate,
     "tune": q_tune,
     "persist_roundtrip": q_persist_roundtrip,
+    "pipeline_persist": q_pipeline_persist,
     "rbf_kernel_features": q_rbf_kernel_features,
     "csv_roundtrip": q_csv_roundtrip,
     "csv_missing_words": q_csv_missing_words,
@@ -794,4 +882,5 @@ REGISTRY = {
     "overall_interpretation": q_overall_interpretation,
     "labelled_join_profile": q_labelled_join_profile,
     "stream_scoring": q_stream_scoring,
+    "stream_model_scoring": q_stream_model_scoring,
 }

@@ -65,13 +65,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return directory
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Cut lineage: ``df`` as a Parquet table in the shared checkpoint folder, computed once.
 
+    With ``partition_by`` the table has a folder for each value of that column.
+
     Used where one result feeds many later jobs (fold-tagged training rows,
     fitted statistics); it outlives any executor. The cluster cleans its
     checkpoint folder.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
