@@ -15,7 +15,8 @@ candidates are taken in order of their bounds until no bound reaches the k-th
 score. Nothing is dropped without a bound, so results are exact.
 
 Both rounds deal pairs of blocks to tasks, so a task holds one block of each
-side; equal vectors are spread over blocks by their ids.
+side. Of equal vectors only the rows that can be among some query's k best are
+compared (``candidates``), so copies of one vector cost no more than 2k rows of it.
 """
 
 from __future__ import annotations
@@ -99,6 +100,19 @@ def integer_vectors(table: DataFrame) -> DataFrame:
         .filter("vec_id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, "vec_id long, vector binary")
 
 
+def candidates(vectors: DataFrame, k: int) -> DataFrame:
+    """The rows that can be an answer: of each vector and id k rows, and of these the 2k of each vector with the smallest ids.
+
+    Equal vectors score alike, so the smaller ids come first. A query passes
+    over rows of its own id, at most k of them, so behind 2k rows of a vector
+    none can be among its k best. Both cuts are made before the exchanges too,
+    so a vector that a third of all rows share sends 2k rows from each task.
+    """
+    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("vec_id"))
+    once = vectors.withColumn("n", first("vector", "vec_id")).filter(F.col("n") <= k)
+    return once.withColumn("n", first("vector")).filter(F.col("n") <= 2 * k).drop("n")
+
+
 def choose_pivots(vectors: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
     """Up to ``n`` different vectors of a bounded sample, each farthest from those before it."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
@@ -129,9 +143,10 @@ def with_pivots(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def blocked(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """``rows`` as a table with ``block``: ranges of (cell, near, vec_id) of about ``size`` rows."""
+    """``rows`` as a table with ``block``, ranges of (cell, near, vec_id) of about ``size`` rows, and ``row``, a number of each row's own."""
     n = max(1, -(-rows.count() // size))
-    return cut(rows.repartitionByRange(n, "cell", "near", "vec_id").withColumn("block", F.spark_partition_id()), name)
+    dealt = rows.repartitionByRange(n, "cell", "near", "vec_id")
+    return cut(dealt.withColumns({"block": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), name)
 
 
 def summaries(rows: DataFrame) -> DataFrame:
@@ -170,7 +185,7 @@ class Best:
 
 
 def compare(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(query_id, vec_id, score): a block of queries against a block of vectors, in order of bounds."""
+    """(query_row, query_id, vec_id, score): a block of queries against a block of vectors, in order of bounds."""
     q, x = _matrix(queries["vector"]), _matrix(vectors["vector"])
     q_to, x_to = np.stack(queries["to_pivots"].to_numpy()), np.stack(vectors["to_pivots"].to_numpy())
     q_norm, x_norm = queries["norm"].to_numpy(), vectors["norm"].to_numpy()
@@ -188,24 +203,25 @@ def compare(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFram
             some = some[ids[some] != q_ids[i]]
             if len(some):
                 best.add(i, _products(q[i:i + 1], x[some])[0], ids[some])
-    rows = [(int(q_ids[i]), vec_id, score) for i in range(len(q)) for score, vec_id in best.rows[i]]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+    own = queries["row"].to_numpy()
+    rows = [(int(own[i]), int(q_ids[i]), vec_id, score) for i in range(len(q)) for score, vec_id in best.rows[i]]
+    return pd.DataFrame(rows, columns=["query_row", "query_id", "vec_id", "score"])
 
 
 def _evaluate(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The best of each query within each pair (query_block, block); a task holds one pair."""
     left = pairs.join(queries.withColumnRenamed("block", "query_block"), "query_block") \
-        .select("query_block", "block", "vec_id", "vector", "norm", "to_pivots", "least")
+        .select("query_block", "block", "row", "vec_id", "vector", "norm", "to_pivots", "least")
     right = pairs.join(vectors, "block").select(F.col("query_block").alias("with_query_block"), F.col("block").alias("of_block"), "vec_id", "vector", "norm", "to_pivots")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return compare(a, b, k) if len(a) and len(b) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        return compare(a, b, k) if len(a) and len(b) else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
-    return left.groupBy("query_block", "block").cogroup(right.groupBy("with_query_block", "of_block")).applyInPandas(run, "query_id long, vec_id long, score long")
+    return left.groupBy("query_block", "block").cogroup(right.groupBy("with_query_block", "of_block")).applyInPandas(run, "query_row long, query_id long, vec_id long, score long")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -214,8 +230,9 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK,
 
     ``table`` has vec_id and embedding; other columns are ignored. Vectors of
     different lengths are compared as if the shorter ended in zeros. Ties go to
-    the smaller vec_id; rows that repeat an id are no candidates of queries of
-    that id. Fewer than k candidates are all returned; an empty table gives an
+    the smaller vec_id. Rows that repeat an id are candidates each, but not of
+    queries of that id; each query row has an answer of its own, so an id that
+    is asked twice has each rank twice. Fewer than k candidates are all returned; an empty table gives an
     empty result.
     """
     spark = table.sparkSession
@@ -223,8 +240,8 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK,
     pivots = choose_pivots(ints)
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = blocked(with_pivots(ints, pivots), block, "vector-blocks")
-    asked = blocked(rows.filter(F.col("vec_id") % every == 0).drop("block").dropDuplicates(["vec_id"]), queries_block, "query-blocks")
+    rows = blocked(with_pivots(cut(candidates(ints, k), "candidates"), pivots), block, "vector-blocks")
+    asked = blocked(with_pivots(ints.filter(F.col("vec_id") % every == 0), pivots), queries_block, "query-blocks")
     if not asked.head(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     about, about_queries = cut(summaries(rows), "block-sums"), cut(summaries(asked), "query-sums")
@@ -242,8 +259,8 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK,
     home = pairs.withColumn("n", F.row_number().over(promise)).filter("n = 1").select("query_block", "block")
     unknown = asked.withColumn("least", F.lit(float("-inf")))
     first = cut(_evaluate(home, unknown, rows, k), "first-round")
-    reached = _top(first, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-    known = cut(asked.join(reached, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "queries")
+    reached = _top(first, k).filter(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("least"))
+    known = cut(asked.join(reached, "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "queries")
     to_beat = known.groupBy(F.col("block").alias("query_block")).agg(F.min("least").alias("worst"))
     rest = pairs.join(home, ["query_block", "block"], "left_anti").join(to_beat, "query_block").filter("bound >= worst").select("query_block", "block")
     second = _evaluate(rest, known, rows, k)
