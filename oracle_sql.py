@@ -797,6 +797,7 @@ SELECT c_custkey, wa + wb AS width, concat_ws(',', a.id, wa + b.id) AS indices
 FROM c CROSS JOIN m CROSS JOIN w LEFT JOIN a ON c_name = a.v LEFT JOIN b ON coalesce(segment, m.v) = b.v""",
         "pipeline_persist": f"WITH {SPLIT} SELECT order_key, true AS same_score, true AS score_valid FROM split WHERE is_test",
         "stream_model_scoring": "SELECT o_orderkey AS order_key, true AS same_score, true AS class_fits FROM orders",
+        "describe_sketch": f'SELECT "column", "count", mean, std, "min", "max", true AS quartiles_fit FROM ({_slice1()["describe_lineitem"]})',
         "clean_observed": f"""WITH {OBS}
 SELECT obs.*, rows_in, rows_excluded, rows_invalid, non_numeric_order_month, n_classes FROM obs CROSS JOIN ({_slice1()["validation_counters"]})""",
         "quarantine_observed": _slice1()["quarantine"],

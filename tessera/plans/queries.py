@@ -128,6 +128,17 @@ def q_describe_lineitem(spark: SparkSession, sf: str) -> DataFrame:
                     _r("q25", 6).alias("q25"), _r("q50", 6).alias("q50"), _r("q75", 6).alias("q75"), "max")
 
 
+def q_describe_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 (sketch form): lineitem's sketches stored for each month of shipping, merged later; quartiles held against their exact ranks."""
+    from tessera.session import materialize
+    lines = td.table(spark, sf, "lineitem")
+    parts = materialize(profile.sketch_numeric(lines.withColumn("month", F.date_format("l_shipdate", "yyyy-MM")), LINE_NUMERIC, ["month"]))
+    d = materialize(profile.describe_sketches(parts))
+    return d.join(profile.rank_errors(lines, d, LINE_NUMERIC), "column").select(
+        "column", "count", _r("mean", 6).alias("mean"), _r("std", 6).alias("std"), "min", "max",
+        (F.col("rank_error") <= profile.RANK_ERROR).alias("quartiles_fit"))
+
+
 def q_describe_categorical(spark: SparkSession, sf: str) -> DataFrame:
     """Count, unique, top, freq of the categorical columns."""
     return profile.describe_categorical(td.observations(spark, sf),
@@ -824,6 +835,7 @@ REGISTRY = {
     "missing": q_missing,
     "class_distribution": q_class_distribution,
     "describe_lineitem": q_describe_lineitem,
+    "describe_sketch": q_describe_sketch,
     "describe_categorical": q_describe_categorical,
     "histogram": q_histogram,
     "box_stats": q_box_stats,
