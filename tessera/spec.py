@@ -54,22 +54,7 @@ class TableSpec:
 # The plot-observation study schema, its accepted column
 # aliases and the target vocabulary. These must stay exactly as listed so
 # that uploads accepted by the original study are accepted here.
-#   required:    temperature, humidity, moi, soil_type, crop_stage, result
-#   numeric:     temperature, humidity, moi
-#   categorical: soil_type, crop_stage
-#   optional:    crop_id, crop_type   ("crop" is an alias of crop_type)
-#   aliases:
-#     temperature: temp, temperature, ambient_temperature, air_temperature
-#     humidity:    humidity, relative_humidity, air_humidity
-#     moi:         moi, moisture_index, soil_moisture_index, soil_moisture
-#     soil_type:   soil_type, soiltype, soil
-#     crop_stage:  seedling_stage, crop_stage, cropstage, phenological_stage, stage
-#     result:      result, target, label, irrigation_required, irrigation
-#     crop_id:     crop_id, cropid, crop_identifier
-#     crop_type:   crop_type, croptype, crop
-#   target words meaning 1: yes, true, si, sí, required, 1
-#   target words meaning 0: no, false, 0, not_required
-#   class 2 (excess water) is excluded from the binary study
+# "crop" is an alias of crop_type; class 2 (excess water) is excluded from the binary study.
 # ---------------------------------------------------------------------------
 IRRIGATION_SPEC = TableSpec(
     numeric=("temperature", "humidity", "moi"),
