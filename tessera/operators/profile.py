@@ -95,14 +95,19 @@ SKETCH_SIZE, RANK_ERROR = 1000, 0.01
 def sketch_numeric(df: DataFrame, cols: list[str], by: list[str], size: int = SKETCH_SIZE) -> DataFrame:
     """A6, mergeable: one row for each part (``by``, such as a day or a file) and column, to be stored and merged later.
 
-    (by..., column, count, mean, variance, min, max, sketch): a part's rows are
-    read once, when it arrives. NULL and NaN are left out; a part without
-    values has no row.
+    (by..., column, count, total, rest, variance, min, max, sketch): a part's
+    rows are read once, when it arrives. The sum is total + rest: of each value
+    its leading 24 bits and what is left, whose sums round much later than a
+    plain one, so means hardly depend on how rows were dealt. NULL and NaN are
+    left out; a part without values has no row.
     """
+    value = F.col("value")
+    lead = F.when(F.abs(value) < 1e38, value.cast("float").cast("double")).otherwise(value)
+    rest = F.when(F.abs(value) < 1e38, value - value.cast("float").cast("double")).otherwise(0.0)
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("__u")) \
         .select(*by, "__u.column", "__u.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
     return long.groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"),
+        F.count(F.lit(1)).alias("count"), F.sum(lead).alias("total"), F.sum(rest).alias("rest"), F.var_pop("value").alias("variance"),
         F.min("value").alias("min"), F.max("value").alias("max"), F.kll_sketch_agg_double("value", F.lit(size)).alias("sketch"))
 
 
@@ -113,10 +118,10 @@ def describe_sketches(parts: DataFrame, probs=(0.25, 0.5, 0.75), size: int = SKE
     a value whose rank is within RANK_ERROR of the one asked for. ``std`` of one
     row is NULL. The parts of a column are merged by partial aggregation.
     """
-    means = parts.groupBy("column").agg((F.sum(F.col("count") * F.col("mean")) / F.sum("count")).alias("__mean"))
-    n = F.sum("count")
+    means = parts.groupBy("column").agg(((F.sum("total") + F.sum("rest")) / F.sum("count")).alias("__mean"))
+    n, off = F.sum("count"), (F.col("total") + F.col("rest")) / F.col("count") - F.col("__mean")
     # deviations within the parts and between them
-    squares = F.sum(F.col("count") * (F.col("variance") + (F.col("mean") - F.col("__mean")) * (F.col("mean") - F.col("__mean"))))
+    squares = F.sum(F.col("count") * (F.col("variance") + off * off))
     merged = parts.join(F.broadcast(means), "column").groupBy("column", "__mean").agg(
         n.alias("count"), F.when(n > 1, F.sqrt(squares / (n - 1))).alias("std"), F.min("min").alias("min"), F.max("max").alias("max"),
         F.kll_merge_agg_double("sketch", F.lit(size)).alias("__sketch"))
