@@ -11,10 +11,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import exact_quantiles
+from tessera.session import materialize
+
 
 def _long(df: DataFrame, cols: list[str], cast: str) -> DataFrame:
     return df.select(F.explode(F.array(*[
@@ -96,35 +98,48 @@ def fold_statistics(df: DataFrame, numeric: list[str], categorical: list[str], f
                     fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
     """preprocessing statistics of every fold's training part in one pass.
 
-    Each row joins the training part of the k - 1 folds it does not belong to
-    (an explode of at most k - 1 fold ids), then everything is grouped by
-    (training fold, column): no per-fold loop over the data.
+    The input is written once, narrow. Medians are exact over the training
+    parts (each row counts for the k - 1 folds it does not belong to). Means,
+    scales and level counts are taken once for each fold and merged into the
+    training parts, which is a table of folds x columns (or x levels).
     Returns (numeric stats: fold, column, median, mean, scale;
              categorical stats: fold, column, mode, levels).
     """
-    ids = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda f: f != F.col(fold_col))
-    exploded = df.withColumn("train_fold", F.explode(ids))
-    num_long = exploded.select("train_fold", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numeric])).alias("__u")
-    ).select("train_fold", "__u.column", "__u.value")
-    med = exact_quantiles(num_long, ["train_fold", "column"], "value", [0.5]).select(
-        "train_fold", "column", F.col("quantile").alias("median"))
-    # folds x columns lines
-    imputed = num_long.join(F.broadcast(med), ["train_fold", "column"], "left").select(
-        "train_fold", "column", "median", F.coalesce("value", "median").alias("x"))
-    num_stats = imputed.groupBy("train_fold", "column", "median").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("__s")).select(
-        F.col("train_fold").alias("fold"), "column", "median", "mean",
+    rows = materialize(df.select(F.col(fold_col).alias("__fold"), *dict.fromkeys([*numeric, *categorical])))
+
+    def long(columns: list[str], cast: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value")) for c in columns])
+        return rows.select("__fold", F.explode(cells).alias("__u")).select("__fold", "__u.column", "__u.value")
+
+    def for_training(parts: DataFrame) -> DataFrame:
+        """Each line once for each fold it trains."""
+        others = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda f: f != F.col("__fold"))
+        return parts.withColumn("fold", F.explode(others)).drop("__fold")
+
+    num_long = long(numeric, "double")
+    med = exact_quantiles(for_training(num_long), ["fold", "column"], "value", [0.5]).select(
+        F.col("fold").alias("__f"), F.col("column").alias("__c"), F.col("quantile").alias("median"))
+    moments = num_long.groupBy("__fold", "column").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"),
+        F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    # a fold's known values, and its missing ones, which all become the median; folds x columns lines
+    lines = for_training(moments)
+    lines = lines.join(F.broadcast(med), (F.col("fold") == F.col("__f")) & (F.col("column") == F.col("__c")), "left")
+    known, filled = F.struct("n", "m", "v"), F.struct(F.col("nulls").alias("n"), F.col("median").alias("m"), F.lit(0.0).alias("v"))
+    pieces = lines.select("fold", "column", "median", F.explode(F.array(known, filled)).alias("p")).select("fold", "column", "median", "p.*")
+    pieces = pieces.withColumn("n", F.when(F.col("m").isNotNull() & (F.col("n") > 0), F.col("n")))
+    part = Window.partitionBy("fold", "column")
+    pieces = pieces.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(part) / F.sum("n").over(part))
+    num_stats = pieces.groupBy("fold", "column", "median", "mean").agg(
+        F.sqrt(F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) ** 2)) / F.sum("n")).alias("__s")).select(
+        "fold", "column", "median", "mean",
         F.when(F.col("__s").isNull() | (F.col("__s") < 10 * 2.220446049250313e-16), F.lit(1.0))
          .otherwise(F.col("__s")).alias("scale"))
-    cat_long = exploded.select("train_fold", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in categorical])).alias("__u")
-    ).select("train_fold", "__u.column", "__u.value").where(F.col("value").isNotNull())
-    cat_stats = (cat_long.groupBy("train_fold", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-                 .groupBy("train_fold", "column").agg(
+    levels = long(categorical, "string").where(F.col("value").isNotNull()).groupBy("__fold", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cat_stats = (for_training(levels).groupBy("fold", "column", "value").agg(F.sum("n").alias("n"))
+                 .groupBy("fold", "column").agg(
                      F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
-                     F.count(F.lit(1)).alias("levels"))
-                 .withColumnRenamed("train_fold", "fold"))
+                     F.count(F.lit(1)).alias("levels")))
     return num_stats, cat_stats
 
 

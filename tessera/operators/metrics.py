@@ -1,10 +1,11 @@
 """Classification metrics from (y, score) per group (E1-E13) and bootstrap intervals.
 
-Threshold metrics are one ``groupBy(by).agg`` of four counts and two sums
-(map-side partial aggregation: the shuffle is one row per group per task).
-Rank metrics (ROC-AUC, average precision, ROC points) first collapse rows
-to distinct score levels, then use the distributed running totals, so a
-model scored on billions of rows never sorts them in one task.
+Predictions are collapsed to distinct score levels, which are written once.
+Threshold metrics are one ``groupBy(by).agg`` of four counts and two sums over
+them (map-side partial aggregation: the shuffle is one row per group per task).
+Rank metrics (ROC-AUC, average precision, ROC points) use the distributed
+running totals of the same table, so a model scored on billions of rows never
+sorts them in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import poisson1_sql, uniform_sql
 from tessera.operators.bootstrap import replicate_auc, replicate_f1
 from tessera.operators.prefix import running_totals
+from tessera.session import materialize
 
 DOUBLE_EPS = 2.220446049250313e-16
 # fixed values: the names of the study's metrics, in its order
@@ -37,20 +39,19 @@ def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(r, cond, "left").drop("__l", "__j", *[f"__j_{c}" for c in by])
 
 
-def confusion_counts(pred: DataFrame, by: list[str], y: str = "y", score: str = "score",
-                     threshold: float = 0.5, eps: float = DOUBLE_EPS) -> DataFrame:
-    """E1 (+ sums for E10/E11): tn, fp, fn, tp, n, log-loss sum, squared-error sum per group."""
-    yy = F.col(y).cast("int")
-    s = F.col(score).cast("double")
+def confusion_counts(levels: DataFrame, by: list[str], threshold: float = 0.5, eps: float = DOUBLE_EPS) -> DataFrame:
+    """E1 (+ sums for E10/E11) from ``score_levels``: tn, fp, fn, tp, n, log-loss sum, squared-error sum per group."""
+    s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     hit = s >= F.lit(threshold)
     p1 = F.greatest(F.least(s, F.lit(1.0 - eps)), F.lit(eps))
     p0 = F.greatest(F.least(1.0 - s, F.lit(1.0 - eps)), F.lit(eps))
-    return pred.groupBy(*by).agg(
-        F.count_if((yy == 0) & ~hit).alias("tn"), F.count_if((yy == 0) & hit).alias("fp"),
-        F.count_if((yy == 1) & ~hit).alias("fn"), F.count_if((yy == 1) & hit).alias("tp"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(yy == 1, -F.log(p1)).otherwise(-F.log(p0))).alias("__ll"),
-        F.sum((s - yy) * (s - yy)).alias("__se"))
+    where = lambda cond, c: F.coalesce(F.sum(F.when(cond, c).otherwise(0)), F.lit(0))
+    return levels.groupBy(*by).agg(
+        where(~hit, neg).alias("tn"), where(hit, neg).alias("fp"),
+        where(~hit, pos).alias("fn"), where(hit, pos).alias("tp"),
+        F.coalesce(F.sum("__rows"), F.lit(0)).alias("n"),
+        F.sum(-F.log(p1) * pos - F.log(p0) * (F.col("__rows") - pos)).alias("__ll"),
+        F.sum(pos * (s - 1) * (s - 1) + neg * s * s).alias("__se"))
 
 
 def threshold_metrics(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -73,21 +74,22 @@ def threshold_metrics(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def score_levels(pred: DataFrame, by: list[str], y: str = "y", score: str = "score",
                  weight: str | None = None) -> DataFrame:
-    """Distinct (group, score) with positive / negative (weighted) counts."""
+    """Distinct (group, score) with positive / negative (weighted) counts and the number of rows (``__rows``)."""
     w = F.col(weight) if weight else F.lit(1)
     yy = F.col(y).cast("int")
     return pred.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.when(yy == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(yy == 0, w).otherwise(0)).alias("neg"))
+        F.sum(F.when(yy == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(yy == 0, w).otherwise(0)).alias("neg"),
+        F.count(F.lit(1)).alias("__rows"))
 
 
 def rank_metrics_from_levels(levels: DataFrame, by: list[str]) -> DataFrame:
-    """E8 + E9 from one descending running-totals pass over the score levels.
+    """E8 + E9 from one descending running-totals pass over the score levels, which are a written table.
 
     With tps/fps = positives/negatives scoring >= s, the negatives strictly
     below s are N - fps, so AUC = sum pos * (N - fps + neg / 2) / (P N) and
     AP = sum pos * tps / (tps + fps) / P share the same scan.
     """
-    run = running_totals(levels, by, [-F.col("score"), "score"], {"tps": "pos", "fps": "neg"}, with_totals=True)
+    run = running_totals(levels, by, [-F.col("score"), "score"], {"tps": "pos", "fps": "neg"}, with_totals=True, written=True)
     agg = run.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("fps_total") - F.col("fps") + F.col("neg") * 0.5)).alias("__u"),
         F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps")))
@@ -102,9 +104,10 @@ def rank_metrics_from_levels(levels: DataFrame, by: list[str]) -> DataFrame:
 
 def classification_metrics(pred: DataFrame, by: list[str], y: str = "y", score: str = "score",
                            threshold: float = 0.5, eps: float = DOUBLE_EPS) -> DataFrame:
-    """All 13 study metrics (+ tn, fp, fn, tp) per group."""
-    counts = threshold_metrics(confusion_counts(pred, by, y, score, threshold, eps), threshold)
-    out = _join(counts, rank_metrics_from_levels(score_levels(pred, by, y, score), by), by)
+    """All 13 study metrics (+ tn, fp, fn, tp) per group; the predictions are evaluated once, to write their score levels."""
+    levels = materialize(score_levels(pred, by, y, score))
+    counts = threshold_metrics(confusion_counts(levels, by, threshold, eps), threshold)
+    out = _join(counts, rank_metrics_from_levels(levels, by), by)
     return out.select(*by, *METRIC_COLUMNS, "tn", "fp", "fn", "tp")
 
 
@@ -118,9 +121,9 @@ def roc_curve(pred: DataFrame, by: list[str], y: str = "y", score: str = "score"
     level is found by an equi-join on the level ordinal, not by ``lead`` over
     a whole group. A rate whose class is absent from the group is NULL.
     """
-    levels = score_levels(pred, by, y, score)
+    levels = materialize(score_levels(pred, by, y, score))
     run = running_totals(levels, by, [-F.col("score"), "score"],
-                         {"tps": "pos", "fps": "neg", "idx": F.lit(1)}, with_totals=True)
+                         {"tps": "pos", "fps": "neg", "idx": F.lit(1)}, with_totals=True, written=True)
     run = run.select(*by, "score", "pos", "neg", "tps", "fps", "idx",
                      F.col("tps_total").alias("P"), F.col("fps_total").alias("N"), F.col("idx_total").alias("m"))
     if drop_intermediate:

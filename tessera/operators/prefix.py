@@ -88,16 +88,18 @@ def with_ranges(df: DataFrame, keys: list[str], order: list, rows_per_range: int
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list, values: dict, with_totals: bool = False,
-                   inclusive: bool = True, rows_per_range: int | None = None) -> DataFrame:
+                   inclusive: bool = True, rows_per_range: int | None = None, written: bool = False) -> DataFrame:
     """Add running sums of ``values`` within each ``keys`` group in ``order``.
 
     ``order`` must be a total order inside a group. Output keeps all input
     columns plus one column per value name (inclusive running sum unless
-    ``inclusive=False``) and, when asked, ``<name>_total`` per group.
+    ``inclusive=False``) and, when asked, ``<name>_total`` per group. The input
+    is written first; ``written=True`` says that ``df`` is such a table already.
     """
     vals = {name: _as_col(v) for name, v in values.items()}
-    # written once: the sample, the rows and the totals read the table, so calls on each other's results don't multiply
-    rows = materialize(df.withColumns({f"__v_{name}": v for name, v in vals.items()}))
+    # the sample, the rows and the totals read one table, so calls on each other's results don't multiply
+    rows = df.withColumns({f"__v_{name}": v for name, v in vals.items()})
+    rows = rows if written else materialize(rows)
     staged = with_ranges(rows, keys, order, rows_per_range)
     dealt = ["__group", "__range"]
     inside = (Window.partitionBy(*dealt).orderBy(*[_as_col(o) for o in order])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_order_sql
 from tessera.operators.prefix import running_totals
-
+from tessera.session import materialize
 
 #: Class tables of up to so many lines are broadcast.
 CLASSES = 10_000
@@ -33,13 +33,6 @@ def hash_key(key: str, salt: str, seed: int) -> str:
     return hash_order_sql(f"concat(CAST({key} AS STRING), '|{salt}|{seed}')")
 
 
-def rank_in_class(df: DataFrame, target: str, key: str, salt: str = "split", seed: int = 42) -> DataFrame:
-    """Add ``rank_in_class`` (1-based) in md5(key, salt, seed) order, ties by key."""
-    h = df.withColumn("__h", F.expr(hash_key(key, salt, seed)))
-    ranked = running_totals(h, [target], ["__h", key], {"rank_in_class": F.lit(1)})
-    return ranked.drop("__h")
-
-
 def largest_remainder_quotas(counts: DataFrame, target: str, n_col: str, draws: F.Column) -> DataFrame:
     """Per-class quota of ``draws`` proportional to class size, leftovers by largest remainder.
 
@@ -64,18 +57,26 @@ def _with_class(rows: DataFrame, classes: DataFrame, target: str) -> DataFrame:
     (``CLASSES`` lines, far fewer than the labels of a classifier), and
     beyond that Spark joins by class, where no class is large.
     """
-    few = classes.limit(CLASSES + 1).count() <= CLASSES
-    line = classes.withColumnRenamed(target, "__class")
+    lines = classes.limit(CLASSES + 1).collect()
+    few = len(lines) <= CLASSES
+    line = rows.sparkSession.createDataFrame(lines, classes.schema) if few else classes
+    line = line.withColumnRenamed(target, "__class")
     line = F.broadcast(line) if few else line
     return rows.join(line, F.col(target).eqNullSafe(F.col("__class"))).drop("__class")
 
 
 def study_split(df: DataFrame, target: str, key: str, test_fraction: float = 0.2, folds: int = 5,
                 seed: int = 42, salt: str = "split") -> DataFrame:
-    """Add ``is_test`` (exact stratified hold-out) and ``fold`` (1..k for train rows, NULL for test)."""
+    """Add ``is_test`` (exact stratified hold-out) and ``fold`` (1..k for train rows, NULL for test).
+
+    Rows are ranked inside their class in md5(key, salt, seed) order, ties by
+    key. The input is evaluated once: class sizes and ranks read the table
+    that it is written to.
+    """
     if folds < 2:
         raise ValueError("folds must be at least 2")
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
+    rows = materialize(df.withColumn("__h", F.expr(hash_key(key, salt, seed))))
+    counts = rows.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
     w = Window.partitionBy()
     n = F.sum("n_c").over(w)
     n_train = n - F.ceil(F.lit(float(test_fraction)) * n)
@@ -84,7 +85,7 @@ def study_split(df: DataFrame, target: str, key: str, test_fraction: float = 0.2
         target, "n_c", "train_c", (F.col("n_c") - F.col("train_c")).alias("test_c"),
         F.coalesce(F.sum("train_c").over(Window.partitionBy().orderBy(target)
                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_c"))
-    ranked = rank_in_class(df, target, key, salt, seed)
+    ranked = running_totals(rows, [target], ["__h", key], {"rank_in_class": F.lit(1)}, written=True).drop("__h")
     joined = _with_class(ranked, cls, target)
     is_test = F.col("rank_in_class") <= F.col("test_c")
     fold = F.when(~is_test, F.pmod(F.col("offset_c") + F.col("rank_in_class") - F.col("test_c") - 1, F.lit(folds)) + 1)

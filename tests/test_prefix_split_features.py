@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import features, prefix, split
+from tessera.operators import features, metrics, prefix, split
 
 
 def test_running_totals_match_window_with_split_groups(spark):
@@ -101,3 +101,36 @@ def test_bracketed_quantiles_shuffle_gaps_and_brackets(spark):
         prefix.running_totals = running
     # a bracket, with the sketch's own error at its ends, and the gaps on both sides of it
     assert seen[0] <= 200_000 * 6 / 2000 + 2
+
+
+def test_inputs_are_evaluated_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    def passes(df, run):
+        before = read.value
+        run(df.mapInArrow(counted, df.schema))
+        return (read.value - before) / df.count()
+
+    rows = spark.range(0, 3000, 1, 4).selectExpr("id AS key", "CAST(id % 3 = 0 AS INT) AS y", "CAST(id % 977 AS DOUBLE) / 977 AS score",
+                                                 "CAST(id % 5 + 1 AS INT) AS fold", "IF(id % 7 = 0, NULL, CAST(id AS DOUBLE)) AS v", "CAST(id % 4 AS STRING) AS c")
+    assert passes(rows, lambda d: split.study_split(d.drop("fold"), "y", "key").collect()) == 1
+    assert passes(rows, lambda d: metrics.classification_metrics(d, ["fold"]).collect()) == 1
+    assert passes(rows, lambda d: metrics.roc_curve(d, ["fold"]).collect()) == 1
+
+    def both(d):
+        for table in features.fold_statistics(d, ["v", "score"], ["c"], 5):
+            table.collect()
+
+    assert passes(rows, both) == 1
+
+
+def test_class_tables_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.range(0, 600).selectExpr("id AS key", "CAST(id % 3 AS INT) AS y")
+    want = sorted(map(tuple, split.study_split(df, "y", "key").collect()))
+    monkeypatch.setattr(split, "CLASSES", 2)
+    assert sorted(map(tuple, split.study_split(df, "y", "key").collect())) == want
