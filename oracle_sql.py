@@ -773,6 +773,8 @@ SELECT model, CAST(fold AS INTEGER) AS fold, count(*) AS rows, CAST(sum(y) AS BI
 FROM r, (VALUES ('MLP'), ('DNN'), ('RBF')) m(model) GROUP BY model, fold"""
     out["tune"] = """SELECT CAST(4 AS BIGINT) AS trials, CAST(4 AS BIGINT) AS settings, CAST(1 AS BIGINT) AS best, true AS best_is_highest,
 true AS f1_above_floor, true AS settings_matter"""
+    out["tune_step_size"] = """SELECT CAST(8 AS BIGINT) AS trials, CAST(8 AS BIGINT) AS step_sizes, true AS steps_in_range, CAST(2 AS BIGINT) AS trained_to_the_end,
+CAST(1 AS BIGINT) AS best, true AS best_is_highest, true AS auc_above_floor, true AS settings_matter"""
     h = """CAST(('0x' || substr(md5(concat(CAST(vec_id AS VARCHAR), '|split|42')), 1, 15)) AS BIGINT)"""
     out["persist_roundtrip"] = f"""WITH {quota},
 k AS (SELECT vec_id, y, row_number() OVER (PARTITION BY y ORDER BY {h}, vec_id) AS rank
@@ -840,6 +842,18 @@ def _bigint_counts(sql: str) -> str:
         i = k + 1
 
 
+def _report(q: dict[str, str]) -> dict[str, str]:
+    """What each column of each report table holds."""
+    from tessera.plans.queries import REPORT_TABLES
+    cells = " UNION ALL ".join(
+        f"""SELECT '{name}' AS report_table, "column", text FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({q[query]})) UNPIVOT INCLUDE NULLS (text FOR "column" IN (COLUMNS(*)))"""
+        for name, query in REPORT_TABLES.items())
+    return {"report_json_roundtrip": f"""SELECT report_table, "column", count(*) AS rows, count(text) AS filled, count(DISTINCT number) AS numbers, min(number) AS least, max(number) AS greatest,
+  count(DISTINCT word) AS words, min(word) AS first_word, max(word) AS last_word
+FROM (SELECT *, CASE WHEN number IS NULL THEN text END AS word FROM (SELECT *, TRY_CAST(text AS DOUBLE) AS number FROM ({cells})))
+GROUP BY ALL"""}
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q.update(_slice1())
@@ -851,4 +865,5 @@ def oracle_sql() -> dict[str, str]:
     q.update(_model_checks())
     q.update(_sources())
     q.update(_prepared())
+    q.update(_report(q))
     return {k: _bigint_counts(_rnd_all(v)) for k, v in q.items()}

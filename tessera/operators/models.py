@@ -42,6 +42,8 @@ class ModelConfig:
     rbf_centers: int = 16
     rbf_gamma: float = 1.0
     seed: int = 42
+    solver: str = "l-bfgs"  # or "gd", gradient descent
+    step_size: float = 0.03  # of gradient descent alone
 
     def as_dict(self) -> dict:
         return dict(self.__dict__)
@@ -64,7 +66,10 @@ class FittedModel:
 
     def score(self, df: DataFrame, keep: list[str], output: str = "score") -> DataFrame:
         """Keep columns + P(class 1). Works on batch and streaming frames."""
-        x = _features(df, self.preprocessor, list(keep))
+        return self.score_features(_features(df, self.preprocessor, list(keep)), keep, output)
+
+    def score_features(self, x: DataFrame, keep: list[str], output: str = "score") -> DataFrame:
+        """``score`` of rows that are prepared already (keep columns + ``__x``)."""
         if self.config.name == "RBF":
             x = rbf_features(x, "__x", self.centers, self.config.rbf_gamma, "__x")
         x = x.select(*keep, array_to_vector("__x").alias("features"))
@@ -102,18 +107,23 @@ def _features(rows: DataFrame, pre: Preprocessor, keep: list[str]) -> DataFrame:
     return pre.transform(rows, keep=keep).select(*keep, feats.alias("__x"))
 
 
-def _network(x: DataFrame, config: ModelConfig, pre: Preprocessor, target: str, started: float) -> FittedModel:
-    """Fit the network on rows of (target, __x)."""
-    centers = []
+def _network(x: DataFrame, config: ModelConfig, pre: Preprocessor, target: str, started: float,
+             rounds: int | None = None, before: FittedModel | None = None) -> FittedModel:
+    """Fit the network on rows of (target, __x), by ``rounds`` (default: the setting's) from the weights and centres of ``before``."""
+    centers = before.centers if before else []
     if config.name == "RBF":
-        km = KMeans(k=int(config.rbf_centers), seed=config.seed, maxIter=30).fit(x.select(array_to_vector("__x").alias("features")))
-        centers = [list(map(float, c)) for c in km.clusterCenters()]
+        if not before:
+            km = KMeans(k=int(config.rbf_centers), seed=config.seed, maxIter=30).fit(x.select(array_to_vector("__x").alias("features")))
+            centers = [list(map(float, c)) for c in km.clusterCenters()]
         x = rbf_features(x, "__x", centers, config.rbf_gamma, "__x")
     dim = len(centers) if centers else len(pre.feature_names())
     x = x.select(F.col(target).cast("double").alias("label"), array_to_vector("__x").alias("features"))
-    mlp = MultilayerPerceptronClassifier(layers=[dim, *(config.hidden or HIDDEN[config.name]), 2], maxIter=config.max_iter,
-                                         blockSize=config.block_size, seed=config.seed).fit(x)
-    return FittedModel(config, pre, mlp, centers, time.perf_counter() - started)
+    network = MultilayerPerceptronClassifier(layers=[dim, *(config.hidden or HIDDEN[config.name]), 2], maxIter=rounds or config.max_iter,
+                                             blockSize=config.block_size, seed=config.seed, solver=config.solver, stepSize=config.step_size)
+    if before:
+        network = network.setInitialWeights(before.mlp.weights)
+    seconds = before.train_seconds if before else 0.0
+    return FittedModel(config, pre, network.fit(x), centers, seconds + time.perf_counter() - started)
 
 
 def fit(train: DataFrame, config: ModelConfig, numeric: list[str], categorical: list[str],
@@ -166,12 +176,17 @@ def cv_table(preds: DataFrame) -> DataFrame:
     return M.classification_metrics(preds, ["model", "fold"])
 
 
+#: Range of the step sizes that are tried; rounds divide them by the root of their number.
+STEPS = (0.05, 5.0)
+
+
 def search_space(base: ModelConfig, trials: int, seed: int = 42) -> list[ModelConfig]:
     """M6: seeded random search over what changes a spark.ml network's fit.
 
     Widths of the hidden layers (the study's, halved or doubled) and rounds of
-    L-BFGS (which has no step size) for all networks; centres in {8, 16, 32}
-    and gamma log-uniform in [0.1, 3.0] for the RBF network. Trials that repeat
+    the solver for all networks; centres in {8, 16, 32} and gamma log-uniform
+    in [0.1, 3.0] for the RBF network; step sizes log-uniform in ``STEPS`` where
+    the solver is gradient descent (L-BFGS has none). Trials that repeat
     one before are drawn again while new ones remain; the trial count is
     clamped to 1..100.
     """
@@ -183,7 +198,8 @@ def search_space(base: ModelConfig, trials: int, seed: int = 42) -> list[ModelCo
                             hidden=[max(2, int(w * scale)) for w in HIDDEN[base.name]], block_size=base.block_size,
                             rbf_centers=rng.choice([8, 16, 32]) if base.name == "RBF" else base.rbf_centers,
                             rbf_gamma=math.exp(rng.uniform(math.log(0.1), math.log(3.0))) if base.name == "RBF" else base.rbf_gamma,
-                            seed=base.seed)
+                            seed=base.seed, solver=base.solver,
+                            step_size=math.exp(rng.uniform(*map(math.log, STEPS))) if base.solver == "gd" else base.step_size)
         if trial not in out:
             out.append(trial)
         if len(out) == max(1, min(100, int(trials))):
@@ -193,22 +209,42 @@ def search_space(base: ModelConfig, trials: int, seed: int = 42) -> list[ModelCo
 
 def tune(train: DataFrame, base: ModelConfig, trials: int, numeric: list[str], categorical: list[str],
          target: str = "result", key: str = "order_key", valid_col: str = "is_validation",
-         metric: str = "f1") -> DataFrame:
-    """M6: evaluate each trial on an inner validation split of the training rows (never the test
-    rows); preprocessing is fitted inside the inner training part. Returns one row per trial;
-    ``best`` marks the first of the highest value."""
-    fit_part = train.where(~F.col(valid_col))
-    val_part = train.where(F.col(valid_col))
-    rows = []
-    for i, cfg in enumerate(search_space(base, trials)):
-        m = fit(fit_part, cfg, numeric, categorical, target, key)
-        s = m.score(val_part, keep=[key, target]).withColumnRenamed(target, "y")
-        value = M.classification_metrics(s, []).select(metric).first()[0]
-        rows.append((base.name, i, json.dumps(cfg.as_dict(), sort_keys=True), float(value), m.train_seconds))
-    top = max(range(len(rows)), key=lambda i: (rows[i][3], -i))
+         metric: str = "f1", halvings: int = 0, parallel: int = 4) -> DataFrame:
+    """M6: evaluate each trial on an inner validation split of the training rows (never the test rows).
+
+    Preprocessing is fitted once, inside the inner training part; both parts'
+    features are tables that all trials read, ``parallel`` of them at a time.
+    With ``halvings`` trials train in stages, each stage twice as long in all
+    as the one before and from the weights it left; after each but the last the better
+    half (rounded up; of equal values the first) goes on. The trials of a
+    stage are measured in one grouped job. Returns one row per trial with its
+    rounds and last value; ``best`` marks the first of the highest value
+    among those that trained to the end.
+    """
+    fit_part, val_part = train.where(~F.col(valid_col)), train.where(F.col(valid_col))
+    pre = fit_preprocessor(fit_part, numeric, categorical)
+    weighted = replicate_by_weight(fit_part, target, key, balanced_weights(fit_part, target), base.seed)
+    x_fit = materialize(_features(weighted, pre, [target]))
+    x_val = materialize(_features(val_part, pre, [target]))
+    configs = search_space(base, trials)
+    going, models, rounds, values = list(range(len(configs))), {}, [0] * len(configs), [0.0] * len(configs)
+    with ThreadPoolExecutor(parallel) as pool:
+        for stage in range(halvings + 1):
+            def trained(i: int, stage: int = stage) -> FittedModel:
+                upto = max(1, configs[i].max_iter >> (halvings - stage))
+                more, rounds[i] = max(1, upto - rounds[i]), upto
+                return _network(x_fit, configs[i], pre, target, time.perf_counter(), more, models.get(i))
+
+            models |= dict(zip(going, pool.map(trained, going), strict=True))
+            scored = [models[i].score_features(x_val, [target]).withColumn("trial", F.lit(i)) for i in going]
+            for row in M.classification_metrics(reduce(DataFrame.unionByName, scored), ["trial"], y=target).collect():
+                values[row["trial"]] = float(row[metric])
+            if stage < halvings:
+                going = sorted(sorted(going, key=lambda i: (-values[i], i))[:-(-len(going) // 2)])
+    top = min(going, key=lambda i: (-values[i], i))
+    rows = [(base.name, i, json.dumps(c.as_dict(), sort_keys=True), values[i], models[i].train_seconds, rounds[i], i == top) for i, c in enumerate(configs)]
     return train.sparkSession.createDataFrame(
-        [(*r, i == top) for i, r in enumerate(rows)],
-        "model string, trial int, params string, value double, train_seconds double, best boolean")
+        rows, "model string, trial int, params string, value double, train_seconds double, rounds int, best boolean")
 
 
 def save(model: FittedModel, path: str, threshold: float = 0.5, metadata: dict | None = None) -> None:

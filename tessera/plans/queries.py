@@ -585,6 +585,22 @@ def q_tune(spark: SparkSession, sf: str) -> DataFrame:
                       (F.max("value") >= F1_FLOOR).alias("f1_above_floor"), (F.count_distinct("value") > 1).alias("settings_matter"))
 
 
+def q_tune_step_size(spark: SparkSession, sf: str) -> DataFrame:
+    """M6 with learning rates: eight trials of gradient descent, the worse half stopped twice; preparation fitted once."""
+    from tessera.operators import models
+    rows = _embedding_rows_cut(spark, sf).where(~F.col("is_test")).drop("is_test", "fold")
+    inner = split.stratified_holdout(rows, "result", "vec_id", 0.2, SEED, salt="tune").withColumnRenamed("is_test", "is_validation")
+    base = models.ModelConfig("MLP", max_iter=40, solver="gd")
+    trials = models.tune(inner, base, 8, EMBEDDING_NUMERIC, ["side"], key="vec_id", metric="roc_auc", halvings=2)
+    setting = lambda name: F.get_json_object("params", f"$.{name}").cast("double")
+    step, full = setting("step_size"), F.col("rounds") == setting("max_iter").cast("int")
+    return trials.agg(F.count(F.lit(1)).alias("trials"), F.count_distinct(step).alias("step_sizes"), F.bool_and(step.between(*models.STEPS)).alias("steps_in_range"),
+                      F.count_if(full).alias("trained_to_the_end"), F.count_if("best").alias("best"),
+                      (F.max(F.when(F.col("best"), F.col("value"))) == F.max(F.when(full, F.col("value")))).alias("best_is_highest"),
+                      (F.max(F.when(F.col("best"), F.col("value"))) >= AUC_FLOOR).alias("auc_above_floor"),
+                      (F.count_distinct("value") > 1).alias("settings_matter"))
+
+
 def q_persist_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """S7 + S10 + M10: save the fitted network and preprocessing, load them back: every hold-out score is the same."""
     import uuid
@@ -745,6 +761,35 @@ def q_report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_result(spark, folder, "model_comparison")
 
 
+#: The tables of a whole report and the queries that make them.
+REPORT_TABLES = {"quality": "quality_report", "describe_categories": "describe_categorical", "histograms": "histogram", "box_stats": "box_stats",
+                 "correlation": "correlation", "categories": "category_class", "cv_results": "cv_metrics", "test_metrics": "test_metrics",
+                 "friedman": "cv_friedman", "paired_tests": "cv_tests", "mcnemar": "mcnemar", "roc_curves": "roc_curve"}
+
+
+def q_report_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole report as JSON documents with their schemas, read back: what each column of each table holds."""
+    import uuid
+    from functools import reduce
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources import files
+    folder = f"{ensure_checkpoint_dir(spark)}/reports/{uuid.uuid4().hex}"
+    files.write_report({name: REGISTRY[query](spark, sf) for name, query in REPORT_TABLES.items()}, folder, "json")
+
+    def cells(name: str) -> DataFrame:
+        table = files.read_result(spark, folder, name, "json")
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text"),
+                                  (F.col(f"`{c}`").cast("string") if t == "boolean" else F.col(f"`{c}`")).try_cast("double").alias("number"))
+                         for c, t in table.dtypes])
+        return table.select(F.lit(name).alias("report_table"), F.explode(each).alias("cell")).select("report_table", "cell.*")
+
+    known, words = F.col("text").isNotNull(), F.when(F.col("number").isNull(), F.col("text"))
+    return reduce(DataFrame.unionByName, map(cells, REPORT_TABLES)).groupBy("report_table", "column").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(known).alias("filled"), F.count_distinct("number").alias("numbers"),
+        F.min("number").alias("least"), F.max("number").alias("greatest"),
+        F.count_distinct(words).alias("words"), F.min(words).alias("first_word"), F.max(words).alias("last_word"))
+
+
 def q_quality_report(spark: SparkSession, sf: str) -> DataFrame:
     """A1-A6 + P1/P2 renames + P5/P8 warnings: the data-quality document of the validated upload, long form."""
     v = validate.validate(td.upload_frame(spark, sf), td.ORDER_SPEC)
@@ -879,6 +924,7 @@ REGISTRY = {
     "rbf_fit_score": q_rbf_fit_score,
     "cross_validate": q_cross_validate,
     "tune": q_tune,
+    "tune_step_size": q_tune_step_size,
     "persist_roundtrip": q_persist_roundtrip,
     "pipeline_persist": q_pipeline_persist,
     "rbf_kernel_features": q_rbf_kernel_features,
@@ -888,6 +934,7 @@ REGISTRY = {
     "csv_multiline_split": q_csv_multiline_split,
     "newest_file": q_newest_file,
     "report_roundtrip": q_report_roundtrip,
+    "report_json_roundtrip": q_report_json_roundtrip,
     "quality_report": q_quality_report,
     "feature_columns": q_feature_columns,
     "batch_export": q_batch_export,

@@ -7,6 +7,7 @@ land as one directory per table.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import reduce
 
@@ -96,13 +97,20 @@ def newest_file(spark: SparkSession, directory: str, patterns: str = "*.{csv,CSV
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Persist a table as parquet, CSV (with header) or JSON lines, one file for each partition."""
+    """Persist a table as parquet, CSV (with header) or JSON lines, one file for each partition.
+
+    JSON documents have null fields written out, and the table's schema in a
+    document beside them (``<path>.schema``), as JSON alone does not tell whole
+    doubles from integers or dates from text.
+    """
     writer = df.write.mode(mode)
     if fmt == "csv":
         # a quote inside a cell is doubled, as readers expect
         writer.options(header=True, escape='"').csv(path)
     elif fmt == "json":
-        writer.json(path)
+        writer.option("ignoreNullFields", False).json(path)
+        schema = df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1)
+        schema.write.mode(mode if mode == "overwrite" else "ignore").text(f"{path}.schema")
     else:
         writer.parquet(path)
 
@@ -118,10 +126,11 @@ def write_report(tables: dict[str, DataFrame], directory: str, fmt: str = "parqu
 
 
 def read_result(spark: SparkSession, directory: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Read a persisted result table back."""
+    """Read a persisted result table back (JSON by the schema written beside it)."""
     p = os.path.join(directory, name)
     if fmt == "csv":
         return spark.read.option("header", True).option("inferSchema", True).csv(p)
     if fmt == "json":
-        return spark.read.json(p)
+        schema = StructType.fromJson(json.loads(spark.read.text(f"{p}.schema").first()[0]))
+        return spark.read.schema(schema).json(p)
     return spark.read.parquet(p)

@@ -1,5 +1,6 @@
 """File sources/sinks, spark.ml models with persistence, streaming scoring."""
 
+import json
 import os
 import tempfile
 import time
@@ -132,3 +133,33 @@ def test_streaming_scoring(spark, study):
     got = spark.read.parquet(out)
     assert got.count() == raw.count()
     assert set(got.columns) >= {"key", "score", "predicted_class", "recommendation", "violations"}
+
+
+def test_tuning_stops_the_worse_half_and_goes_on_from_its_weights(spark, study):
+    num, cat = list(IRRIGATION_SPEC.numeric), list(IRRIGATION_SPEC.categorical)
+    rows = study.where("NOT is_test").withColumn("is_validation", F.col("fold") == 1)
+    base = models.ModelConfig("RBF", max_iter=8, rbf_centers=8, solver="gd")
+    got = models.tune(rows, base, 4, num, cat, key="key", halvings=1).orderBy("trial").collect()
+    settings = [models.ModelConfig(**json.loads(r.params)) for r in got]
+    full = [r.rounds == s.max_iter for r, s in zip(got, settings)]
+    assert len(got) == 4 and sum(full) == 2 and all(r.rounds == s.max_iter // 2 for r, s, f in zip(got, settings, full) if not f)
+    assert len({s.step_size for s in settings}) == 4 and all(models.STEPS[0] <= s.step_size <= models.STEPS[1] for s in settings)
+    finished = [r.value for r, f in zip(got, full) if f]
+    assert [r.value for r in got if r.best] == [max(finished)] and all(f for r, f in zip(got, full) if r.best)
+    # without halvings each trial is the plain fit of its setting
+    plain = models.tune(rows, base, 1, num, cat, key="key").first()
+    fitted = models.fit(rows.where("NOT is_validation"), models.search_space(base, 1)[0], num, cat, "result", "key")
+    scored = fitted.score(rows.where("is_validation"), ["result"])
+    assert plain.value == models.M.classification_metrics(scored, [], y="result").first().f1
+
+
+def test_json_documents_keep_types_nulls_and_special_values(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1, 1.0D, double('inf'), 'x', DATE'2024-02-29', array(1, NULL)), (NULL, double('nan'), -0.5D, NULL, NULL, NULL),
+                      (3, 2.0D, double('-inf'), '"q"\\n', DATE'1999-01-01', array()) AS t(`a b`, c, d, e, f, `g.h`)""")
+    folder = tempfile.mkdtemp(prefix="tessera-json-")
+    for _ in range(2):  # written over
+        files.write_report({"odd": df, "none": df.limit(0)}, folder, "json")
+    back = files.read_result(spark, folder, "odd", "json")
+    assert back.dtypes == df.dtypes and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    none = files.read_result(spark, folder, "none", "json")
+    assert none.dtypes == df.dtypes and none.count() == 0
