@@ -26,8 +26,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut, lower_ascii
 
-#: Keys that are drawn to place the split points.
-SAMPLE = 20_000
+#: Keys that are drawn to place the split points, and the characters of each that are used: any texts may be borders.
+SAMPLE, LONGEST = 20_000, 1000
+#: Keys are drawn by a hash modulo this.
+DRAW = 1 << 60
+
+
+def draw_below(n: int) -> int:
+    """Of ``n`` keys, about ``SAMPLE`` have a hash (modulo ``DRAW``) below this."""
+    return min(DRAW, max(1, DRAW * SAMPLE // n)) if n else DRAW
 
 
 def with_host_and_path(pages: DataFrame) -> DataFrame:
@@ -64,10 +71,8 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(max(depth, 1)))), lambda n: F.array_join(F.slice("labels", 1, n), "."))
     keys = cut(distinct.withColumn("labels", labels).select("host", "path", F.explode(ancestors).alias("ancestor"))
                .select("host", "path", F.concat("ancestor", F.lit("\x00"), "path").alias("key")), "url-keys")
-    n = keys.count()
-    share = min(1.0, SAMPLE / n) if n else 1.0
-    drawn = sorted(r["key"] for r in keys.filter(F.pmod(F.xxhash64("key", "host"), F.lit(1_000_000)) < int(share * 1_000_000))
-                   .select("key").limit(4 * SAMPLE).collect())
+    drawn = sorted(r["key"] for r in keys.filter(F.pmod(F.xxhash64("key", "host"), F.lit(DRAW)) < draw_below(keys.count()))
+                   .select(F.substring("key", 1, LONGEST).alias("key")).limit(4 * SAMPLE).collect())
     # four ranges for each partition, as the ranges are dealt to partitions by hash
     splits = sorted({drawn[i * len(drawn) // (4 * parts)] for i in range(1, 4 * parts)}) if drawn else []
 

@@ -55,3 +55,17 @@ def test_no_pages_or_no_rules(spark):
 
 def test_query_against_sql(spark):
     assert compare(queries()["op7_url_rules"](spark, SF001), duck(SF001), oracle_sql()["op7_url_rules"])["status"] == "exact"
+
+
+def test_keys_are_drawn_at_every_size(spark, monkeypatch):
+    for n in (10, 10**5, 10**11, 10**15):
+        assert abs(min(n, url_rules.SAMPLE) - n * url_rules.draw_below(n) / url_rules.DRAW) <= 1
+    assert url_rules.draw_below(0) == url_rules.DRAW
+    # borders cut to a few characters, and few of them: same verdicts
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.{'a.' * (i % 3)}net/{'en/' * (i % 4)}{i}") for i in range(400)], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("a.net", "/en/", "allow"), ("h3.net", "/en/en/", "allow"), ("h1.a.a.net", "/", "block")], "host string, path string, verdict string")
+    want = sorted(map(tuple, url_rules.judge(pages, rules).collect()))
+    for sample, longest in ((50, 1000), (200, 3), (400, 8)):
+        monkeypatch.setattr(url_rules, "SAMPLE", sample)
+        monkeypatch.setattr(url_rules, "LONGEST", longest)
+        assert sorted(map(tuple, url_rules.judge(pages, rules).collect())) == want
