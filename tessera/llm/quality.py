@@ -200,9 +200,10 @@ def fit_scorer(docs: DataFrame, patterns: DataFrame, model: LabelModel, max_docs
     known = patterns.select("pattern").distinct().toPandas()["pattern"].to_numpy()
     if not len(known):
         return None
-    likely = [int(p) for p, good in zip(known, model.posterior(known), strict=True) if good >= 0.5]
+    # one line for each pattern, 3**10 at most
+    likely = docs.sparkSession.createDataFrame(list(zip(known.tolist(), (model.posterior(known) >= 0.5).astype(int).tolist(), strict=True)), "pattern long, target int")
     target = patterns.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("pattern").alias("pattern")) \
-        .select("doc_id", F.col("pattern").isin(likely).cast("int").alias("target"))
+        .join(F.broadcast(likely), "pattern").select("doc_id", "target")
     got = sample_texts(docs, target, max_docs, max_bytes)
     if got.empty:
         return None
