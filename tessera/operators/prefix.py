@@ -5,86 +5,99 @@ row of a group into one task. For AUC, average precision, ROC points, exact
 stratified ranks and exact quantiles we need running totals over whole
 groups, any of which may hold a third of all rows. One plan serves all sizes:
 
-1. the rows are cut into ranges of (group, order) of about equal size. Split
-   points come from a sample of bounded size per range, drawn by hash; the
-   number of ranges follows the number of rows, so a group of any size is
+1. Spark deals the rows by range of (group, order), the one exchange of rows.
+   The number of ranges follows the number of rows, so a group of any size is
    spread over as many ranges as it fills;
-2. running totals inside each (group, range) with a window: the one exchange
-   of rows;
-3. totals per (group, range) are cumulated per group and joined back as
-   offsets, by plain equality on the columns the rows are already dealt by.
-   That table has at most #groups + #ranges rows.
-
-A row's range is a pure function of the row, so a retried task recomputes the
-same answer, and nothing is written in between.
+2. each range is sorted and read in order: a row gets the running totals
+   within its slice (the rows of one group in one range). The result is
+   written, with the slice's number;
+3. totals per slice are cumulated per group and joined back as offsets, by
+   that number. That table has at most #groups + #ranges rows.
+
+Slices depend on Spark's sample of split points, which is why they are
+written: totals and offsets read the same ones, whatever runs again.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, LongType, MapType, StructField, StructType, VariantType
 
 from tessera.session import materialize
 
 ROWS_PER_RANGE = "tessera.prefix.rowsPerBucket"
-#: Sampled rows behind each split point.
-SAMPLE_PER_RANGE = 32
+#: With fewer rows than this a range is not worth a task.
+ROWS_WORTH_A_TASK = 5_000
+#: Offsets of up to so many slices are broadcast.
+SLICES = 100_000
+#: A range has fewer slices than this: the first slice of partition p has the number p * SLICES_PER_RANGE.
+SLICES_PER_RANGE = 1 << 33
 
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _below(bounds: str, v: str, n: int) -> str:
-    """How many of the ``n`` sorted elements of the array ``bounds`` are < v (binary search)."""
-    steps = max(1, math.ceil(math.log2(n + 1)) + 1)
-    middle = "CAST((bs.lo + bs.hi) div 2 AS INT)"
-    return (f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size({bounds})), "
-            f"(bs, bi) -> IF(bs.lo < bs.hi, IF({bounds}[{middle}] < {v}, named_struct('lo', {middle} + 1, 'hi', bs.hi), "
-            f"named_struct('lo', bs.lo, 'hi', {middle})), bs), bs -> bs.lo)")
-
-
-def with_ranges(df: DataFrame, keys: list[str], order: list, rows_per_range: int | None = None) -> DataFrame:
-    """Add ``__group`` (the keys as one non-null value) and ``__range`` (number of the row's range).
-
-    Rows with equal (keys, order) share a range; any others may be split.
-    The split points are a one-row table of at most max(shuffle partitions,
-    rows / rows_per_range) values, joined by a constant key.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_range = rows_per_range or int(spark.conf.get(ROWS_PER_RANGE, "1000000"))
-    # a struct is never null and equal to another with nulls in the same places
-    group = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
-    place = F.struct(group.alias("g"), *[_as_col(o).alias(f"o{i}") for i, o in enumerate(order)])
-    placed = df.select(place.alias("place"))
-
-    def drawn(size: int) -> tuple[list, int]:
-        seen = Observation()
-        rows = placed.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("place")).limit(size)
-        sample = rows.orderBy("place").collect()
-        return [r["place"] for r in sample], seen.get["n"]
-
-    size = SAMPLE_PER_RANGE * parts
-    sample, n = drawn(size)
-    ranges = max(parts, -(-n // per_range))
-    if SAMPLE_PER_RANGE * ranges > size and n > size:
-        sample, _ = drawn(SAMPLE_PER_RANGE * ranges)
-    ranges = max(1, min(ranges, len(sample)))
-    splits = [sample[i * len(sample) // ranges] for i in range(1, ranges)]
-    schema = placed.schema["place"].dataType
-    bounds = spark.createDataFrame([(1, splits)], "__one int, __bounds array<int>" if not splits else
-                                   df.select(F.lit(1).alias("__one")).schema.add("__bounds", ArrayType(schema)))
-    out = df.withColumns({"__group": group, "__one": F.lit(1)})
-    if not splits:
-        return out.withColumn("__range", F.lit(0)).drop("__one")
-    return (out.withColumn("__place", place).join(F.broadcast(bounds), "__one")
-               .withColumn("__range", F.expr(_below("__bounds", "__place", len(splits))))
-               .drop("__one", "__place", "__bounds"))
+def _starts(now: pa.Array, before: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; nulls are equal, NaNs too."""
+    both = pc.and_(pc.is_null(now, nan_is_null=True), pc.is_null(before, nan_is_null=True))
+    same_kind = pc.equal(pc.is_null(now), pc.is_null(before))
+    equal = pc.or_(pc.fill_null(pc.equal(now, before), False), pc.and_(both, same_kind))
+    return ~equal.to_numpy(zero_copy_only=False)
+
+
+def _sums(values: np.ndarray, new: np.ndarray, carry, inclusive: bool) -> tuple[np.ndarray, object]:
+    """Running sums that begin anew where ``new`` is set (else from ``carry``), and the sum that the next batch goes on from."""
+    at = np.flatnonzero(new)
+    if values.dtype == np.int64:
+        total = np.cumsum(values)
+        base = np.concatenate([[-carry], total[at] - values[at]])
+        out = total - base[np.cumsum(new)]
+    else:  # not by subtraction, which would lose digits
+        edges = [0, *at.tolist(), len(values)]
+        parts = [np.cumsum(np.concatenate([[0 if i else carry], values[a:b]]).astype(values.dtype))[1:]
+                 for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+        out = np.concatenate(parts).astype(values.dtype)
+    if inclusive:
+        return out, out[-1]
+    shifted = np.concatenate([[carry], out[:-1]]).astype(out.dtype)
+    shifted[at] = 0
+    return shifted, out[-1]
+
+
+def _in_order(names: list[str], keys: int, inclusive: bool):
+    """For ``mapInArrow``: batches of (columns..., keys..., values...), read in order, as (columns..., slice, sums...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last, carries = TaskContext.get().partitionId() * SLICES_PER_RANGE - 1, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns, rest = batch.columns[:len(names)], batch.columns[len(names):]
+            own, values = rest[:keys], rest[keys:]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            new[0] = last is None
+            for i, key in enumerate(own):
+                new[1:] |= _starts(key[1:], key[:-1])
+                new[0] = new[0] or _starts(key[:1], last[i])[0]
+            last = [key[-1:] for key in own]
+            slices = number + np.cumsum(new)
+            number = int(slices[-1])
+            sums, carries = zip(*[_sums(v.fill_null(0).to_numpy(zero_copy_only=False), new, carry, inclusive)
+                                  for v, carry in zip(values, carries or [0] * len(values), strict=True)], strict=True)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(slices), *[pa.array(s, v.type) for s, v in zip(sums, values, strict=True)]],
+                                             names=[f"c{i}" for i in range(len(names) + 1 + len(values))])
+
+    return run
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list, values: dict, with_totals: bool = False,
@@ -96,24 +109,37 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict, wi
     ``inclusive=False``) and, when asked, ``<name>_total`` per group. The input
     is written first; ``written=True`` says that ``df`` is such a table already.
     """
+    spark = df.sparkSession
     vals = {name: _as_col(v) for name, v in values.items()}
-    # the sample, the rows and the totals read one table, so calls on each other's results don't multiply
-    rows = df.withColumns({f"__v_{name}": v for name, v in vals.items()})
-    rows = rows if written else materialize(rows)
-    staged = with_ranges(rows, keys, order, rows_per_range)
-    dealt = ["__group", "__range"]
-    inside = (Window.partitionBy(*dealt).orderBy(*[_as_col(o) for o in order])
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
-    local = staged.withColumns({f"__loc_{name}": F.coalesce(F.sum(f"__v_{name}").over(inside), F.lit(0)) for name in vals})
-
-    slices = staged.groupBy(*dealt).agg(*[F.sum(f"__v_{name}").alias(f"__s_{name}") for name in vals])
-    before = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(
-        F.col("__group").alias("__og"), F.col("__range").alias("__or"),
+    rows = df if written else materialize(df)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_range = rows_per_range or int(spark.conf.get(ROWS_PER_RANGE, "1000000"))
+    n = rows.count()  # of a written table, from its files' footers
+    ranges = max(1, min(parts, n // ROWS_WORTH_A_TASK), -(-n // per_range))
+
+    types = rows.agg(*[F.sum(v).alias(name) for name, v in vals.items()]).schema
+    group = [F.col(f"`{k}`") for k in keys]
+    nested = [isinstance(rows.schema[k].dataType, (ArrayType, MapType, StructType, VariantType)) for k in keys]
+    place = [*group, *[_as_col(o) for o in order]]
+    dealt = rows.repartitionByRange(ranges, *place).sortWithinPartitions(*place).select(
+        *[F.col(f"`{c}`") for c in rows.columns], *[F.to_json(F.struct(g)) if deep else g for g, deep in zip(group, nested, strict=True)],
+        *[v.cast(types[name].dataType) for name, v in vals.items()])
+    # mapInArrow has its columns by place; those of the input are named by it again
+    dealt = dealt.toDF(*[f"c{i}" for i in range(len(dealt.columns))])
+    fields = [*rows.schema.fields, StructField("__slice", LongType()), *[StructField(f"__loc_{name}", types[name].dataType) for name in vals]]
+    out = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    local = materialize(dealt.mapInArrow(_in_order(rows.columns, len(keys), inclusive), out).toDF(*[f.name for f in fields]))
+
+    slices = local.groupBy("__slice").agg(*[F.first(g).alias(f"__g{i}") for i, g in enumerate(group)],
+                                          *[F.sum(v).alias(f"__s_{name}") for name, v in vals.items()])
+    same = Window.partitionBy(*[f"__g{i}" for i in range(len(keys))])
+    before = same.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(slices.select(
+        F.col("__slice").alias("__of"),
         *[F.coalesce(F.sum(f"__s_{name}").over(before), F.lit(0)).alias(f"__off_{name}") for name in vals],
-        *([F.sum(f"__s_{name}").over(Window.partitionBy("__group")).alias(f"{name}_total") for name in vals]
-          if with_totals else []))
-    joined = local.join(offsets, (F.col("__group") == F.col("__og")) & (F.col("__range") == F.col("__or")))
+        *([F.sum(f"__s_{name}").over(same).alias(f"{name}_total") for name in vals] if with_totals else [])))
+    offsets = F.broadcast(offsets) if offsets.count() <= SLICES else offsets
+    joined = local.join(offsets, F.col("__slice") == F.col("__of"))
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"__loc_{name}") + F.col(f"__off_{name}")).alias(name) for name in vals],

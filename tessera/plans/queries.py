@@ -268,7 +268,9 @@ def q_fold_category_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Long predictions (order_key, y, model, score, is_test, fold) for the five stand-in scorers."""
-    return td.scored(study_rows(spark, sf), "order_key", "result", SEED, keep=["is_test", "fold"]).withColumnRenamed("result", "y")
+    # the scorers read the key and the target alone, so the split need not write the features
+    rows = split.study_split(td.observations(spark, sf).select("order_key", "result"), "result", "order_key", 0.2, FOLDS, SEED)
+    return td.scored(rows, "order_key", "result", SEED, keep=["is_test", "fold"]).withColumnRenamed("result", "y")
 
 
 def _round_metrics(df: DataFrame, by: list[str]) -> DataFrame:

@@ -18,6 +18,28 @@ def test_running_totals_match_window_with_split_groups(spark):
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("keys", [[], ["k"], ["f"], ["st", "k"]])
+def test_running_totals_of_odd_keys_and_values(spark, keys, inclusive):
+    # null, NaN and nested keys; null values, doubles and decimals
+    df = spark.range(0, 3000).selectExpr(
+        "CASE WHEN id < 1500 THEN NULL WHEN id < 2500 THEN 'NaN' ELSE CAST(id % 3 AS STRING) END AS k", "id * 7919 % 6007 AS o",
+        "CASE WHEN id % 11 = 0 THEN NULL ELSE id % 5 END AS v", "CAST(id % 7 AS DOUBLE) / 4 AS d", "CAST(id % 9 AS DECIMAL(6, 2)) AS e",
+        "named_struct('a', CASE WHEN id < 700 THEN NULL ELSE id % 2 END) AS st").withColumn("f", F.col("k").try_cast("double"))
+    sums = {"a": F.col("v"), "b": F.col("d"), "c": F.col("e")}
+    got = prefix.running_totals(df, keys, [-F.col("o")], sums, with_totals=True, inclusive=inclusive)
+    w = Window.partitionBy(*keys).orderBy(-F.col("o")).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    want = df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in sums.items()],
+                     *[F.sum(c).over(Window.partitionBy(*keys)).alias(f"{n}_total") for n, c in sums.items()])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_running_totals_do_no_search_and_no_window_for_each_row(spark):
+    df = spark.range(0, 6000).selectExpr("id % 3 AS k", "id * 7919 % 6007 AS o", "id % 5 AS v")
+    plan = prefix.running_totals(df, ["k"], ["o"], {"cum": "v"})._jdf.queryExecution().toString()
+    assert "lambda" not in plan and "Window" not in plan and "hashpartitioning" not in plan
+
+
 def test_exact_quantiles_match_numpy(spark):
     vals = np.random.default_rng(1).normal(size=3001).round(3)
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
