@@ -18,7 +18,6 @@ else. Batches of any size and ranges with one score use bounded memory.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import TWO_32, poisson1_cdf
+from tessera.functions.hashing import TWO_32, md5_heads, poisson1_cdf
 from tessera.session import materialize
 
 #: Weights of so many values are held at a time.
 CELLS = 1 << 21
+#: And so many while pairs are counted; with so few rows that their products fit 32 bits.
+COUNTED, COUNTED_ROWS = 1 << 18, 1024
 VECTOR = "array<double>"
 
 
@@ -40,15 +41,15 @@ class Weights:
     def __init__(self, replicates: int, seed: int) -> None:
         self.replicates = replicates
         self.ends = [f"|{b}|{seed}".encode() for b in range(1, replicates + 1)]
-        self.cdf = np.array(poisson1_cdf())
+        # u <= F(k), u being a word / 2**32: the word is at most F(k) * 2**32 (a product that is exact)
+        self.borders = [np.uint32(min(int(c * TWO_32), 2**32 - 1)) for c in poisson1_cdf()]
 
     def drawn(self, keys: list[str]) -> np.ndarray:
         """One row of ``replicates`` weights (0 to 20) for each key."""
-        md5, out = hashlib.md5, np.empty((len(keys), self.replicates), dtype=np.uint8)
-        for i, key in enumerate(keys):
-            begin = key.encode()
-            words = np.frombuffer(b"".join([md5(begin + end).digest() for end in self.ends]), dtype=">u4")[::4]
-            out[i] = np.searchsorted(self.cdf, words / TWO_32)  # the least k with u <= F(k)
+        words = md5_heads([key.encode() for key in keys], self.ends)
+        out = np.zeros(words.shape, dtype=np.uint8)
+        for border in self.borders:  # the least k with u <= F(k)
+            out += words > border
         return out
 
     def packed(self, row: np.ndarray) -> bytes:
@@ -140,23 +141,41 @@ class _Range:
 
     def add(self, scores: np.ndarray, yes: np.ndarray, drawn: np.ndarray) -> None:
         new = np.flatnonzero(np.append(True, (scores[1:] != scores[:-1]) & ~(np.isnan(scores[1:]) & np.isnan(scores[:-1]))))
-        drawn = drawn.astype(np.float64)
-        pos = np.add.reduceat(drawn * (yes == 1)[:, None], new, axis=0)
-        neg = np.add.reduceat(drawn * (yes == 0)[:, None], new, axis=0)
+        begin, end = 0, new[-1]
         if self.level is not None:
-            same = self.level[0] == scores[0] or (np.isnan(self.level[0]) and np.isnan(scores[0]))
-            if same:
-                pos[0] += self.level[1]
-                neg[0] += self.level[2]
-            else:
-                self.close()
-        if len(new) > 1:
-            below = self.n + np.cumsum(neg[:-1], axis=0) - neg[:-1]
-            self.u += (pos[:-1] * (below + neg[:-1] / 2)).sum(axis=0)
-            self.p += pos[:-1].sum(axis=0)
-            self.n += neg[:-1].sum(axis=0)
-            self.first = self.first or (float(scores[0]), pos[0].copy(), neg[0].copy())
-        self.level = float(scores[new[-1]]), pos[-1].copy(), neg[-1].copy()
+            if self.level[0] == scores[0] or (np.isnan(self.level[0]) and np.isnan(scores[0])):
+                begin = new[1] if len(new) > 1 else len(scores)
+                _, pos, neg = self._level(scores, yes, drawn, 0, begin)
+                self.level = self.level[0], self.level[1] + pos, self.level[2] + neg
+                if len(new) == 1:
+                    return
+            self.close()
+        if begin < end:
+            if self.first is None:
+                self.first = self._level(scores, yes, drawn, 0, new[1])
+            of = np.cumsum(np.isin(np.arange(begin, end), new, assume_unique=True)) - 1  # number of the row's level
+            self._count(of, yes[begin:end], drawn[begin:end])
+        self.level = self._level(scores, yes, drawn, end, len(scores))
+
+    @staticmethod
+    def _level(scores: np.ndarray, yes: np.ndarray, drawn: np.ndarray, a: int, b: int) -> tuple:
+        rows, of = drawn[a:b], yes[a:b]
+        return float(scores[a]), *(rows[of == k].sum(axis=0, dtype=np.int64).astype(np.float64) for k in (1, 0))
+
+    def _count(self, of: np.ndarray, yes: np.ndarray, drawn: np.ndarray) -> None:
+        """Count the pairs of whole levels: a positive has the negatives below its level, and half of those in it."""
+        pos, neg = np.flatnonzero(yes == 1), np.flatnonzero(yes == 0)
+        below = np.zeros((len(neg) + 1, drawn.shape[1]), dtype=np.int32)
+        np.cumsum(drawn[neg], axis=0, dtype=np.int32, out=below[1:])
+        low, high = (np.searchsorted(of[neg], of[pos], side) for side in ("left", "right"))
+        near = below[low]
+        near += below[high]
+        weights = drawn[pos].astype(np.int32)
+        positives = weights.sum(axis=0, dtype=np.int64)
+        near *= weights
+        self.u += near.sum(axis=0, dtype=np.int64) / 2 + positives * self.n
+        self.p += positives
+        self.n += below[-1]
 
     def row(self) -> tuple:
         self.close()
@@ -174,7 +193,7 @@ def replicate_auc(pred: DataFrame, by: list[str], key: str, y: str, score: str,
     """
     keyed, schema = _keyed(pred, by, key)
     weights = Weights(replicates, seed)
-    step = max(1, CELLS // replicates)
+    step, few = max(1, CELLS // replicates), max(1, min(COUNTED_ROWS, COUNTED // replicates))
     parts = int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +221,19 @@ def replicate_auc(pred: DataFrame, by: list[str], key: str, y: str, score: str,
                         if kept is not None:
                             yield _vectors([(name, number, *kept.row())], names)
                         name, kept = group[a], _Range(replicates)
-                    kept.add(scores[a:b], yes[a:b], drawn[a:b])
+                    for i in range(a, b, few):
+                        j = min(b, i + few)
+                        kept.add(scores[i:j], yes[i:j], drawn[i:j])
         if kept is not None:
             yield _vectors([(name, number, *kept.row())], names)
 
+    # a key's rows come together, for weights drawn once, and as many to each task: hold-out rows may all lie in a few files.
+    # Rows without a key need one vector in all, so any task takes some of them
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(score, y), F.lit(parts))).otherwise(F.lit(0))
+    even = keyed.select("__g", "__k", F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("score"), spread.alias("__s")) \
+        .repartition(parts, "__k", "__s").drop("__s")
     # written, since dealing by ranges reads its input twice and weights should be drawn once
-    weighed = materialize(keyed.select("__g", "__k", F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("score"))
-                          .mapInArrow(weigh, "__g string, __k string, y double, score double, w binary"))
+    weighed = materialize(even.mapInArrow(weigh, "__g string, __k string, y double, score double, w binary"))
     # the count is stated: few bytes, but much work for each, must not be joined to one task
     dealt = weighed.repartitionByRange(parts, "__g", "score", F.xxhash64("__k")).sortWithinPartitions("__g", "score") \
         .select("__g", "y", "score", "w", F.spark_partition_id().cast("long").alias("__range"))

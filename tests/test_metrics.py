@@ -117,3 +117,26 @@ def test_bootstrap_weights_pack_and_chunk(spark, monkeypatch):
     assert metrics.bootstrap_ci(df, ["model"], "key", metric="roc_auc", replicates=9).collect() == whole
     assert metrics.bootstrap_ci(df.limit(0), ["model"], "key", metric="roc_auc", replicates=9).collect() == []
     assert metrics.bootstrap_ci(df, [], "key", metric="f1", replicates=9).count() == 1
+
+
+def test_md5_of_arrays_is_md5():
+    import hashlib
+    from tessera.functions.hashing import md5_heads
+    begins = [b"", b"7", b"123456", "\u00e9".encode(), b"k" * 51, b"k" * 52, b"k" * 53, b"k" * 200]
+    ends = [f"|{b}|42".encode() for b in (1, 2, 10, 99, 1000)]
+    want = [[int.from_bytes(hashlib.md5(a + e).digest()[:4], "big") for e in ends] for a in begins]
+    assert md5_heads(begins, ends).tolist() == want
+
+
+def test_weights_are_drawn_in_all_tasks(spark, monkeypatch):
+    # all rows in one file, as the hold-out rows of a ranked table are; half of them have no key
+    from tessera.operators import bootstrap
+    written = []
+    keep = bootstrap.materialize
+    monkeypatch.setattr(bootstrap, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    pred = spark.range(0, 400, 1, 1).selectExpr("CASE WHEN id < 200 THEN id END AS k", "id % 2 AS y", "id * 7 % 401 / 401D AS score", "'m' AS model")
+    bootstrap.replicate_auc(pred, ["model"], "k", "y", "score", 4, 42)
+    for keyed in (True, False):
+        part = written[0].where((F.col("__k") != "") == keyed)
+        files = part.select(F.input_file_name().alias("f")).distinct().count()
+        assert files == 4 if keyed else files > 1
