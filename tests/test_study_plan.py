@@ -21,3 +21,15 @@ def test_run_study_end_to_end(spark):
     assert res.tables["mcnemar"].count() == 1
     back = spark.read.parquet(f"{out}/tables/model_comparison")
     assert back.count() == 2
+
+
+def test_a_report_evaluates_predictions_once(spark, monkeypatch):
+    from tessera.operators import metrics
+    from tessera.plans import queries as q
+    made, measured = [], []
+    predictions, measure = q.predictions, metrics.classification_metrics
+    monkeypatch.setattr(q, "predictions", lambda *a: made.append(a) or predictions(*a))
+    monkeypatch.setattr(metrics, "classification_metrics", lambda p, by, **k: measured.append(by) or measure(p, by, **k))
+    rows = q.q_report_json_roundtrip(spark, SF001).collect()
+    assert {r["report_table"] for r in rows} == set(q.REPORT_TABLES)
+    assert len(made) == 1 and sorted(measured) == [["model"], ["model", "fold"]]
